@@ -189,8 +189,8 @@ def prefix_aggregate(
     numbers rise with ``order``. ``count`` names the number of earlier rows,
     ``sums`` maps output name to summed column (NULL when no earlier row),
     ``previous`` names the first order column of the row just before. ``carry``
-    holds one row per key with the same output columns, for rows that came
-    before all of ``df``; its columns ``carry_extra`` are copied to each row of
+    holds one row per key with the same output columns, for rows handled before
+    those of ``df`` (the latest time of both counts as previous); its columns ``carry_extra`` are copied to each row of
     the key. ``only`` (rows with the columns of ``df``) limits the
     output to the slices those rows are in; earlier slices then enter as totals
     and are not sorted. ``totals_from`` may name a cheaper source of the same
@@ -245,7 +245,7 @@ def prefix_aggregate(
     for name in sums:
         result.append(plus(f"__s_{name}", f"__b_s_{name}").alias(name))
     if previous:
-        last = F.col("__p") if base is None else F.coalesce(F.col("__p"), F.col("__b_p"))
+        last = F.col("__p") if base is None else F.greatest(F.col("__p"), F.col("__b_p"))
         result.append(last.alias(previous))
     return rows.select(*[c for c in names if c != SLICE], *result, *carry_extra)
 
@@ -303,7 +303,7 @@ def _slice_offsets(df, keys, time, count, sums, previous, carry, carry_extra, on
     for name in sums:
         merged[f"__b_s_{name}"] = add(f"__b_s_{name}", f"__c_s_{name}")
     if previous:
-        merged["__b_p"] = F.coalesce(F.col("__b_p"), F.col("__c_p"))
+        merged["__b_p"] = F.greatest(F.col("__b_p"), F.col("__c_p"))
     return joined.select(*keys, SLICE, *[v.alias(k) for k, v in merged.items()], *carry_extra)
 
 

@@ -457,7 +457,9 @@ def replay(spark, sf_dir, move_late=False, scorer=None) -> live.LiveTables:
     held = early & (F.col("transactionid") % 50 == 7) if move_late else F.lit(False)
     parts = [rows.filter(early & ~held), rows.filter(middle & ~early), rows.filter(~middle | held)]
 
-    store = live.LiveTables(workspace(spark, "live"), fold_every=2, small_rows=SLICED)
+    store = live.LiveTables(
+        workspace(spark, "live"), fold_every=2, **({"small_rows": SLICED} if move_late else {})
+    )
     live.seed(spark.createDataFrame([], live.ARRIVING), store)
     source = workspace(spark, "arrivals")
     for part in parts:

@@ -38,7 +38,7 @@ def _plain(table: pa.Table) -> tuple[dict, list]:
 
 def differences(spark_df, con, sql: str) -> list[str]:
     mine = _plain(spark_df.toArrow())
-    theirs = _plain(con.execute(sql).to_arrow_table())
+    theirs = _plain(con.sql(sql).to_arrow_table())
     found = []
     if mine[0] != theirs[0]:
         found.append(f"types: {set(mine[0].items()) ^ set(theirs[0].items())}")
