@@ -9,10 +9,8 @@ from riskloom.operators.prefix import (
     SLICE,
     SMALL_TABLE,
     bucketize,
-    draw_sample,
     prefix_aggregate,
     quantile_splits,
-    slice_count,
 )
 
 # Monitored features and the significance level. Cumulative
@@ -57,9 +55,7 @@ def drift_report(
     rows = wide.count()
     splits: list[tuple] = [() for _ in features]
     if rows > small_rows:
-        sample = draw_sample(wide.drop("side"), rows)
-        splits = quantile_splits(sample, [F.col(c) for c in features], slice_count(split))
-        sample.unpersist()
+        splits = quantile_splits(wide, features, rows)
     for name, cut in zip(features, splits):
         wide = bucketize(wide, name, cut, f"__slice_{name}")
     entries = F.array(

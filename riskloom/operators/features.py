@@ -15,7 +15,7 @@ from riskloom.operators.prefix import (
 
 ORDER = ["transactiondt", "transactionid"]
 
-# Columns the features are made from; everything else is pruned at the scan.
+# Columns the features are made from.
 INPUTS = [
     "transactionid", "card1", "addr1", "transactiondt", "transactionamt", "isfraud",
     "p_emaildomain", "d1", "c1", "c2", "m1", "m2", "m3", "m4",
@@ -31,17 +31,28 @@ OUTPUTS = [
 ]
 
 
-def with_uid(transactions: DataFrame) -> DataFrame:
-    """Add the customer key, and the amount in whole cents.
+# What the history windows need of a row.
+HISTORY_INPUTS = ["transactionid", "transactiondt", "uid", "p_emaildomain", "amt_cents"]
 
-    Sums of cents are exact in a long, which windows add much faster than a
-    decimal of more than 18 digits.
+
+def prepare(transactions: DataFrame) -> DataFrame:
+    """Everything that needs one row only, so that the windows move few bytes.
+
+    Amounts become whole cents for the running sums: exact in a long, which
+    windows add much faster than a decimal of more than 18 digits.
     """
-    return transactions.withColumns(
-        {
-            "uid": E.customer_key(),
-            "amt_cents": (F.col("transactionamt") * 100).cast("long"),
-        }
+    return transactions.select(
+        "transactionid",
+        "card1",
+        "transactiondt",
+        "transactionamt",
+        "isfraud",
+        "p_emaildomain",
+        E.customer_key().alias("uid"),
+        (F.col("transactionamt") * 100).cast("long").alias("amt_cents"),
+        E.account_age().alias("account_age_days"),
+        E.linkage_score().alias("identity_linkage_score"),
+        E.match_mismatches().alias("match_flag_count"),
     )
 
 
@@ -86,7 +97,7 @@ def prior_average(cents: str, count: str) -> Column:
 
 
 def derive_features(history: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All columns that need one row only, once the history columns are there."""
+    """The feature columns, once history and identity are there."""
     return (
         history.withColumns(
             {
@@ -94,9 +105,6 @@ def derive_features(history: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
                     "uid_cents_before_this", "uid_txn_count_before_this"
                 ),
                 "seconds_since_last_txn": F.col("transactiondt") - F.col("uid_last_dt"),
-                "account_age_days": E.account_age(),
-                "identity_linkage_score": E.linkage_score(),
-                "match_flag_count": E.match_mismatches(),
                 "hour_of_day": E.hour_of_day(),
                 "day_of_week": E.day_of_week(),
             }
@@ -115,7 +123,7 @@ def transaction_features(
     for the identity join. The output has no global order; sort it where a
     consumer asks for one.
     """
-    keyed = with_uid(transactions.select(*INPUTS))
+    keyed = prepare(transactions)
     profile = profile_transactions(keyed, small_rows)
     history = email_history(customer_history(keyed, profile), profile, totals_from=keyed)
     return derive_features(with_identity(history, identities))

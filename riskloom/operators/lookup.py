@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import coerce_double
 from riskloom.operators.features import (
-    INPUTS,
+    HISTORY_INPUTS,
     customer_history,
     derive_features,
     email_history,
+    prepare,
     profile_transactions,
     with_identity,
-    with_uid,
 )
 from riskloom.operators.prefix import SMALL_TABLE
 from riskloom.schemas import MODEL_FEATURES
+from riskloom.session import materialise
 
 
 def features_for_ids(
@@ -31,23 +32,24 @@ def features_for_ids(
     pre-aggregated totals.
     """
     ids = ids.select("transactionid").distinct()
-    keyed = with_uid(transactions.select(*INPUTS))
+    keyed = prepare(transactions)
     profile = profile_transactions(keyed, small_rows)
-    targets = keyed.join(ids, "transactionid", "left_semi")
+    # Read by four joins below, so it is found once and kept.
+    targets = materialise(keyed.join(ids, "transactionid", "left_semi"), "lookup")
+    wanted = targets.select("transactionid")
 
-    customers = customer_history(keyed, profile, only=targets).join(
-        ids, "transactionid", "left_semi"
+    history = keyed.select(*HISTORY_INPUTS)
+    only = targets.select(*HISTORY_INPUTS)
+    customers = customer_history(history, profile, only=only).select(
+        "transactionid", "uid_txn_count_before_this", "uid_cents_before_this", "uid_last_dt"
     )
-    domains = email_history(
-        keyed.select("transactionid", "transactiondt", "p_emaildomain"),
-        profile,
-        only=targets.select("transactionid", "transactiondt", "p_emaildomain"),
-    ).join(ids, "transactionid", "left_semi")
-
-    history = customers.join(
-        domains.select("transactionid", "email_txn_count_before_this"), "transactionid"
+    domains = email_history(history, profile, only=only).select(
+        "transactionid", "email_txn_count_before_this"
     )
-    return derive_features(with_identity(history, identities))
+    for part in (customers, domains):
+        found = part.join(wanted, "transactionid", "left_semi")
+        targets = targets.join(found, "transactionid")
+    return derive_features(with_identity(targets, identities))
 
 
 def model_inputs(features: DataFrame) -> DataFrame:

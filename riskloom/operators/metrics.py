@@ -9,10 +9,8 @@ from riskloom.operators.prefix import (
     SLICE,
     SMALL_TABLE,
     bucketize,
-    draw_sample,
     prefix_aggregate,
     quantile_splits,
-    slice_count,
 )
 
 
@@ -26,9 +24,7 @@ def _by_score(df: DataFrame, score: str, label: str, small_rows: int) -> DataFra
     rows = labelled.count()
     splits: tuple = ()
     if rows > small_rows:
-        sample = draw_sample(labelled.select("score"), rows)
-        (splits,) = quantile_splits(sample, [F.col("score")], slice_count(df))
-        sample.unpersist()
+        (splits,) = quantile_splits(labelled, ["score"], rows)
     scores = (
         bucketize(labelled, "score", splits, SLICE)
         .groupBy(SLICE, "score")

@@ -61,19 +61,30 @@ def _partitions(df: DataFrame) -> int:
 
 
 def draw_sample(df: DataFrame, rows: int) -> DataFrame:
-    """About SAMPLE_ROWS rows in a few partitions, kept for several passes."""
+    """About SAMPLE_ROWS rows in a few partitions.
+
+    Sketches of the sample are then merged from a few tasks, not from as many
+    as the table has splits.
+    """
     fraction = min(1.0, SAMPLE_ROWS / max(rows, 1))
     sample = df if fraction == 1.0 else df.sample(fraction, seed=11)
-    return sample.repartition(min(32, _partitions(df))).persist()
+    return sample.repartition(min(32, _partitions(df)))
+
+
+def _quantiles(column: Column, slices: int) -> Column:
+    return F.percentile_approx(column, [i / slices for i in range(1, slices)], 10 * slices)
 
 
-def quantile_splits(sample: DataFrame, columns: list[Column], slices: int) -> list[tuple]:
-    """Inner split points of each column, strictly rising."""
-    shares = [i / slices for i in range(1, slices)]
-    row = sample.agg(
-        *[F.percentile_approx(c, shares, 10 * slices).alias(f"q{i}") for i, c in enumerate(columns)]
-    ).first()
-    return [tuple(sorted({float(v) for v in (q or [])})) for q in row]
+def _rising(quantiles: list | None) -> tuple[float, ...]:
+    return tuple(sorted({float(q) for q in quantiles or []}))
+
+
+def quantile_splits(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
+    """Inner split points of each column from a sample, strictly rising."""
+    slices = slice_count(df)
+    sample = draw_sample(df.select(*columns), rows)
+    found = sample.agg(*[_quantiles(F.col(c), slices).alias(c) for c in columns]).first()
+    return [_rising(q) for q in found]
 
 
 def slice_count(df: DataFrame) -> int:
@@ -91,40 +102,34 @@ def profile_order(
 
     A key is hot when it holds more than half a shuffle partition's fair share.
     There are at most MAX_HOT_KEYS such keys by counting, and at most MAX_SLICES
-    split points, so what comes to the driver is bounded. Tables of up to
-    ``small_rows`` rows are left whole.
+    split points, so what comes to the driver is bounded. Estimates are good
+    enough: they move cut points, not results. Tables of up to ``small_rows``
+    rows are left whole.
     """
     wanted = [time] + ([tie] if tie else []) + list(keys)
     narrow = df.select(*dict.fromkeys(wanted))
-    rows = narrow.count()
-    if rows <= small_rows:
+    number = F.col(tie).cast("double") if tie else F.lit(0.0)
+    rows, low, high = narrow.agg(F.count(F.lit(1)), F.min(number), F.max(number)).first()
+    if rows <= max(small_rows, 0):
         return OrderProfile()
-    sample = draw_sample(narrow, rows)
-    expected = min(rows, SAMPLE_ROWS)
     share = max(1.0 / (2 * _partitions(df)), 1.0 / MAX_HOT_KEYS)
-    try:
-        # One pass: sizes of all key values, and under the name "" of everything.
-        groups = [F.struct(F.lit("").alias("k"), F.lit("").alias("v"))] + [
-            F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys
-        ]
-        number = F.col(tie).cast("double") if tie else F.lit(0.0)
-        found = (
-            sample.select(F.inline(F.array(*groups)), number.alias("tie"))
-            .groupBy("k", "v")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("tie").alias("lo"), F.max("tie").alias("hi"))
-            .filter((F.col("n") > share * expected) | (F.col("k") == ""))
-            .collect()
+    top = int(1.0 / share) + 1
+    found = (
+        draw_sample(narrow, rows)
+        .agg(
+            _quantiles(_position(time, tie, low, high), slice_count(df)).alias("splits"),
+            *[
+                F.expr(f"approx_top_k(CAST({k} AS STRING), {top}, {10 * top})").alias(f"hot_{k}")
+                for k in keys
+            ],
         )
-        whole = [r for r in found if r["k"] == ""]
-        if not whole:
-            return OrderProfile()
-        low, high = whole[0]["lo"], whole[0]["hi"]
-        at = _position(time, tie, low, high)
-        (splits,) = quantile_splits(sample, [at], slice_count(df))
-        hot = {k: tuple(r["v"] for r in found if r["k"] == k) for k in keys}
-        return OrderProfile(splits, low, high, hot)
-    finally:
-        sample.unpersist()
+        .first()
+    )
+    enough = share * min(rows, SAMPLE_ROWS)
+    hot = {
+        k: tuple(e["item"] for e in found[f"hot_{k}"] or [] if e["count"] > enough) for k in keys
+    }
+    return OrderProfile(_rising(found["splits"]), low, high, hot)
 
 
 def bucketize(df: DataFrame, source: str, splits: tuple, target: str) -> DataFrame:
@@ -161,13 +166,12 @@ def assign_slices(
 
 
 def with_key(df: DataFrame, key: str) -> DataFrame:
-    """Two never-NULL columns that stand for the key, so NULL is a key too."""
+    """Replace the key by two never-NULL columns, so that NULL is a key too."""
+    kind = df.schema[key].dataType
+    stand_in = F.lit("") if kind.typeName() == "string" else F.lit(0).cast(kind)
     return df.withColumns(
-        {
-            _KEY[0]: F.coalesce(F.col(key).cast("string"), F.lit("")),
-            _KEY[1]: F.col(key).isNull(),
-        }
-    )
+        {_KEY[0]: F.coalesce(F.col(key), stand_in), _KEY[1]: F.col(key).isNull()}
+    ).drop(key)
 
 
 def prefix_aggregate(
@@ -247,7 +251,10 @@ def prefix_aggregate(
     if previous:
         last = F.col("__p") if base is None else F.greatest(F.col("__p"), F.col("__b_p"))
         result.append(last.alias(previous))
-    return rows.select(*[c for c in names if c != SLICE], *result, *carry_extra)
+    if key is not None:
+        result.append(F.when(~F.col(_KEY[1]), F.col(_KEY[0])).alias(key))
+    kept = [c for c in names if c not in (SLICE, key)]
+    return rows.select(*kept, *result, *carry_extra)
 
 
 def _slice_offsets(df, keys, time, count, sums, previous, carry, carry_extra, only, key):

@@ -11,12 +11,13 @@ from riskloom.functions.expressions import offset_seconds
 from riskloom.operators import cases as C
 from riskloom.operators import drift, explain, flagging, metrics, model, quality, split
 from riskloom.operators.features import (
+    HISTORY_INPUTS,
     ORDER,
     card_prior_average,
     email_history,
+    prepare,
     profile_transactions,
     transaction_features,
-    with_uid,
 )
 from riskloom.operators.lookup import features_for_ids, high_water, model_inputs
 from riskloom.operators.prefix import time_rank
@@ -162,11 +163,7 @@ def features(spark, sf_dir):
 
 
 def email_prefix(spark, sf_dir):
-    keyed = with_uid(
-        X.transactions(spark, sf_dir).select(
-            "transactionid", "transactiondt", "card1", "addr1", "transactionamt", "p_emaildomain"
-        )
-    )
+    keyed = prepare(X.transactions(spark, sf_dir)).select(*HISTORY_INPUTS)
     counted = email_history(keyed, profile_transactions(keyed, SLICED))
     return counted.select("transactionid", "p_emaildomain", "email_txn_count_before_this")
 

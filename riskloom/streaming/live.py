@@ -25,9 +25,9 @@ from riskloom.operators.features import (
     customer_history,
     derive_features,
     email_history,
+    prepare,
     profile_transactions,
     with_identity,
-    with_uid,
 )
 from riskloom.operators.flagging import (
     DECISION_THRESHOLD,
@@ -100,7 +100,7 @@ def _read_totals(spark: SparkSession, tables: LiveTables, key: str, gen: int) ->
 
 def seed(history: DataFrame, tables: LiveTables) -> None:
     """Start from a history of transactions (it may be empty). Call once."""
-    keyed = with_uid(history.select(*INPUTS))
+    keyed = prepare(history)
     for key in _KEYS:
         _write_totals(key_totals(keyed, key), tables, key, 0, -1)
 
@@ -133,7 +133,7 @@ def batch_features(
     what came before it; it counts in the past of every later row. The lookup
     job computes late rows from the full history.
     """
-    keyed = with_uid(arrivals)
+    keyed = prepare(arrivals)
     profile = profile_transactions(keyed, tables.small_rows)
     customers = _past(keyed, tables, "uid", batch_id).select(
         "uid",
@@ -190,7 +190,7 @@ def process_batch(
         tables.write(activity(scored, threshold), "activity", batch_id)
         cases = flag(scored, threshold).withColumn("flagged_at", F.current_timestamp())
         tables.write(cases, "flagged", batch_id)
-    keyed = with_uid(arrivals)
+    keyed = prepare(arrivals)
     for key in _KEYS:
         _write_totals(
             key_totals(keyed, key), tables, key, tables.generation(batch_id), batch_id
