@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +79,11 @@ def elapsed_label(time: str = "transactiondt") -> Column:
 def offset_seconds(stamp: str, origin: str = "2019-01-01") -> Column:
     """Whole seconds from midnight of ``origin`` to a wall-clock timestamp.
 
-    Built from calendar fields, so it does not depend on the session zone.
+    A timestamp without zone is read as it stands, so for such columns the
+    session zone plays no part.
     """
-    t = F.col(stamp)
-    days = F.datediff(t, F.to_date(F.lit(origin))).cast("long")
-    return (
-        days * SECONDS_PER_DAY
-        + F.hour(t) * SECONDS_PER_HOUR
-        + F.minute(t) * 60
-        + F.second(t)
-    )
+    first = (date.fromisoformat(origin) - date(1970, 1, 1)).days * SECONDS_PER_DAY
+    return F.unix_timestamp(F.col(stamp).cast("timestamp_ntz")) - F.lit(first)
 
 
 def coerce_double(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -38,7 +38,7 @@ def split_merged(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return transactions, identities.na.drop(how="all", subset=values)
 
 
-def run_pipeline(
+def run_etl(
     transactions: DataFrame,
     identities: DataFrame,
     target_transactions: DataFrame,

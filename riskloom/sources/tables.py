@@ -12,9 +12,17 @@ from riskloom.schemas import IDENTITIES, TRANSACTIONS
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet", **options
+    spark: SparkSession,
+    path: str | None = None,
+    schema: T.StructType | None = None,
+    fmt: str = "parquet",
+    **options,
 ) -> DataFrame:
-    """Any Spark source, with an explicit schema where one is given."""
+    """Any Spark source, with an explicit schema where one is given.
+
+    For a database table use ``fmt="jdbc"`` with its url, dbtable and the
+    partition options, so that executors read it in parallel.
+    """
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)

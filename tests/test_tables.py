@@ -54,7 +54,7 @@ def test_nan_becomes_null(spark):
     assert etl.merge(tx, ids).first().dist1 is None
 
 
-def test_pipeline(spark):
+def test_etl(spark):
     tx = spark.createDataFrame(
         [(1, 10, 1), (1, 11, 2), (2, 20, 3), (3, 30, 4)],
         "transactionid long, transactiondt long, ingest_order long",
@@ -65,7 +65,7 @@ def test_pipeline(spark):
     )
     have_t = spark.createDataFrame([(3,)], "transactionid long")
     have_i = spark.createDataFrame([], "transactionid long")
-    new_t, new_i = etl.run_pipeline(tx, ids, have_t, have_i)
+    new_t, new_i = etl.run_etl(tx, ids, have_t, have_i)
     assert sorted((r.transactionid, r.transactiondt) for r in new_t.collect()) == [(1, 10), (2, 20)]
     assert [(r.transactionid, r.devicetype) for r in new_i.collect()] == [(1, "mobile")]
 
