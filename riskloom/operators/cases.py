@@ -78,9 +78,8 @@ def case_queue(
     devices = identities.select("transactionid", "devicetype", "deviceinfo")
     if limit is None:
         return open_cases.join(context, "transactionid").join(devices, "transactionid", "left")
-    top = _riskiest(
-        open_cases.join(transactions.select("transactionid"), "transactionid", "left_semi"), limit
-    )
+    # An inner join with the key column leaves Spark free to build on the cases.
+    top = _riskiest(open_cases.join(transactions.select("transactionid"), "transactionid"), limit)
     # ``top`` has at most ``limit`` rows, so it may be broadcast.
     cases = context.join(F.broadcast(top), "transactionid")
     few = devices.join(F.broadcast(top.select("transactionid")), "transactionid", "left_semi")

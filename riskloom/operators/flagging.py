@@ -22,6 +22,12 @@ def needs_second_approval(amount: str = "transactionamt", limit: int = HIGH_VALU
     return F.col(amount) >= F.lit(limit)
 
 
+def verdict(score: str = "score", threshold: float = DECISION_THRESHOLD) -> Column:
+    return F.when(is_flagged(score, threshold), "FLAGGED FOR REVIEW").otherwise(
+        "APPEARS LEGITIMATE"
+    )
+
+
 def flag(
     scored: DataFrame,
     threshold: float = DECISION_THRESHOLD,
@@ -60,6 +66,7 @@ def score_response(
         "transactionid",
         F.round("score", 4).alias("fraud_probability"),
         is_flagged(threshold=threshold).alias("flagged"),
+        verdict(threshold=threshold).alias("verdict"),
         F.lit(threshold).alias("threshold_used"),
         short.alias("reasons"),
     )

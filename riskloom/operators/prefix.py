@@ -232,7 +232,7 @@ def prefix_aggregate(
     base = None
     if cut:
         totals = df if totals_from is None else prepare(totals_from)
-        base = _slice_offsets(totals, keys, time, count, sums, previous, carry, carry_extra, only, key)
+        base = _slice_offsets(totals, keys, time, count, sums, previous, carry, carry_extra, key)
     if base is not None:
         rows = rows.join(base, groups, "left")
 
@@ -257,15 +257,13 @@ def prefix_aggregate(
     return rows.select(*kept, *result, *carry_extra)
 
 
-def _slice_offsets(df, keys, time, count, sums, previous, carry, carry_extra, only, key):
+def _slice_offsets(df, keys, time, count, sums, previous, carry, carry_extra, key):
     """Totals of everything before each slice.
 
     At most one row per (hot key, slice) leaves the pre-aggregation, so the
     window over slices sees at most MAX_SLICES rows of any key.
     """
     cut = df if carry is not None else df.filter(F.col(SLICE) >= 0)
-    if keys and only is not None:
-        cut = cut.join(only.select(*keys).distinct(), keys, "left_semi")
     measures = []
     if count:
         measures.append(F.count(F.lit(1)).alias("__t_n"))

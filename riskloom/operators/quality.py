@@ -64,11 +64,17 @@ def check_rows(
         rows = rows.join(firsts.withColumn("__first", F.lit(True)), [key, order], "left")
         rule("key_duplicate", F.col(key).isNotNull() & F.col("__first").isNull())
     if parents is not None:
-        known = parents.select(
-            F.col("transactionid").cast("string").alias("__parent")
-        ).distinct()
-        rows = rows.join(known, rows["transactionid"] == known["__parent"], "left")
-        rule("parent_missing", F.col("transactionid").isNotNull() & F.col("__parent").isNull())
+        # Orphans are found among distinct keys, so a parent with very many
+        # children weighs no more than any other.
+        known = parents.select(F.col("transactionid").cast("string"))
+        orphans = (
+            raw.select("transactionid")
+            .distinct()
+            .join(known, "transactionid", "left_anti")
+            .withColumn("__orphan", F.lit(True))
+        )
+        rows = rows.join(orphans, "transactionid", "left")
+        rule("parent_missing", F.col("transactionid").isNotNull() & F.col("__orphan").isNotNull())
     return rows.withColumn("reasons", F.array_compact(F.array(*broken))).select(
         *raw.columns, "reasons"
     )

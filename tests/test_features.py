@@ -5,7 +5,13 @@ from decimal import Decimal
 
 import pytest
 
-from riskloom.operators.features import INPUTS, transaction_features
+from riskloom.operators.features import (
+    INPUTS,
+    email_history,
+    prepare,
+    profile_transactions,
+    transaction_features,
+)
 from riskloom.operators.lookup import features_for_ids, high_water
 from riskloom.schemas import IDENTITIES, TRANSACTIONS
 
@@ -155,3 +161,26 @@ def test_scan_reads_input_columns_only(spark, tmp_path, capsys):
     transaction_features(tx, ids(spark, []), small_rows=0).explain("formatted")
     scans = re.findall(r"Scan parquet *\nOutput \[(\d+)\]", capsys.readouterr().out)
     assert scans and max(map(int, scans)) == len(INPUTS)
+
+
+def test_rows_move_three_times(spark, tmp_path, capsys):
+    """By customer, by domain, by id; the fourth exchange is the identity side."""
+    path = str(tmp_path / "tx")
+    frame(spark, sample_rows()).write.parquet(path)
+    transaction_features(spark.read.parquet(path), ids(spark, [])).hint("merge").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_slice_totals_do_not_move_the_rows_again(spark, tmp_path, capsys):
+    """Window and join share one exchange of the wide rows."""
+    path = str(tmp_path / "tx")
+    frame(spark, sample_rows()).write.parquet(path)
+    keyed = prepare(spark.read.parquet(path))
+    profile = profile_transactions(keyed, small_rows=0)
+    assert profile.hot["p_emaildomain"]
+    email_history(keyed, profile).explain()
+    plan = capsys.readouterr().out
+    wide = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line]
+    # rows by (key, slice); totals by (key, slice), by key, and back for the join
+    assert len(wide) <= 4

@@ -131,3 +131,15 @@ def test_refresh_keeps_old_runs(spark, tmp_path):
         T.publish_refresh(spark.createDataFrame([(value,)], "v int"), path, run)
     assert [r.v for r in T.latest_refresh(spark, path).collect()] == [21]
     assert spark.read.parquet(path).filter("run = 1").count() == 1
+
+
+def test_time_order_prunes_days(spark, tmp_path, capsys):
+    path = str(tmp_path / "tx")
+    rows = spark.createDataFrame(
+        [(i, i * 3600) for i in range(96)], "transactionid long, transactiondt long"
+    )
+    T.write_in_time_order(rows, path)
+    back = spark.read.parquet(path).filter("day = 2")
+    assert back.count() == 24
+    back.explain("formatted")
+    assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
