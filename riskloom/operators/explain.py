@@ -58,8 +58,8 @@ def linear_contributions(
     )
 
 
-def ranked(contributions: DataFrame) -> DataFrame:
-    """Per transaction an array of reasons, strongest first.
+def ranked(contributions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per transaction an array of reasons, strongest first, beside columns ``keep``.
 
     The 13 entries are sorted inside their row, so nothing is shuffled.
     """
@@ -74,7 +74,7 @@ def ranked(contributions: DataFrame) -> DataFrame:
             for c in MODEL_FEATURES
         ]
     )
-    return contributions.select("transactionid", F.array_sort(entries).alias("reasons"))
+    return contributions.select("transactionid", *keep, F.array_sort(entries).alias("reasons"))
 
 
 def reasons(contributions: DataFrame, top: int | None = None) -> DataFrame:
@@ -198,9 +198,12 @@ def leaf_tables(nodes: list[dict]) -> tuple[float, list[tuple]]:
     return base, tables
 
 
-def tree_contributions(features: DataFrame, model: GBTClassificationModel) -> DataFrame:
-    """Add ``c_<feature>`` in log-odds, and ``base``; they sum to the score's log-odds.
+def tree_contributions(
+    features: DataFrame, model: GBTClassificationModel, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``c_<feature>`` in log-odds, and ``base``; they sum to the score's log-odds.
 
+    Model inputs and the columns ``keep`` stay, so no join back is needed.
     Every batch of rows is handled where it is; only the leaf tables, whose size
     is that of the model, travel to the tasks.
     """
@@ -209,9 +212,10 @@ def tree_contributions(features: DataFrame, model: GBTClassificationModel) -> Da
     shared = spark.sparkContext.broadcast(tables)
     columns = [f"c_{c}" for c in MODEL_FEATURES]
     rows = features.select(
-        "transactionid", *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]
+        "transactionid", *keep, *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]
     )
-    fields = [f"{c} double" for c in MODEL_FEATURES + columns + ["base"]]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
+    fields += [f"{c} double" for c in columns + ["base"]]
 
     def contribute(batches):
         for batch in batches:
@@ -222,4 +226,4 @@ def tree_contributions(features: DataFrame, model: GBTClassificationModel) -> Da
                 out[:, used] += table[met @ (1 << np.arange(len(used)))]
             yield pd.concat([batch, pd.DataFrame(out, columns=columns)], axis=1).assign(base=base)
 
-    return rows.mapInPandas(contribute, f"transactionid long, {', '.join(fields)}")
+    return rows.mapInPandas(contribute, ", ".join(fields))

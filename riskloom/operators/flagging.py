@@ -48,13 +48,11 @@ def flag(
     )
 
 
-def score_response(
-    scored: DataFrame, reasons: DataFrame, threshold: float = DECISION_THRESHOLD
-) -> DataFrame:
+def score_response(explained: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """One record per transaction: rounded probability, verdict, ranked reasons.
 
-    ``reasons`` has one row per transaction with an array column (see
-    ``explain.ranked``), so the join is one to one.
+    ``explained`` has the score and the reasons array side by side (see
+    ``explain.ranked``), so no join is needed.
     """
     short = F.transform(
         "reasons",
@@ -62,7 +60,7 @@ def score_response(
             r["feature"].alias("feature"), F.round(r["contribution"], 4).alias("contribution")
         ),
     )
-    return scored.join(reasons.select("transactionid", "reasons"), "transactionid").select(
+    return explained.select(
         "transactionid",
         F.round("score", 4).alias("fraud_probability"),
         is_flagged(threshold=threshold).alias("flagged"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.metrics import average_precision, best_threshold, roc_auc, threshold_costs
 from riskloom.operators.split import split_by_time
 from riskloom.schemas import LABEL, MODEL_FEATURES
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import ensure_checkpoint_dir, materialise
 
 # Stands for "unknown" in the model: every real value is zero or more.
 MISSING = -1.0
@@ -77,7 +77,9 @@ def training_run(
     train, test = split.filter("side = 'train'"), split.filter("side = 'test'")
     model = train_model(train, trees=trees, seed=seed)
     metrics = {"trees": trees, "train_rows": train.count(), "test_rows": test.count()}
-    metrics |= evaluate(score(test, model))
+    # Scoring walks every tree, and the metrics pass over the scores several times.
+    scored = score(test, model).select("score", LABEL, "transactionamt")
+    metrics |= evaluate(materialise(scored, "test-scores"))
     if save_to:
         model.write().overwrite().save(save_to)
     schema = (

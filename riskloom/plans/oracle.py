@@ -214,7 +214,7 @@ report AS (
          feature IN ({mechanical}) AS mechanical FROM prob)"""
 
 
-def _reasons() -> str:
+def _reasons(which: str) -> str:
     means = ", ".join(f"avg({_input(c)}) AS m_{c}" for c in MODEL_FEATURES)
     entries = " UNION ALL ".join(
         f"SELECT transactionid, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, "
@@ -222,7 +222,7 @@ def _reasons() -> str:
         for c in MODEL_FEATURES
     )
     return f"""{SCORED}, means AS (SELECT {means} FROM scored),
-cases_m AS (SELECT * FROM scored CROSS JOIN means WHERE score >= 0.07::DOUBLE),
+cases_m AS (SELECT * FROM scored CROSS JOIN means WHERE {which}),
 long AS ({entries}),
 reasons AS (
   SELECT transactionid,
@@ -233,7 +233,8 @@ reasons AS (
   FROM long)"""
 
 
-REASONS = _reasons()
+REASONS = _reasons("score >= 0.07::DOUBLE")
+ALL_REASONS = _reasons("true")
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in DISPLAY_NAMES.items())
 
 RAW_FEED = """raw AS (
@@ -321,6 +322,10 @@ ORACLE = {
       SELECT {', '.join('t.' + c for c in TRANSACTION_COLUMNS)},
              {', '.join('i.' + c for c in IDENTITY_COLUMNS[1:])}
       FROM tx t LEFT JOIN raw_idn i USING (transactionid)""",
+    "etl_load": f"""WITH {TX}, {RAW_ID}
+      SELECT t.transactionid, t.transactiondt, t.transactionamt, t.card1, t.p_emaildomain,
+        i.devicetype FROM tx t LEFT JOIN raw_idn i USING (transactionid)
+      WHERE t.transactiondt >= {15 * 86400}""",
     "prune_columns": f"""SELECT event_id AS transactionid, {_DT} AS transactiondt,
       CAST(value AS FLOAT) AS dist1, CASE WHEN event_id % 3 = 0 THEN 'T' END AS m4,
       CAST(1000 + user_id AS INTEGER) AS card1, 'gmail.com' AS p_emaildomain FROM events""",
@@ -378,10 +383,18 @@ ORACLE = {
       WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       SELECT round(SUM(pos * (tp::DOUBLE / (tp + fp))) / SUM(pos), 9) AS average_precision
       FROM above""",
+    "score_response": f"""WITH {ALL_REASONS} SELECT r.transactionid,
+      CAST(CAST(CAST(s.score AS DECIMAL(9,6)) AS DECIMAL(6,4)) AS DOUBLE) AS fraud_probability,
+      s.score >= 0.07::DOUBLE AS flagged,
+      CASE WHEN s.score >= 0.07::DOUBLE THEN 'FLAGGED FOR REVIEW' ELSE 'APPEARS LEGITIMATE' END
+        AS verdict,
+      0.07::DOUBLE AS threshold_used, r.rank, r.feature, round(r.contribution, 4) AS contribution
+      FROM reasons r JOIN scored s USING (transactionid)""",
     "flag_cases": f"WITH {FLAGGED} SELECT * FROM flagged",
     "pending_cases": f"WITH {DECIDED} SELECT * FROM pending",
     "pending_strict": f"""WITH {DECIDED} SELECT * FROM flagged
-      WHERE transactionid NOT IN (SELECT transactionid FROM decided) OR requires_second_approval""",
+      WHERE transactionid NOT IN (SELECT transactionid FROM decided)
+         OR (requires_second_approval AND transactionid % 10 <> 0)""",
     "pending_count": f"WITH {DECIDED} SELECT count(*) AS pending_count FROM pending",
     "pending_value": f"""WITH {DECIDED} SELECT CAST(COALESCE(SUM(transactionamt), 0)
       AS DECIMAL(30,2)) AS total_pending_value FROM pending JOIN tx USING (transactionid)""",

@@ -116,6 +116,22 @@ def split_identities(spark, sf_dir):
     return etl.split_merged(merged)[1]
 
 
+def etl_load(spark, sf_dir):
+    """The whole ETL over a target that holds the first half month."""
+    def ordered(rows):
+        return rows.withColumn("ingest_order", F.col("transactionid"))
+
+    rows = X.transactions(spark, sf_dir)
+    have = rows.filter(F.col("transactiondt") < HALF_MONTH)
+    devices = X.raw_identities(spark, sf_dir)
+    new_t, new_i = etl.run_etl(
+        ordered(rows), ordered(devices), have, tables.sample_identities(devices, have), None
+    )
+    return new_t.join(new_i.select("transactionid", "devicetype"), "transactionid", "left").select(
+        "transactionid", "transactiondt", "transactionamt", "card1", "p_emaildomain", "devicetype"
+    )
+
+
 def prune_columns(spark, sf_dir):
     return etl.prune_columns(X.raw_export(spark, sf_dir), TRANSACTION_COLUMNS)
 
@@ -273,11 +289,30 @@ def train_gbt(spark, sf_dir):
 
 
 def score_batch(spark, sf_dir):
+    """Flagged transactions with the reasons the trees give."""
     fitted = trained_model(spark, sf_dir)
-    table = feature_table(spark, sf_dir)
-    scored = model.score(table, fitted).filter(flagging.is_flagged())
-    reasons = explain.ranked(explain.tree_contributions(scored, fitted))
-    return flagging.score_response(scored, reasons)
+    scored = model.score(feature_table(spark, sf_dir), fitted).filter(flagging.is_flagged())
+    contributions = explain.tree_contributions(scored, fitted, keep=("score",))
+    return flagging.score_response(explain.ranked(contributions, ("score",)))
+
+
+def score_response(spark, sf_dir):
+    """The same record for all transactions under the rule score, one row per reason."""
+    scored = scored_table(spark, sf_dir)
+    contributions = explain.linear_contributions(
+        scored, X.RULE_WEIGHTS, explain.feature_means(scored)
+    )
+    response = flagging.score_response(explain.ranked(contributions, ("score",)))
+    return response.select("*", F.posexplode("reasons")).select(
+        "transactionid",
+        "fraud_probability",
+        "flagged",
+        "verdict",
+        "threshold_used",
+        (F.col("pos") + 1).alias("rank"),
+        "col.feature",
+        "col.contribution",
+    )
 
 
 def training_run(spark, sf_dir):
@@ -300,9 +335,12 @@ def pending_cases(spark, sf_dir):
 
 
 def pending_strict(spark, sf_dir):
-    return C.pending_cases(
-        flagged_table(spark, sf_dir), decision_table(spark, sf_dir), strict=True
-    )
+    """A second analyst has decided every other case the first one has."""
+    first = decision_table(spark, sf_dir)
+    second = first.filter("transactionid % 10 = 0").withColumn("analyst_name", F.lit("senior"))
+    again = first.filter("transactionid % 10 = 5")
+    decisions = first.unionByName(second).unionByName(again)
+    return C.pending_cases(flagged_table(spark, sf_dir), decisions, strict=True)
 
 
 def pending_count(spark, sf_dir):
@@ -521,6 +559,7 @@ REGISTRY = {
     "load_if_absent": load_if_absent,
     "split_identities": split_identities,
     "etl_merged": etl_merged,
+    "etl_load": etl_load,
     "prune_columns": prune_columns,
     "quality_rejects": quality_rejects,
     "quality_valid": quality_valid,
@@ -544,6 +583,7 @@ REGISTRY = {
     "average_precision": average_precision,
     "train_gbt": train_gbt,
     "score_batch": score_batch,
+    "score_response": score_response,
     "training_run": training_run,
     "flag_cases": flag_cases,
     "pending_cases": pending_cases,

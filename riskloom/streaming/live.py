@@ -44,6 +44,7 @@ PAST = [
     "email_txn_count_before_this", "no_identity_high_velocity",
 ]
 _KEYS = ("uid", "p_emaildomain")
+SCORE_COLUMNS = ["transactionid", "transactiondt", "transactionamt", "score"]
 
 
 @dataclass(frozen=True)
@@ -187,6 +188,8 @@ def process_batch(
     if scorer is not None:
         features = spark.read.parquet(f"{tables.path('features')}/batch_id={batch_id}")
         scored = scorer(features.filter(~F.col("is_late")))
+        tables.write(scored.select(*SCORE_COLUMNS), "scores", batch_id)
+        scored = spark.read.parquet(f"{tables.path('scores')}/batch_id={batch_id}")
         tables.write(activity(scored, threshold), "activity", batch_id)
         cases = flag(scored, threshold).withColumn("flagged_at", F.current_timestamp())
         tables.write(cases, "flagged", batch_id)

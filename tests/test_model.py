@@ -98,7 +98,7 @@ def test_contributions_are_shapley_values(spark, data, fitted):
 
 def test_reasons_and_response(spark, data, fitted):
     scored = model.score(data, fitted)
-    contributions = explain.tree_contributions(scored, fitted)
+    contributions = explain.tree_contributions(scored, fitted, keep=("score",))
     long = explain.reasons(contributions)
     assert long.count() == 600 * 13
     top = long.filter("transactionid = 5").orderBy("rank").collect()
@@ -106,7 +106,7 @@ def test_reasons_and_response(spark, data, fitted):
     assert sizes == sorted(sizes, reverse=True) and top[0].strongest == sizes[0]
     shown = explain.reasons_display(long).filter("rank = 1")
     assert shown.filter("relative_share <> 1.0 AND contribution <> 0").count() == 0
-    response = flagging.score_response(scored, explain.ranked(contributions)).first()
+    response = flagging.score_response(explain.ranked(contributions, ("score",))).first()
     assert len(response.reasons) == 13 and response.threshold_used == 0.07
 
 
