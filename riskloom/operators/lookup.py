@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.expressions import coerce_double
 from riskloom.operators.features import (
     HISTORY_INPUTS,
+    INPUTS,
     customer_history,
     derive_features,
     email_history,
@@ -52,6 +53,22 @@ def features_for_ids(
     return derive_features(with_identity(targets, identities))
 
 
+def features_for_new(
+    history: DataFrame, identities: DataFrame, arrivals: DataFrame, small_rows: int = SMALL_TABLE
+) -> DataFrame:
+    """Features of transactions that are not stored yet, from what is known of them.
+
+    Columns an arrival lacks are NULL, its label among them. An id that is
+    already stored keeps its stored row.
+    """
+    known = [c for c in INPUTS if c in arrivals.columns and c != "isfraud"]
+    fresh = arrivals.select(*known).join(
+        history.select("transactionid"), "transactionid", "left_anti"
+    )
+    together = history.select(*INPUTS).unionByName(fresh, allowMissingColumns=True)
+    return features_for_ids(together, identities, arrivals, small_rows)
+
+
 def model_inputs(features: DataFrame) -> DataFrame:
     """Id plus the model's columns, every one a double; no-numbers become NULL."""
     return coerce_double(features.select("transactionid", *MODEL_FEATURES), MODEL_FEATURES)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from riskloom.operators.drift import MECHANICAL, MONITORED, SERIES_TERMS
 from riskloom.operators.explain import DISPLAY_NAMES
-from riskloom.operators.features import OUTPUTS
+from riskloom.operators.features import INPUTS, OUTPUTS
 from riskloom.schemas import (
+    ARRIVAL,
     IDENTITIES,
     IDENTITY_COLUMNS,
     MODEL_FEATURES,
@@ -307,6 +308,11 @@ def _card_average(source: str) -> str:
 
 
 _OUT = ", ".join(OUTPUTS)
+_UNKNOWN = ", ".join(
+    f"CASE WHEN transactiondt < {15 * 86400} THEN {c} END AS {c}"
+    for c in INPUTS
+    if c not in ARRIVAL.names
+)
 
 ORACLE = {
     "scan_transactions": f"WITH {TX} SELECT * FROM tx",
@@ -353,6 +359,9 @@ ORACLE = {
       SELECT transactionid, p_emaildomain, email_txn_count_before_this FROM feat""",
     "features_for_ids": f"""WITH {FEAT} SELECT {_OUT} FROM feat
       WHERE transactionid IN (SELECT max(transactionid) FROM tx GROUP BY card1)""",
+    "features_for_new": f"""WITH {TX}, {ID}, known AS (SELECT * REPLACE ({_UNKNOWN}) FROM tx),
+      {_keyed('known', 'keyed')}, {_features('keyed', 'feat')}
+      SELECT {_OUT} FROM feat WHERE transactiondt >= {15 * 86400}""",
     "model_inputs": f"""WITH {FEAT} SELECT transactionid,
       {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in MODEL_FEATURES)} FROM feat
       WHERE transactionid IN (SELECT max(transactionid) FROM tx GROUP BY card1)""",

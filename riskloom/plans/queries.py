@@ -19,11 +19,17 @@ from riskloom.operators.features import (
     profile_transactions,
     transaction_features,
 )
-from riskloom.operators.lookup import features_for_ids, high_water, model_inputs
+from riskloom.operators.lookup import (
+    features_for_ids,
+    features_for_new,
+    high_water,
+    model_inputs,
+)
 from riskloom.operators.prefix import time_rank
 from riskloom.plans import etl
 from riskloom.schemas import (
     ANALYST_DECISIONS,
+    ARRIVAL,
     IDENTITY_COLUMNS,
     TRANSACTION_COLUMNS,
     TRANSACTIONS,
@@ -202,6 +208,18 @@ def lookup(spark, sf_dir):
     )
 
 
+def arrivals_lookup(spark, sf_dir):
+    """The second half month arrives with the six facts a caller knows."""
+    rows = X.transactions(spark, sf_dir)
+    is_old = F.col("transactiondt") < HALF_MONTH
+    return features_for_new(
+        rows.filter(is_old),
+        X.identities(spark, sf_dir),
+        rows.filter(~is_old).select(*ARRIVAL.names),
+        SLICED,
+    )
+
+
 def lookup_inputs(spark, sf_dir):
     return model_inputs(lookup(spark, sf_dir))
 
@@ -568,6 +586,7 @@ REGISTRY = {
     "features": features,
     "email_prefix": email_prefix,
     "features_for_ids": lookup,
+    "features_for_new": arrivals_lookup,
     "model_inputs": lookup_inputs,
     "card_prior_avg": card_prior_avg,
     "card_prior_avg_ties": card_prior_avg_ties,
