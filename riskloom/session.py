@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
+_owned: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, named by ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only for a single-machine session (tests);
-    on a cluster a missing setting is an error, because executors could not
-    see each other's files.
-    """
-    global _local_root
+    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse
+    (which is shared by definition) where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="riskloom-")
-    return _local_root
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/riskloom/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; nothing is created yet.
+
+    The path belongs to this program and is deleted when it ends, or by ``release``.
+    """
+    path = f"{shared_root(spark)}/riskloom/{purpose}-{uuid.uuid4().hex}"
+    _owned.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediates of this program; frames that read them end with it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _owned:
+        target = hadoop(_owned.pop()[1])
+        target.getFileSystem(conf).delete(target, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        if _owned:
+            release(_owned[0][0])
+    except Exception:  # noqa: BLE001  the session ended first: the folder's retention rule remains
+        pass
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -47,4 +59,4 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let iterative jobs cut lineage; a configured folder is already in use."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/riskloom/checkpoints")
