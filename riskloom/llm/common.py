@@ -75,5 +75,6 @@ def span_digests(df: DataFrame, kinds: list[str], base: list[str], passing: list
     out = df.withColumn("_o", ordered)
     joined = F.array_join(F.transform("_o", lambda s: s["label"]), ",")
     of_base = F.array_join(F.transform(F.filter("_o", lambda s: s["kind"].isin(base)), lambda s: s["label"]), ",")
-    counts = [F.size(F.filter("_o", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    count = lambda kind: F.size(F.filter("_o", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in base]
     return out.select(*passing, *counts, F.sha2(of_base, 256).alias("base_sha256"), joined.alias("spans"))
