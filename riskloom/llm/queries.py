@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality_rules, secret_scan, url_filter
+from . import bpe, langid, pii, quality_rules, secret_scan, simhash, url_filter
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,14 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -37,7 +45,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": rules,
     "op3_secret_scan": secrets,
     "op4_url_filter": urls,
+    "op5_simhash": near_duplicates,
     "op7_byte_bpe": tokens,
+    "op8_language_id": languages,
     "op9_personal_data": personal_data,
 }
 
