@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, pii, quality_rules, secret_scan, simhash, url_filter
+from . import bpe, decontaminate, langid, line_crf, pii, quality_rules, secret_scan, simhash, url_filter
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +45,10 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digests(table(spark, sf_dir, "documents"))
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": rules,
     "op3_secret_scan": secrets,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": tokens,
     "op8_language_id": languages,
     "op9_personal_data": personal_data,
+    "op10_line_crf": quality,
 }
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.oracle()}
