@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,13 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go now: Spark drops them when the driver's
+    garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let iterative jobs cut lineage; a configured folder is already in use."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
