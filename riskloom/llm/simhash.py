@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -73,32 +74,38 @@ def majority(hashes: np.ndarray) -> int:
 
 @lru_cache(maxsize=1)
 def golay() -> tuple[np.ndarray, np.ndarray]:
-    """For each of 2^11 syndromes: the index offsets of the near codewords, up to six, -1 filled.
+    """The remainders of the 2^12 data parts, and for each of 2^11 syndromes the error
+    patterns of up to four bits that have it: one or six, -1 filled.
 
-    Codewords are data * 2^11 + remainder; codeword index = data bits. For a word w with
-    syndrome s, the codewords within four bits of it are w ^ e for the error patterns e of s.
+    Codewords are data * 2^11 + remainder. For a word with syndrome s, the codewords within
+    four bits are the word ^ e for the patterns e of s.
     """
     # Fixed value: the generator x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
     generator = 0b101011100011
-    words = np.arange(1 << 23, dtype=np.uint32)
-    syndromes = words.copy()
-    for bit in range(22, 10, -1):
-        syndromes ^= np.where(syndromes >> bit & 1, np.uint32(generator << (bit - 11)), np.uint32(0))
-    light = np.flatnonzero(np.bitwise_count(words) <= 4).astype(np.uint32)
+    rest = np.zeros(1 << 12, np.int64)
+    for data in range(1 << 12):
+        left = data << 11
+        for bit in range(22, 10, -1):
+            if left >> bit & 1:
+                left ^= generator << (bit - 11)
+        rest[data] = left
     near = np.full((1 << 11, 6), -1, np.int64)
     filled = np.zeros(1 << 11, np.int64)
-    for e in light[np.argsort(np.bitwise_count(light), kind="stable")].tolist():
-        s = syndromes[e]
-        near[s, filled[s]] = e
-        filled[s] += 1
-    return syndromes.astype(np.uint16), near
+    for weight in range(5):
+        for bits in combinations(range(23), weight):
+            e = sum(1 << b for b in bits)
+            s = rest[e >> 11] ^ (e & 0x7FF)
+            near[s, filled[s]] = e
+            filled[s] += 1
+    return rest, near
 
 
 def segment_keys(values: np.ndarray) -> np.ndarray:
     """Indices of the codewords within four bits of each segment: (n, 6), -1 filled."""
-    syndromes, near = golay()
-    errors = near[syndromes[values]]
-    return np.where(errors < 0, -1, (values[:, None].astype(np.int64) ^ errors) >> 11)
+    rest, near = golay()
+    values = values.astype(np.int64)
+    errors = near[rest[values >> 11] ^ (values & 0x7FF)]
+    return np.where(errors < 0, -1, (values[:, None] ^ errors) >> 11)
 
 
 def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
