@@ -29,6 +29,16 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs meets one that an operator adds."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns again, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in docs.columns]
+
+
 def doc_hash_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod

@@ -211,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> di
     """Fitted on at most `most` documents; the labels given are all that may be learned from."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "_labelled")
+    docs = docs.select("doc_id", "text")
     chosen = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_labelled"]).select("doc_id", "text", "_label")
 
     def make():

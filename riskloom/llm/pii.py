@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_digests
+from .common import packed, span_digests, unpacked
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind to pattern. A guard keeps a failed run from being tried again at each of its characters;
@@ -157,8 +157,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """All rows and columns, with personal data in text masked; null texts stay null."""
-    marked = docs.withColumn("_pii", all_spans(F.col("text")))
-    return marked.withColumn("text", masked(F.col("text"), F.col("_pii"))).drop("_pii")
+    marked = docs.select(packed(docs), all_spans(docs["text"]).alias("_pii"))
+    return marked.select(*unpacked(docs, text=masked(F.col("_row.text"), F.col("_pii"))))
 
 
 def personal_data_digests(docs: DataFrame) -> DataFrame:

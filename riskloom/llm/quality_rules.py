@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import packed, unpacked, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -104,7 +104,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """A row per document and distinct line: doc_id, host, line, and the document's key: its least
     and greatest line hash, which copies and most near copies share."""
     hashes = F.transform("_lines", lambda line: line["line"])
-    listed = with_lines(docs).select("doc_id", F.col("source").alias("host"), F.array_distinct(hashes).alias("_h"))
+    listed = with_lines(docs.select("doc_id", "text", "source")).select("doc_id", F.col("source").alias("host"), F.array_distinct(hashes).alias("_h"))
     key = F.xxhash64(F.array_min("_h"), F.array_max("_h"))
     return listed.select("doc_id", "host", key.alias("key"), F.explode("_h").alias("line"))
 
@@ -160,11 +160,13 @@ def filter_documents(
     docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_removed: float = MOST_REMOVED
 ) -> DataFrame:
     """The kept documents with all their columns, without their frequent lines; n_chars, if there, follows."""
-    counted = with_lines(with_base(docs))
+    narrow = docs.select(packed(docs), "doc_id", "text", "source")
+    counted = with_lines(with_base(narrow)).drop("text")
     found = with_verdict(with_frequent(counted, line_rows(docs), most_documents), most_removed).filter("kept")
-    rest = F.filter(F.split("text", "\n", -1), lambda line: ~is_frequent(line_facts(line)["line"]))
-    text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    changed = found.withColumn("text", text)
+    old, untouched = F.col("_row.text"), F.col("_frequent").isNull()
+    rest = F.filter(F.split(old, "\n", -1), lambda line: ~is_frequent(line_facts(line)["line"]))
+    changed = {"text": F.when(untouched, old).otherwise(F.array_join(rest, "\n"))}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_frequent").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*docs.columns)
+        length = F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(untouched, F.col("_row.n_chars")).otherwise(length)
+    return found.select(*unpacked(docs, **changed))

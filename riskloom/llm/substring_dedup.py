@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 from riskloom.session import materialise, tidy
 
+from .common import packed, unpacked
+
 WINDOW = 35
 ANCHOR = 12
 CACHE = 400_000
@@ -230,7 +233,7 @@ def kept_words(text: str | None, spans: list[dict] | None, window: int) -> tuple
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds text_hash and spans (null: nothing repeated) to all rows."""
+    """Adds text_hash and spans (null: nothing repeated) to doc_id, text and other columns of other names."""
     ided = docs.withColumn("text_hash", F.xxhash64("text"))
     return _joined(ided, repeated_windows(ided, window), "left")
 
@@ -240,11 +243,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: " ".join(kept_words(t, list(s), window)[0]))
+        return pd.Series([" ".join(kept_words(t, list(s), window)[0]) for t, s in zip(texts, spans)], dtype=object)
 
-    marked = with_spans(docs, window)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    return marked.withColumn("text", text).select(*docs.columns)
+    marked = with_spans(docs.select(packed(docs), "doc_id", "text"), window)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", F.coalesce("spans", F.array())))
+    return marked.select(*unpacked(docs, text=text))
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
