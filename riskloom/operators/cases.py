@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.expressions import day_number, elapsed_label
 from riskloom.operators.prefix import time_rank
+from riskloom.schemas import ANALYST_DECISIONS
+from riskloom.sources.tables import read_target
+
+LOG = T.StructType([*ANALYST_DECISIONS.fields, T.StructField("batch", T.IntegerType())])
 
 # Rows shown in the queue and in the activity feed, and the
 # levels at which a key figure turns into an alert.
@@ -15,6 +20,7 @@ FEED_ROWS = 15
 RISK_ALERT = 0.5
 PENDING_ALERT = 1000
 
+# What an analyst sees of a case.
 CONTEXT_COLUMNS = [
     "transactionamt", "transactiondt", "productcd", "card1", "card4", "card6", "addr1",
     "addr2", "dist1", "p_emaildomain", "r_emaildomain",
@@ -78,11 +84,11 @@ def case_queue(
     devices = identities.select("transactionid", "devicetype", "deviceinfo")
     if limit is None:
         return open_cases.join(context, "transactionid").join(devices, "transactionid", "left")
-    # An inner join with the key column leaves Spark free to build on the cases.
+    # A case without its transaction is no row of the queue, so the key join comes first; Spark
+    # sees how small the cases and ``top`` are and chooses the joins.
     top = _riskiest(open_cases.join(transactions.select("transactionid"), "transactionid"), limit)
-    # ``top`` has at most ``limit`` rows, so it may be broadcast.
-    cases = context.join(F.broadcast(top), "transactionid")
-    few = devices.join(F.broadcast(top.select("transactionid")), "transactionid", "left_semi")
+    cases = context.join(top, "transactionid")
+    few = devices.join(top.select("transactionid"), "transactionid", "left_semi")
     return _riskiest(cases.join(few, "transactionid", "left"), limit).select(
         *open_cases.columns, *CONTEXT_COLUMNS, "devicetype", "deviceinfo"
     )
@@ -146,7 +152,7 @@ def queue_kpis(
 
 
 def case_context(queue: DataFrame) -> DataFrame:
-    """Words for each case: elapsed time and the approval tag."""
+    """Words for each case (fixed values): elapsed time and the approval tag."""
     return queue.select(
         "transactionid",
         "fraud_probability",
@@ -159,7 +165,7 @@ def case_context(queue: DataFrame) -> DataFrame:
 
 
 def recent_activity(log: DataFrame, n: int = FEED_ROWS) -> DataFrame:
-    """Latest log rows with their status word."""
+    """Latest log rows with their status word (fixed values)."""
     return (
         log.orderBy(F.col("processed_at").desc_nulls_last(), F.col("transactionid").desc())
         .limit(n)
@@ -192,6 +198,17 @@ def number_decisions(decisions: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def append_decisions(decisions: DataFrame, path: str, batch: int) -> None:
+    """Store one batch of decisions in the log at ``path``, numbered after the batches before it.
+
+    A batch that is written again gets the same ids and replaces itself.
+    """
+    spark = decisions.sparkSession
+    log = read_target(spark, path, LOG)
+    numbered = number_decisions(decisions, log.filter(F.col("batch") < batch))
+    numbered.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def decision_breakdown(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(
         F.count(F.lit(1)).alias("n_decisions"),

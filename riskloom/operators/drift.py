@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.prefix import (
     SLICE,
-    SMALL_TABLE,
     bucketize,
     prefix_aggregate,
     quantile_splits,
@@ -40,11 +39,7 @@ def _p_value() -> Column:
     return F.when(F.col("lam") < 0.2, 1.0).otherwise(bounded)
 
 
-def drift_report(
-    split: DataFrame,
-    features: list[str] = MONITORED,
-    small_rows: int = SMALL_TABLE,
-) -> DataFrame:
+def drift_report(split: DataFrame, features: list[str] = MONITORED) -> DataFrame:
     """One row per feature with at least ten values on both sides.
 
     ``split`` has a ``side`` of 'reference' or 'current'. Equal values merge
@@ -53,9 +48,7 @@ def drift_report(
     """
     wide = split.select("side", *[F.col(c).cast("double").alias(c) for c in features])
     rows = wide.count()
-    splits: list[tuple] = [() for _ in features]
-    if rows > small_rows:
-        splits = quantile_splits(wide, features, rows)
+    splits = quantile_splits(wide, features, rows)
     for name, cut in zip(features, splits):
         wide = bucketize(wide, name, cut, f"__slice_{name}")
     entries = F.array(

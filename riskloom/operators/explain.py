@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import factorial
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel
@@ -165,37 +162,55 @@ def _leaves(nodes: list[dict]):
                 stack.append((child, {**path, f: (max(old[0], low), min(old[1], high), share)}))
 
 
-def leaf_tables(nodes: list[dict]) -> tuple[float, list[tuple]]:
-    """Base value, and per leaf its features, bounds and a contribution table.
+def leaf_groups(nodes: list[dict]) -> tuple[float, list[tuple]]:
+    """Base value, and the leaves by path length m: features, bounds and shares (leaves, m), values."""
+    base, by_length = 0.0, {}
+    for value, path in _leaves(nodes):
+        base += value * float(np.prod([b[2] for b in path.values()]))
+        if path:
+            by_length.setdefault(len(path), []).append((list(path), list(path.values()), value))
+    groups = []
+    for leaves in by_length.values():
+        bounds = np.array([b for _, b, _ in leaves])
+        groups.append(
+            (
+                np.array([f for f, _, _ in leaves]),
+                *(bounds[:, :, k] for k in range(3)),
+                np.array([v for _, _, v in leaves]),
+            )
+        )
+    return base, groups
+
+
+def shapley_values(x: np.ndarray, groups: list[tuple]) -> np.ndarray:
+    """Contribution of each feature to each row, in log-odds.
 
-    A leaf depends on a row only through which of its path conditions the row
-    meets. For each of these combinations the table holds the Shapley value of
-    every path feature, where a feature that is left out counts with the share
-    of training rows that take its branch. Values are in log-odds.
+    A leaf depends on a row only through which of its path conditions the row meets; a
+    feature left out counts with the share of training rows that take its branch. With
+    o = 1 where the condition is met and z the share, the Shapley value of feature i is
+    value * (o_i - z_i) times the integral over u from 0 to 1 of the product, over the
+    other features, of z (1 - u) + o u: a polynomial, so Gauss's points give it exactly.
     """
-    base, tables = 0.0, []
-    for value, path in _leaves(nodes):
-        m = len(path)
-        bounds = list(path.values())
-        z = [b[2] for b in bounds]
-        base += value * float(np.prod(z)) if m else value
-        if not m:
-            continue
-        table = np.zeros((2**m, m))
-        for code in range(2**m):
-            o = [(code >> j) & 1 for j in range(m)]
-            for i in range(m):
-                others = [j for j in range(m) if j != i]
-                total = 0.0
-                for size in range(m):
-                    w = factorial(size) * factorial(m - size - 1) / factorial(m)
-                    for chosen in combinations(others, size):
-                        total += w * np.prod([o[j] if j in chosen else z[j] for j in others])
-                table[code, i] = value * (o[i] - z[i]) * total
-        low = np.array([b[0] for b in bounds])
-        high = np.array([b[1] for b in bounds])
-        tables.append((np.array(list(path)), low, high, table))
-    return base, tables
+    out = np.zeros_like(x)
+    for used, low, high, share, value in groups:
+        leaves, m = used.shape
+        points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+        place = np.zeros((leaves * m, x.shape[1]))
+        place[np.arange(leaves * m), used.ravel()] = 1.0
+        rows = max(1, 2_000_000 // (leaves * m))
+        for at in range(0, len(x), rows):
+            v = x[at : at + rows][:, used]
+            met = ((v > low) & (v <= high)).astype(float)
+            gain = np.zeros_like(met)
+            for u, w in zip((points + 1) / 2, weights / 2):
+                factor = share * (1 - u) + met * u
+                before, after = np.ones_like(met), np.ones_like(met)
+                np.cumprod(factor[:, :, :-1], axis=2, out=before[:, :, 1:])
+                after[:, :, :-1] = np.cumprod(factor[:, :, :0:-1], axis=2)[:, :, ::-1]
+                gain += w * before * after
+            gain *= (met - share) * value[:, None]
+            out[at : at + rows] += gain.reshape(len(gain), -1) @ place
+    return out
 
 
 def tree_contributions(
@@ -204,12 +219,12 @@ def tree_contributions(
     """``c_<feature>`` in log-odds, and ``base``; they sum to the score's log-odds.
 
     Model inputs and the columns ``keep`` stay, so no join back is needed.
-    Every batch of rows is handled where it is; only the leaf tables, whose size
-    is that of the model, travel to the tasks.
+    Every batch of rows is handled where it is; only the leaves' paths, three numbers
+    per node on them, travel to the tasks.
     """
     spark = features.sparkSession
-    base, tables = leaf_tables(tree_nodes(model, spark))
-    shared = spark.sparkContext.broadcast(tables)
+    base, groups = leaf_groups(tree_nodes(model, spark))
+    shared = spark.sparkContext.broadcast(groups)
     columns = [f"c_{c}" for c in MODEL_FEATURES]
     rows = features.select(
         "transactionid", *keep, *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]
@@ -219,11 +234,7 @@ def tree_contributions(
 
     def contribute(batches):
         for batch in batches:
-            x = batch[MODEL_FEATURES].fillna(MISSING).to_numpy()
-            out = np.zeros_like(x)
-            for used, low, high, table in shared.value:
-                met = (x[:, used] > low) & (x[:, used] <= high)
-                out[:, used] += table[met @ (1 << np.arange(len(used)))]
+            out = shapley_values(batch[MODEL_FEATURES].fillna(MISSING).to_numpy(), shared.value)
             yield pd.concat([batch, pd.DataFrame(out, columns=columns)], axis=1).assign(base=base)
 
     return rows.mapInPandas(contribute, ", ".join(fields))

@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as E
-from riskloom.operators.prefix import (
-    SMALL_TABLE,
-    OrderProfile,
-    prefix_aggregate,
-    profile_order,
-)
+from riskloom.operators.prefix import OrderProfile, prefix_aggregate, profile_order
 
 ORDER = ["transactiondt", "transactionid"]
 
@@ -66,8 +61,8 @@ def with_identity(transactions: DataFrame, identities: DataFrame) -> DataFrame:
     )
 
 
-def profile_transactions(keyed: DataFrame, small_rows: int = SMALL_TABLE) -> OrderProfile:
-    return profile_order(keyed, *ORDER, keys=("uid", "p_emaildomain"), small_rows=small_rows)
+def profile_transactions(keyed: DataFrame) -> OrderProfile:
+    return profile_order(keyed, *ORDER, keys=("uid", "p_emaildomain"))
 
 
 def customer_history(keyed: DataFrame, profile: OrderProfile, **options) -> DataFrame:
@@ -114,9 +109,7 @@ def derive_features(history: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def transaction_features(
-    transactions: DataFrame, identities: DataFrame, small_rows: int = SMALL_TABLE
-) -> DataFrame:
+def transaction_features(transactions: DataFrame, identities: DataFrame) -> DataFrame:
     """One row of features per transaction.
 
     Rows move three times: by (uid, slice), by (e-mail domain, slice) and by id
@@ -124,14 +117,12 @@ def transaction_features(
     consumer asks for one.
     """
     keyed = prepare(transactions)
-    profile = profile_transactions(keyed, small_rows)
+    profile = profile_transactions(keyed)
     history = email_history(customer_history(keyed, profile), profile, totals_from=keyed)
     return derive_features(with_identity(history, identities))
 
 
-def card_prior_average(
-    transactions: DataFrame, limit: int | None = 20, small_rows: int = SMALL_TABLE
-) -> DataFrame:
+def card_prior_average(transactions: DataFrame, limit: int | None = 20) -> DataFrame:
     """Mean earlier amount per card number, first rows by card and time."""
     narrow = transactions.select(
         "transactionid",
@@ -140,7 +131,7 @@ def card_prior_average(
         "transactionamt",
         (F.col("transactionamt") * 100).cast("long").alias("amt_cents"),
     )
-    profile = profile_order(narrow, *ORDER, keys=("card1",), small_rows=small_rows)
+    profile = profile_order(narrow, *ORDER, keys=("card1",))
     out = prefix_aggregate(
         narrow,
         ORDER,

@@ -16,13 +16,12 @@ from riskloom.operators.features import (
     profile_transactions,
     with_identity,
 )
-from riskloom.operators.prefix import SMALL_TABLE
 from riskloom.schemas import MODEL_FEATURES
 from riskloom.session import materialise
 
 
 def features_for_ids(
-    transactions: DataFrame, identities: DataFrame, ids: DataFrame, small_rows: int = SMALL_TABLE
+    transactions: DataFrame, identities: DataFrame, ids: DataFrame
 ) -> DataFrame:
     """Feature rows of the transactions named in ``ids`` (column transactionid).
 
@@ -34,7 +33,7 @@ def features_for_ids(
     """
     ids = ids.select("transactionid").distinct()
     keyed = prepare(transactions)
-    profile = profile_transactions(keyed, small_rows)
+    profile = profile_transactions(keyed)
     # Read by four joins below, so it is found once and kept.
     targets = materialise(keyed.join(ids, "transactionid", "left_semi"), "lookup")
     wanted = targets.select("transactionid")
@@ -53,20 +52,27 @@ def features_for_ids(
     return derive_features(with_identity(targets, identities))
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """One row per id, of differing ones the least; copies collapse before they move."""
+    rest = [c for c in rows.columns if c != "transactionid"]
+    least = rows.groupBy("transactionid").agg(F.min(F.struct(*rest)).alias("row"))
+    return least.select("transactionid", "row.*").select(*rows.columns)
+
+
 def features_for_new(
-    history: DataFrame, identities: DataFrame, arrivals: DataFrame, small_rows: int = SMALL_TABLE
+    history: DataFrame, identities: DataFrame, arrivals: DataFrame
 ) -> DataFrame:
     """Features of transactions that are not stored yet, from what is known of them.
 
     Columns an arrival lacks are NULL, its label among them. An id that is
-    already stored keeps its stored row.
+    already stored keeps its stored row; of an id sent several times one row counts.
     """
     known = [c for c in INPUTS if c in arrivals.columns and c != "isfraud"]
-    fresh = arrivals.select(*known).join(
-        history.select("transactionid"), "transactionid", "left_anti"
+    fresh = one_per_id(arrivals.select(*known)).join(
+        history.select("transactionid").distinct(), "transactionid", "left_anti"
     )
     together = history.select(*INPUTS).unionByName(fresh, allowMissingColumns=True)
-    return features_for_ids(together, identities, arrivals, small_rows)
+    return features_for_ids(together, identities, arrivals)
 
 
 def model_inputs(features: DataFrame) -> DataFrame:

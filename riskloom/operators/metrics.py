@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.prefix import (
     SLICE,
-    SMALL_TABLE,
     bucketize,
     prefix_aggregate,
     quantile_splits,
 )
 
 
-def _by_score(df: DataFrame, score: str, label: str, small_rows: int) -> DataFrame:
+def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row per distinct score: positives, negatives, and those scored lower.
 
     Rows fall into slices of consecutive scores first, so the running counts
@@ -22,9 +21,7 @@ def _by_score(df: DataFrame, score: str, label: str, small_rows: int) -> DataFra
     """
     labelled = df.select(F.col(score).alias("score"), F.col(label).alias("label")).dropna()
     rows = labelled.count()
-    splits: tuple = ()
-    if rows > small_rows:
-        (splits,) = quantile_splits(labelled, ["score"], rows)
+    (splits,) = quantile_splits(labelled, ["score"], rows)
     scores = (
         bucketize(labelled, "score", splits, SLICE)
         .groupBy(SLICE, "score")
@@ -40,9 +37,7 @@ def _wide(name: str):
     return F.coalesce(F.col(name), F.lit(0)).cast("decimal(19,0)")
 
 
-def roc_auc(
-    df: DataFrame, score: str = "score", label: str = "isfraud", small_rows: int = SMALL_TABLE
-) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", label: str = "isfraud") -> DataFrame:
     """Area under the ROC curve: share of (positive, negative) pairs ranked right.
 
     A tied pair counts half. The pair count is a whole number kept in a wide
@@ -50,7 +45,7 @@ def roc_auc(
     """
     pairs = _wide("pos") * (2 * _wide("neg_below") + _wide("neg"))
     return (
-        _by_score(df, score, label, small_rows)
+        _by_score(df, score, label)
         .agg(
             F.sum(pairs.cast("decimal(38,0)")).cast("double").alias("twice"),
             F.sum("pos").cast("double").alias("p"),
@@ -63,16 +58,14 @@ def roc_auc(
     )
 
 
-def average_precision(
-    df: DataFrame, score: str = "score", label: str = "isfraud", small_rows: int = SMALL_TABLE
-) -> DataFrame:
+def average_precision(df: DataFrame, score: str = "score", label: str = "isfraud") -> DataFrame:
     """Step sum of precision over recall; no interpolation. NULL without positives."""
     falling = df.select((-F.col(score)).alias("falling"), label)
     hits = F.coalesce(F.col("pos_below"), F.lit(0)) + F.col("pos")
     alarms = F.coalesce(F.col("neg_below"), F.lit(0)) + F.col("neg")
     precision = hits.cast("double") / F.nullif(hits + alarms, F.lit(0))
     return (
-        _by_score(falling, "falling", label, small_rows)
+        _by_score(falling, "falling", label)
         .agg(F.sum(F.col("pos") * precision).alias("gain"), F.sum("pos").alias("p"))
         .select(F.when(F.col("p") > 0, F.col("gain") / F.col("p")).alias("average_precision"))
     )

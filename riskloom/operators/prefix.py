@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 SLICE = "__slice"
 _KEY = ["__key", "__key_null"]
 
-SAMPLE_ROWS = 1_000_000
-MAX_SLICES = 10_000
-MAX_HOT_KEYS = 10_000
-SMALL_TABLE = 100_000
+# A task should sort no more rows of one key than this, nor more than one in
+# LEAST_SLICES of the table. Slices, hot keys and sample grow with the counted rows.
+ROWS_PER_SLICE = 2_000_000
+LEAST_SLICES = 64
+SAMPLED_PER_SLICE = 1_000
 
 
 @dataclass(frozen=True)
@@ -49,26 +50,27 @@ def _position(time: str, tie: str | None, low: float, high: float) -> Column:
     The tie-breaker becomes a fraction below one, so rows that share one time
     value can still be cut apart.
     """
-    at = F.col(time).cast("double")
+    # A NULL comes first, as it does in the window's order.
+    at = F.coalesce(F.col(time).cast("double"), F.lit(float("-inf")))
     if tie is None:
         return at
     fraction = (F.col(tie).cast("double") - F.lit(low)) / F.lit(high - low + 1.0)
     return at + F.greatest(F.lit(0.0), F.least(fraction, F.lit(0.999999)))
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def slice_count(rows: int) -> int:
+    return max(LEAST_SLICES, -(-rows // ROWS_PER_SLICE))
 
 
 def draw_sample(df: DataFrame, rows: int) -> DataFrame:
-    """About SAMPLE_ROWS rows in a few partitions.
+    """About SAMPLED_PER_SLICE rows for each slice, in a few partitions.
 
     Sketches of the sample are then merged from a few tasks, not from as many
     as the table has splits.
     """
-    fraction = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    fraction = min(1.0, SAMPLED_PER_SLICE * slice_count(rows) / max(rows, 1))
     sample = df if fraction == 1.0 else df.sample(fraction, seed=11)
-    return sample.repartition(min(32, _partitions(df)))
+    return sample.repartition(min(32, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def _quantiles(column: Column, slices: int) -> Column:
@@ -76,60 +78,53 @@ def _quantiles(column: Column, slices: int) -> Column:
 
 
 def _rising(quantiles: list | None) -> tuple[float, ...]:
-    return tuple(sorted({float(q) for q in quantiles or []}))
+    return tuple(sorted({float(q) for q in quantiles or []} - {float("-inf")}))
 
 
 def quantile_splits(df: DataFrame, columns: list[str], rows: int) -> list[tuple]:
     """Inner split points of each column from a sample, strictly rising."""
-    slices = slice_count(df)
+    slices = slice_count(rows)
     sample = draw_sample(df.select(*columns), rows)
     found = sample.agg(*[_quantiles(F.col(c), slices).alias(c) for c in columns]).first()
     return [_rising(q) for q in found]
 
 
-def slice_count(df: DataFrame) -> int:
-    return max(2, min(4 * _partitions(df), MAX_SLICES))
-
-
 def profile_order(
     df: DataFrame,
     time: str,
     tie: str | None = None,
     keys: tuple[str, ...] = (),
-    small_rows: int = SMALL_TABLE,
 ) -> OrderProfile:
     """Look at a sample of ``df``: where to cut its order, which keys are hot.
 
-    A key is hot when it holds more than half a shuffle partition's fair share.
-    There are at most MAX_HOT_KEYS such keys by counting, and at most MAX_SLICES
-    split points, so what comes to the driver is bounded. Estimates are good
-    enough: they move cut points, not results. Tables of up to ``small_rows``
-    rows are left whole.
+    A key is hot when it holds more rows than a slice should. By counting there are
+    at most as many such keys as slices, so what comes to the driver is one number
+    per ROWS_PER_SLICE rows. Estimates are good enough: they move cut points, not results.
     """
     wanted = [time] + ([tie] if tie else []) + list(keys)
     narrow = df.select(*dict.fromkeys(wanted))
     number = F.col(tie).cast("double") if tie else F.lit(0.0)
     rows, low, high = narrow.agg(F.count(F.lit(1)), F.min(number), F.max(number)).first()
-    if rows <= max(small_rows, 0):
+    if not rows:
         return OrderProfile()
-    share = max(1.0 / (2 * _partitions(df)), 1.0 / MAX_HOT_KEYS)
-    top = int(1.0 / share) + 1
+    slices = slice_count(rows)
+    sampled = min(rows, SAMPLED_PER_SLICE * slices)
     found = (
         draw_sample(narrow, rows)
         .agg(
-            _quantiles(_position(time, tie, low, high), slice_count(df)).alias("splits"),
+            _quantiles(_position(time, tie, low or 0.0, high or 0.0), slices).alias("splits"),
             *[
-                F.expr(f"approx_top_k(CAST({k} AS STRING), {top}, {10 * top})").alias(f"hot_{k}")
+                F.expr(f"approx_top_k(CAST({k} AS STRING), {slices}, {10 * slices})").alias(f"hot_{k}")
                 for k in keys
             ],
         )
         .first()
     )
-    enough = share * min(rows, SAMPLE_ROWS)
+    enough = sampled / slices
     hot = {
         k: tuple(e["item"] for e in found[f"hot_{k}"] or [] if e["count"] > enough) for k in keys
     }
-    return OrderProfile(_rising(found["splits"]), low, high, hot)
+    return OrderProfile(_rising(found["splits"]), low or 0.0, high or 0.0, hot)
 
 
 def bucketize(df: DataFrame, source: str, splits: tuple, target: str) -> DataFrame:
@@ -149,7 +144,7 @@ def assign_slices(
     df: DataFrame, profile: OrderProfile, time: str, tie: str | None = None, key: str | None = None
 ) -> DataFrame:
     """Add the slice number: -1 for keys that stay whole."""
-    if key is not None and not profile.hot.get(key):
+    if not profile.splits or key is not None and not profile.hot.get(key):
         return df.withColumn(SLICE, F.lit(-1))
     at = _position(time, tie, profile.tie_low, profile.tie_high)
     out = bucketize(df.withColumn("__at", at), "__at", profile.splits, SLICE).drop("__at")
@@ -204,7 +199,8 @@ def prefix_aggregate(
     keys = _KEY if key is not None else []
     groups = keys + [SLICE]
     time = order[0]
-    cut = carry is not None or profile is None or key is None or bool(profile.hot.get(key))
+    whole = profile is not None and (not profile.splits or key is not None and not profile.hot.get(key))
+    cut = carry is not None or not whole
 
     def prepare(frame: DataFrame) -> DataFrame:
         if profile is not None:
@@ -261,7 +257,7 @@ def _slice_offsets(df, keys, time, count, sums, previous, carry, carry_extra, ke
     """Totals of everything before each slice.
 
     At most one row per (hot key, slice) leaves the pre-aggregation, so the
-    window over slices sees at most MAX_SLICES rows of any key.
+    window over slices sees at most one row per slice of any key.
     """
     cut = df if carry is not None else df.filter(F.col(SLICE) >= 0)
     measures = []
@@ -312,7 +308,7 @@ def _slice_offsets(df, keys, time, count, sums, previous, carry, carry_extra, ke
     return joined.select(*keys, SLICE, *[v.alias(k) for k, v in merged.items()], *carry_extra)
 
 
-def time_rank(df: DataFrame, time: str, tie: str, name: str, small_rows: int = SMALL_TABLE):
+def time_rank(df: DataFrame, time: str, tie: str, name: str):
     """Zero-based position of each row in (time, tie) order, without one big sort."""
-    profile = profile_order(df, time, tie, small_rows=small_rows)
+    profile = profile_order(df, time, tie)
     return prefix_aggregate(df, [time, tie], profile, count=name)

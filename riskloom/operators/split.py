@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from riskloom.operators.features import ORDER
 
 CELLS = 4096
-# Rows of one cell that may be ordered by a top-k step.
-CELL_ROWS = 50_000
 
 
 def _histogram(rows: DataFrame, column: str, low: int, high: int) -> tuple[list, int]:
@@ -34,12 +32,12 @@ def row_at(df: DataFrame, columns: list[str], position: int) -> tuple | None:
     """
     rows = df.select(*columns)
     fixed: list[int] = []
-    for i, column in enumerate(columns):
+    for column in columns:
         size = rows.agg(F.count(F.lit(1)), F.min(column), F.max(column)).first()
         total, low, high = size
         if position < 0 or position >= total:
             return None
-        while total > CELL_ROWS and high > low:
+        while high > low:
             cells, width = _histogram(rows, column, low, high)
             for cell, count in cells:
                 if position < count:
@@ -47,10 +45,6 @@ def row_at(df: DataFrame, columns: list[str], position: int) -> tuple | None:
                 position -= count
             low, high = low + cell * width, min(high, low + (cell + 1) * width - 1)
             rows, total = rows.filter(F.col(column).between(low, high)), count
-        if total <= CELL_ROWS:
-            rest = columns[i:]
-            row = rows.select(*rest).orderBy(*rest).offset(position).limit(1).first()
-            return (*fixed, *row)
         fixed.append(low)
     return tuple(fixed)
 

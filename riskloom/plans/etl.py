@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from riskloom.functions.expressions import nan_to_null
-from riskloom.schemas import IDENTITY_COLUMNS, TRANSACTION_COLUMNS
+from riskloom.operators.quality import check_rows, rejected_rows, valid_rows
+from riskloom.schemas import IDENTITIES, IDENTITY_COLUMNS, TRANSACTION_COLUMNS, TRANSACTIONS
+from riskloom.session import materialise
 from riskloom.sources.tables import (
+    append,
     keep_first,
     load_if_absent,
+    read_target,
+    read_text,
     sample_identities,
     sample_transactions,
 )
 
-DEFAULT_SAMPLE = 50_000
 INGEST_ORDER = "ingest_order"
 
 
@@ -43,7 +48,7 @@ def run_etl(
     identities: DataFrame,
     target_transactions: DataFrame,
     target_identities: DataFrame,
-    sample_rows: int | None = DEFAULT_SAMPLE,
+    sample_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to append to both target tables.
 
@@ -60,3 +65,38 @@ def run_etl(
         target_identities.select("transactionid"), "transactionid", "left_anti"
     )
     return load_if_absent(new_t, target_transactions), new_i
+
+
+def checked_file(
+    spark: SparkSession, path: str, table: str, schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """Valid rows of a CSV file or folder with their ingest order, and rejects as text with reasons."""
+    raw = materialise(read_text(spark, path, schema, INGEST_ORDER), f"raw-{table}")
+    checked = materialise(check_rows(raw, table, schema), f"checked-{table}")
+    order = T.StructType([*schema.fields, raw.schema[INGEST_ORDER]])
+    return valid_rows(checked, order), rejected_rows(checked)
+
+
+def etl_files(
+    spark: SparkSession,
+    transactions_path: str,
+    identities_path: str,
+    target: str,
+    sample_rows: int | None = None,
+) -> None:
+    """From CSV files to the tables ``transactions`` and ``identities`` below ``target``.
+
+    Rows that break a table rule go to ``rejects_<table>``, with their reasons and place.
+    Ids that the tables have are left alone, so a second run adds nothing to them.
+    """
+    transactions, bad_t = checked_file(spark, transactions_path, "transactions", TRANSACTIONS)
+    identities, bad_i = checked_file(spark, identities_path, "identities", IDENTITIES)
+    have_t = read_target(spark, f"{target}/transactions", TRANSACTIONS)
+    have_i = read_target(spark, f"{target}/identities", IDENTITIES)
+    new_t, new_i = run_etl(transactions, identities, have_t, have_i, sample_rows)
+    # Settled before anything is appended to what it was compared with.
+    new_t, new_i = materialise(new_t, "new-transactions"), materialise(new_i, "new-identities")
+    append(new_t, f"{target}/transactions")
+    append(new_i, f"{target}/identities")
+    for name, rows in (("transactions", bad_t), ("identities", bad_i)):
+        rows.write.mode("overwrite").parquet(f"{target}/rejects_{name}")

@@ -332,6 +332,19 @@ ORACLE = {
       SELECT t.transactionid, t.transactiondt, t.transactionamt, t.card1, t.p_emaildomain,
         i.devicetype FROM tx t LEFT JOIN raw_idn i USING (transactionid)
       WHERE t.transactiondt >= {15 * 86400}""",
+    "etl_files": f"""WITH {TX}, {RAW_ID}
+      SELECT t.transactionid, t.transactiondt,
+        CASE WHEN t.transactionid % 100 <> 3 THEN t.transactionamt END AS transactionamt,
+        CASE WHEN t.transactionid % 100 <> 3 THEN 'loaded' ELSE 'transactionamt_bad_value' END AS outcome,
+        CASE WHEN t.transactionid % 100 <> 3 THEN i.devicetype END AS devicetype
+      FROM tx t LEFT JOIN raw_idn i USING (transactionid)""",
+    "time_ordered": f"""WITH {TX} SELECT transactionid, transactiondt, transactionamt,
+      transactiondt // 86400 AS day FROM tx""",
+    "training_checks": f"""WITH {TX} SELECT CAST(200 AS INTEGER) AS trees,
+      CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS train_rows,
+      count(*) - CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS test_rows,
+      true AS metrics_in_range, true AS importances_add_up FROM tx""",
+    "score_checks": f"WITH {TX} SELECT transactionid, true AS is_probability, true AS adds_up FROM tx",
     "prune_columns": f"""SELECT event_id AS transactionid, {_DT} AS transactiondt,
       CAST(value AS FLOAT) AS dist1, CASE WHEN event_id % 3 = 0 THEN 'T' END AS m4,
       CAST(1000 + user_id AS INTEGER) AS card1, 'gmail.com' AS p_emaildomain FROM events""",

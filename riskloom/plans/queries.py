@@ -30,6 +30,7 @@ from riskloom.plans import etl
 from riskloom.schemas import (
     ANALYST_DECISIONS,
     ARRIVAL,
+    IDENTITIES,
     IDENTITY_COLUMNS,
     TRANSACTION_COLUMNS,
     TRANSACTIONS,
@@ -39,9 +40,7 @@ from riskloom.sources import fixtures as X
 from riskloom.sources import tables
 from riskloom.streaming import live
 
-# Registered runs always take the sliced path, however small the tables are.
-SLICED = 0
-TREES = 10
+TREES = 200
 HALF_MONTH = 15 * 86400
 
 _written: dict[tuple, DataFrame] = {}
@@ -53,7 +52,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _written:
         _written[key] = materialise(
             transaction_features(
-                X.transactions(spark, sf_dir), X.identities(spark, sf_dir), SLICED
+                X.transactions(spark, sf_dir), X.identities(spark, sf_dir)
             ),
             "features",
         )
@@ -138,6 +137,43 @@ def etl_load(spark, sf_dir):
     )
 
 
+def etl_files(spark, sf_dir):
+    """CSV folders loaded twice, after a first load of the first half month; what the target then holds."""
+    source, target = workspace(spark, "etl-files"), workspace(spark, "etl-target")
+    rows, devices = X.transactions(spark, sf_dir), X.raw_identities(spark, sf_dir)
+    bad = rows.filter("transactionid % 100 = 3").withColumn("transactionamt", F.lit("123456789012.00"))
+    early = F.col("transactiondt") < HALF_MONTH
+
+    def csv(name, df):
+        df.write.option("header", True).csv(f"{source}/{name}")
+
+    csv("first", rows.filter(early & (F.col("transactionid") % 100 != 3)))
+    csv("all", rows.filter("transactionid % 100 <> 3").withColumn("transactionamt", F.col("transactionamt").cast("string")).union(bad))
+    csv("devices", devices)
+    for name in ("first", "all", "all"):
+        etl.etl_files(spark, f"{source}/{name}", f"{source}/devices", target)
+    loaded = tables.read_target(spark, f"{target}/transactions", TRANSACTIONS).select(
+        "transactionid", "transactiondt", "transactionamt", F.lit("loaded").alias("outcome")
+    )
+    identities = tables.read_target(spark, f"{target}/identities", IDENTITIES)
+    rejected = spark.read.parquet(f"{target}/rejects_transactions").select(
+        F.col("transactionid").cast("long"),
+        F.col("transactiondt").cast("long"),
+        F.lit(None).cast("decimal(10,2)").alias("transactionamt"),
+        F.array_join("reasons", ",").alias("outcome"),
+    )
+    return loaded.union(rejected).join(
+        identities.select("transactionid", "devicetype"), "transactionid", "left"
+    )
+
+
+def time_ordered(spark, sf_dir):
+    """Written in time order by day, and read back."""
+    path = workspace(spark, "time-ordered")
+    tables.write_in_time_order(X.transactions(spark, sf_dir), path)
+    return tables.read_table(spark, path).select("transactionid", "transactiondt", "transactionamt", F.col("day").cast("long"))
+
+
 def prune_columns(spark, sf_dir):
     return etl.prune_columns(X.raw_export(spark, sf_dir), TRANSACTION_COLUMNS)
 
@@ -180,13 +216,13 @@ def cascade_retain(spark, sf_dir):
 
 def features(spark, sf_dir):
     return transaction_features(
-        X.transactions(spark, sf_dir), X.identities(spark, sf_dir), SLICED
+        X.transactions(spark, sf_dir), X.identities(spark, sf_dir)
     )
 
 
 def email_prefix(spark, sf_dir):
     keyed = prepare(X.transactions(spark, sf_dir)).select(*HISTORY_INPUTS)
-    counted = email_history(keyed, profile_transactions(keyed, SLICED))
+    counted = email_history(keyed, profile_transactions(keyed))
     return counted.select("transactionid", "p_emaildomain", "email_txn_count_before_this")
 
 
@@ -204,7 +240,6 @@ def lookup(spark, sf_dir):
         X.transactions(spark, sf_dir),
         X.identities(spark, sf_dir),
         latest_per_card(spark, sf_dir),
-        SLICED,
     )
 
 
@@ -216,7 +251,6 @@ def arrivals_lookup(spark, sf_dir):
         rows.filter(is_old),
         X.identities(spark, sf_dir),
         rows.filter(~is_old).select(*ARRIVAL.names),
-        SLICED,
     )
 
 
@@ -225,12 +259,12 @@ def lookup_inputs(spark, sf_dir):
 
 
 def card_prior_avg(spark, sf_dir):
-    return card_prior_average(X.transactions(spark, sf_dir), 20, SLICED)
+    return card_prior_average(X.transactions(spark, sf_dir), 20)
 
 
 def card_prior_avg_ties(spark, sf_dir):
     """All rows of the tie-heavy order data."""
-    return card_prior_average(X.order_transactions(spark, sf_dir), None, SLICED)
+    return card_prior_average(X.order_transactions(spark, sf_dir), None)
 
 
 def offset_from_calendar(spark, sf_dir):
@@ -248,7 +282,7 @@ def next_keys(spark, sf_dir):
 
 def time_rank_all(spark, sf_dir):
     rows = X.order_transactions(spark, sf_dir).select("transactionid", "transactiondt")
-    return time_rank(rows, *ORDER, "position", SLICED)
+    return time_rank(rows, *ORDER, "position")
 
 
 def time_split(spark, sf_dir):
@@ -279,11 +313,11 @@ def best_threshold(spark, sf_dir):
 
 
 def roc_auc(spark, sf_dir):
-    return metrics.roc_auc(scored_table(spark, sf_dir), small_rows=SLICED)
+    return metrics.roc_auc(scored_table(spark, sf_dir))
 
 
 def average_precision(spark, sf_dir):
-    return metrics.average_precision(scored_table(spark, sf_dir), small_rows=SLICED).select(
+    return metrics.average_precision(scored_table(spark, sf_dir)).select(
         F.round("average_precision", 9).alias("average_precision")
     )
 
@@ -291,14 +325,18 @@ def average_precision(spark, sf_dir):
 _models: dict[tuple, object] = {}
 
 
-def trained_model(spark, sf_dir):
+def training(spark, sf_dir):
+    """The model and its row of metrics; one training serves all queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        train = split.split_by_time(feature_table(spark, sf_dir)).filter("side = 'train'")
-        _models[key] = model.train_model(train, trees=TREES)
+        _models[key] = model.training_run(feature_table(spark, sf_dir), trees=TREES)
     return _models[key]
 
 
+def trained_model(spark, sf_dir):
+    return training(spark, sf_dir)[0]
+
+
 def train_gbt(spark, sf_dir):
     """Feature importances of the trained model."""
     fitted = trained_model(spark, sf_dir)
@@ -334,8 +372,34 @@ def score_response(spark, sf_dir):
 
 
 def training_run(spark, sf_dir):
-    _, row = model.training_run(feature_table(spark, sf_dir), trees=TREES)
-    return row
+    return training(spark, sf_dir)[1]
+
+
+def training_checks(spark, sf_dir):
+    """What must hold of any training run on this input."""
+    row = training(spark, sf_dir)[1]
+    importances = train_gbt(spark, sf_dir).agg(F.round(F.sum("importance"), 6).alias("total"))
+    in_range = F.col("roc_auc").between(0.5, 1.0) & F.col("pr_auc").between(0.0, 1.0)
+    return row.crossJoin(importances).select(  # one row each
+        "trees",
+        "train_rows",
+        "test_rows",
+        (in_range & F.col("best_threshold").between(0.01, 0.99)).alias("metrics_in_range"),
+        (F.col("total") == 1.0).alias("importances_add_up"),
+    )
+
+
+def score_checks(spark, sf_dir):
+    """For every row: the score is a probability, and the contributions add up to its log-odds."""
+    scored = model.score(feature_table(spark, sf_dir), trained_model(spark, sf_dir))
+    parts = explain.tree_contributions(scored, trained_model(spark, sf_dir), keep=("score",))
+    total = sum((F.col(f"c_{c}") for c in model.MODEL_FEATURES), F.col("base"))
+    log_odds = F.log(F.col("score") / (1 - F.col("score")))
+    return parts.select(
+        "transactionid",
+        F.col("score").between(0.0, 1.0).alias("is_probability"),
+        (F.abs(total - log_odds) < 1e-6).alias("adds_up"),
+    )
 
 
 # --- cases and report ----------------------------------------------------------------
@@ -426,14 +490,14 @@ def activity_funnel_all(spark, sf_dir):
 
 
 def decision_log(spark, sf_dir):
-    """Two appends to the log; the second continues the first one's ids."""
+    """Two batches appended to the log, the second one twice; ids continue."""
     rows = decision_table(spark, sf_dir)
     cut = F.timestamp_seconds(F.lit(HALF_MONTH))
-    empty = spark.createDataFrame([], "id long")
-    first = C.number_decisions(rows.filter(F.col("decided_at") < cut), empty)
-    first = materialise(first, "decision-log")
-    second = C.number_decisions(rows.filter(F.col("decided_at") >= cut), first)
-    return first.unionByName(second).drop("decided_at")
+    log = workspace(spark, "decision-log")
+    batches = [rows.filter(F.col("decided_at") < cut), rows.filter(F.col("decided_at") >= cut)]
+    for number in (0, 1, 1):
+        C.append_decisions(batches[number], log, number)
+    return tables.read_target(spark, log, C.LOG).drop("decided_at", "batch")
 
 
 def decision_breakdown(spark, sf_dir):
@@ -449,7 +513,7 @@ def fraud_rate_trend(spark, sf_dir):
 
 def drift_report(spark, sf_dir):
     halves = split.split_for_drift(feature_table(spark, sf_dir))
-    return drift.drift_report(halves, small_rows=SLICED)
+    return drift.drift_report(halves)
 
 
 def drift_any(spark, sf_dir):
@@ -460,7 +524,7 @@ def drift_any(spark, sf_dir):
         F.col("transactionamt").cast("double")
         * F.when(F.col("side") == "current", 1.5).otherwise(1.0),
     )
-    return drift.any_drift(drift.drift_report(raised, small_rows=SLICED))
+    return drift.any_drift(drift.drift_report(raised))
 
 
 def linear(spark, sf_dir):
@@ -511,7 +575,7 @@ def replay(spark, sf_dir, move_late=False, scorer=None) -> live.LiveTables:
     parts = [rows.filter(early & ~held), rows.filter(middle & ~early), rows.filter(~middle | held)]
 
     store = live.LiveTables(
-        workspace(spark, "live"), fold_every=2, **({"small_rows": SLICED} if move_late else {})
+        workspace(spark, "live"), fold_every=2, 
     )
     live.seed(spark.createDataFrame([], live.ARRIVING), store)
     source = workspace(spark, "arrivals")
@@ -578,6 +642,8 @@ REGISTRY = {
     "split_identities": split_identities,
     "etl_merged": etl_merged,
     "etl_load": etl_load,
+    "etl_files": etl_files,
+    "time_ordered": time_ordered,
     "prune_columns": prune_columns,
     "quality_rejects": quality_rejects,
     "quality_valid": quality_valid,
@@ -604,6 +670,8 @@ REGISTRY = {
     "score_batch": score_batch,
     "score_response": score_response,
     "training_run": training_run,
+    "training_checks": training_checks,
+    "score_checks": score_checks,
     "flag_cases": flag_cases,
     "pending_cases": pending_cases,
     "pending_strict": pending_strict,

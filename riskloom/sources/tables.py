@@ -34,17 +34,39 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV columns matched by header name in any letter case, typed by ``schema``.
 
     Columns the file lacks are left out and columns the schema lacks are not
-    parsed. A value that does not fit its type becomes NULL.
+    parsed. A value that does not fit its type becomes NULL; ``read_text`` keeps it
+    for the table rules.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    text = read_text(spark, path, schema)
     types = {f.name: f.dataType for f in schema.fields}
-    text = spark.read.schema(
-        T.StructType([T.StructField(h, T.StringType()) for h in header])
-    ).csv(path, header=True)
-    kept = [h for h in header if h.lower() in types]
-    return text.select(
-        *[F.col(f"`{h}`").try_cast(types[h.lower()]).alias(h.lower()) for h in kept]
+    return text.select(*[F.col(c).try_cast(types[c]).alias(c) for c in text.columns])
+
+
+def read_text(
+    spark: SparkSession, path: str, schema: T.StructType, order: str | None = None
+) -> DataFrame:
+    """The schema's columns of a CSV file or folder as text, under lower-case names.
+
+    A folder whose files differ in their header fails with an error that names the
+    file: columns are never taken by position from another header. ``order`` adds a
+    column that ranks rows by file and place in it.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    names = {f.name for f in schema.fields}
+    text = (
+        spark.read.schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
+        .option("enforceSchema", False)
+        .csv(path, header=True)
     )
+    columns = [F.col(f"`{h}`").alias(h.lower()) for h in header if h.lower() in names]
+    if order is not None:
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        columns.append(place.alias(order))
+    return text.select(*columns)
 
 
 def read_transactions(
@@ -108,6 +130,18 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def read_target(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A target table; one that nothing was loaded into yet is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_in_time_order(rows: DataFrame, path: str) -> None:
     """Write a transaction or feature table so that time filters skip files.
 
@@ -125,12 +159,15 @@ def write_in_time_order(rows: DataFrame, path: str) -> None:
 
 
 def publish_refresh(rows: DataFrame, path: str, run: int) -> None:
-    """Write a full refresh as run number ``run``; older runs stay as archive."""
+    """Write a full refresh as run number ``run``; older runs stay as archive. A run
+    that is repeated replaces itself only."""
     rows.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def latest_refresh(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest run; the run is a partition, so others are not read."""
-    runs = spark.read.parquet(path)
-    newest = runs.agg(F.max("run")).first()[0]
-    return runs.filter(F.col("run") == newest).drop("run")
+    """Rows of the newest run, found among folder names; no other run is read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    newest = max(int(n.removeprefix("run=")) for n in names if n.startswith("run="))
+    return spark.read.parquet(f"{path}/run={newest}")

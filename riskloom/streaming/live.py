@@ -34,7 +34,6 @@ from riskloom.operators.flagging import (
     flag,
     is_flagged,
 )
-from riskloom.operators.prefix import SMALL_TABLE
 from riskloom.schemas import PROBABILITY, TRANSACTIONS
 
 ARRIVING = T.StructType([f for f in TRANSACTIONS.fields if f.name in INPUTS])
@@ -53,7 +52,6 @@ class LiveTables:
 
     root: str
     fold_every: int = 20
-    small_rows: int = SMALL_TABLE
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -135,7 +133,7 @@ def batch_features(
     job computes late rows from the full history.
     """
     keyed = prepare(arrivals)
-    profile = profile_transactions(keyed, tables.small_rows)
+    profile = profile_transactions(keyed)
     customers = _past(keyed, tables, "uid", batch_id).select(
         "uid",
         F.col("n").alias("uid_txn_count_before_this"),

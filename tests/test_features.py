@@ -4,6 +4,7 @@ import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators.features import (
     INPUTS,
@@ -12,7 +13,7 @@ from riskloom.operators.features import (
     profile_transactions,
     transaction_features,
 )
-from riskloom.operators.lookup import features_for_ids, high_water
+from riskloom.operators.lookup import features_for_ids, features_for_new, high_water
 from riskloom.schemas import IDENTITIES, TRANSACTIONS
 
 BASE = dict(
@@ -34,8 +35,8 @@ def ids(spark, rows):
     )
 
 
-def run(spark, rows, identities=(), small_rows=0):
-    out = transaction_features(frame(spark, rows), ids(spark, identities), small_rows)
+def run(spark, rows, identities=()):
+    out = transaction_features(frame(spark, rows), ids(spark, identities))
     return {r.transactionid: r for r in out.collect()}
 
 
@@ -143,10 +144,19 @@ def test_lookup_equals_full_features(spark):
     whole = run(spark, rows)
     wanted = spark.createDataFrame([(5,), (17,), (59,), (59,), (1000,)], "transactionid long")
     tx = frame(spark, rows)
-    for small_rows in (0, 10**6):
-        got = features_for_ids(tx, ids(spark, []), wanted, small_rows).collect()
-        assert sorted(r.transactionid for r in got) == [5, 17, 59]
-        assert all(whole[r.transactionid] == r for r in got)
+    got = features_for_ids(tx, ids(spark, []), wanted).collect()
+    assert sorted(r.transactionid for r in got) == [5, 17, 59]
+    assert all(whole[r.transactionid] == r for r in got)
+
+
+def test_resent_arrivals_count_once(spark):
+    rows = sample_rows()
+    tx = frame(spark, rows)
+    cut = F.col("transactionid") < 40
+    arrivals = tx.filter(~cut).drop("isfraud")
+    once = features_for_new(tx.filter(cut), ids(spark, []), arrivals).collect()
+    again = features_for_new(tx.filter(cut), ids(spark, []), arrivals.union(arrivals)).collect()
+    assert sorted(once) == sorted(again) and len(once) == len(rows) - 40
 
 
 def test_high_water_of_nothing(spark):
@@ -158,7 +168,7 @@ def test_scan_reads_input_columns_only(spark, tmp_path, capsys):
     path = str(tmp_path / "tx")
     frame(spark, sample_rows()).write.parquet(path)
     tx = spark.read.parquet(path)
-    transaction_features(tx, ids(spark, []), small_rows=0).explain("formatted")
+    transaction_features(tx, ids(spark, [])).explain("formatted")
     scans = re.findall(r"Scan parquet *\nOutput \[(\d+)\]", capsys.readouterr().out)
     assert scans and max(map(int, scans)) == len(INPUTS)
 
@@ -169,7 +179,8 @@ def test_rows_move_three_times(spark, tmp_path, capsys):
     frame(spark, sample_rows()).write.parquet(path)
     transaction_features(spark.read.parquet(path), ids(spark, [])).hint("merge").explain()
     plan = capsys.readouterr().out
-    assert plan.count("Exchange hashpartitioning") <= 4
+    # by (key, slice) twice and by id twice; the rest are slice totals, three narrow ones per key
+    assert plan.count("Exchange hashpartitioning") <= 4 + 2 * 3
 
 
 def test_slice_totals_do_not_move_the_rows_again(spark, tmp_path, capsys):
@@ -177,7 +188,7 @@ def test_slice_totals_do_not_move_the_rows_again(spark, tmp_path, capsys):
     path = str(tmp_path / "tx")
     frame(spark, sample_rows()).write.parquet(path)
     keyed = prepare(spark.read.parquet(path))
-    profile = profile_transactions(keyed, small_rows=0)
+    profile = profile_transactions(keyed)
     assert profile.hot["p_emaildomain"]
     email_history(keyed, profile).explain()
     plan = capsys.readouterr().out

@@ -132,12 +132,11 @@ def sides(spark, reference, current, columns=("a",)):
     return spark.createDataFrame(rows, "side string, " + ", ".join(f"{c} double" for c in columns))
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_statistic_is_the_largest_gap(spark, small_rows):
+def test_statistic_is_the_largest_gap(spark):
     rng = random.Random(2)
     a = [float(rng.randrange(30)) for _ in range(200)]
     b = [float(rng.randrange(8, 38)) for _ in range(90)]
-    report = drift.drift_report(sides(spark, [(v,) for v in a], [(v,) for v in b]), ["a"], small_rows)
+    report = drift.drift_report(sides(spark, [(v,) for v in a], [(v,) for v in b]), ["a"])
     gap = max(
         abs(sum(x <= v for x in a) / 200 - sum(x <= v for x in b) / 90) for v in set(a + b)
     )

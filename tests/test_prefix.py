@@ -42,7 +42,7 @@ def run(df, profile, **options):
 def test_equals_brute_force(spark, kind, seed):
     rows = make(kind, seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    profile = P.profile_order(df, "t", "id", ("k",), small_rows=0)
+    profile = P.profile_order(df, "t", "id", ("k",))
     assert "hot" in profile.hot["k"] and None in profile.hot["k"]
     assert len(profile.splits) > 4
     got = {r.id: (r.n, r.s, r.p) for r in run(df, profile).collect()}
@@ -52,20 +52,15 @@ def test_equals_brute_force(spark, kind, seed):
 def test_no_slice_of_a_hot_key_stays_large(spark):
     """All rows share one time; the tie-breaker still cuts them apart."""
     df = spark.createDataFrame([(i, "hot", 7, 1) for i in range(4000)], SCHEMA)
-    profile = P.profile_order(df, "t", "id", ("k",), small_rows=0)
+    profile = P.profile_order(df, "t", "id", ("k",))
     sliced = P.assign_slices(df, profile, "t", "id", "k")
     assert sliced.groupBy(P.SLICE).count().agg({"count": "max"}).first()[0] < 4000 / 8
 
 
-def test_small_table_stays_whole(spark):
-    df = spark.createDataFrame(make("spread", 3, 50), SCHEMA)
-    assert P.profile_order(df, "t", "id", ("k",)) == P.OrderProfile()
-
-
 def test_only_limits_rows_not_results(spark):
     rows = make("spread", 4)
     df = spark.createDataFrame(rows, SCHEMA)
-    profile = P.profile_order(df, "t", "id", ("k",), small_rows=0)
+    profile = P.profile_order(df, "t", "id", ("k",))
     wanted = df.filter("id % 40 = 0")
     got = {r.id: (r.n, r.s, r.p) for r in run(df, profile, only=wanted).collect()}
     expected = brute(rows)
@@ -74,8 +69,7 @@ def test_only_limits_rows_not_results(spark):
     assert all(i in got for i in range(0, 300, 40))
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_carry_adds_the_past(spark, small_rows):
+def test_carry_adds_the_past(spark):
     rows = sorted(make("spread", 5), key=lambda r: (r[2], r[0]))
     first, second = rows[:150], rows[150:]
     past = {}
@@ -86,7 +80,7 @@ def test_carry_adds_the_past(spark, small_rows):
         [(k, *x) for k, x in past.items()], "k string, n long, s long, p long"
     )
     df = spark.createDataFrame(second, SCHEMA)
-    profile = P.profile_order(df, "t", "id", ("k",), small_rows=small_rows)
+    profile = P.profile_order(df, "t", "id", ("k",))
     got = {r.id: (r.n, r.s, r.p) for r in run(df, profile, carry=carry).collect()}
     expected = brute(rows)
     assert got == {r[0]: expected[r[0]] for r in second}
@@ -96,11 +90,20 @@ def test_carry_adds_the_past(spark, small_rows):
 def test_time_rank(spark, kind):
     rows = make(kind, 6)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.id: r.pos for r in P.time_rank(df, "t", "id", "pos", small_rows=0).collect()}
+    got = {r.id: r.pos for r in P.time_rank(df, "t", "id", "pos").collect()}
     assert got == {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    profile = P.profile_order(df, "t", "id", ("k",), small_rows=-1)
+    profile = P.profile_order(df, "t", "id", ("k",))
     assert run(df, profile).count() == 0
+
+
+def test_null_order_values_come_first_once_each(spark):
+    """NULL times share the lowest slice; every row has its own position."""
+    rows = [(i, "k", None if i % 50 == 0 else (i * 37) % 101, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r.pos for r in P.time_rank(df, "t", "id", "pos").collect()}
+    ordered = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    assert got == {r[0]: i for i, r in enumerate(ordered)}

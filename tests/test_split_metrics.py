@@ -20,7 +20,6 @@ def times(spark, values):
 @pytest.mark.parametrize("kind", ["spread", "ties", "one", "far"])
 def test_row_at(spark, monkeypatch, kind):
     monkeypatch.setattr(S, "CELLS", 4)
-    monkeypatch.setattr(S, "CELL_ROWS", 3)
     rng = random.Random(1)
     values = {
         "spread": [rng.randrange(-900, 900) for _ in range(80)],
@@ -67,19 +66,17 @@ def scored(spark, n=400, seed=3):
     )
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_roc_auc_counts_pairs(spark, small_rows):
+def test_roc_auc_counts_pairs(spark):
     rows, df = scored(spark)
     pos = [s for s, y, _ in rows if y]
     neg = [s for s, y, _ in rows if not y]
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
-    assert M.roc_auc(df, small_rows=small_rows).first()[0] == pytest.approx(
+    assert M.roc_auc(df).first()[0] == pytest.approx(
         wins / len(pos) / len(neg), abs=1e-12
     )
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_average_precision_steps(spark, small_rows):
+def test_average_precision_steps(spark):
     rows, df = scored(spark)
     total = sum(y for _, y, _ in rows)
     expected = 0.0
@@ -88,7 +85,7 @@ def test_average_precision_steps(spark, small_rows):
         seen = sum(1 for s, _, _ in rows if s >= level)
         here = sum(y for s, y, _ in rows if s == level)
         expected += here / total * hit / seen
-    assert M.average_precision(df, small_rows=small_rows).first()[0] == pytest.approx(
+    assert M.average_precision(df).first()[0] == pytest.approx(
         expected, abs=1e-12
     )
 

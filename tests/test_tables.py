@@ -1,5 +1,7 @@
 """Loading, pruning, table rules, and publishing."""
 
+import pytest
+
 from riskloom.operators import quality as Q
 from riskloom.plans import etl
 from riskloom.schemas import ANALYST_DECISIONS, IDENTITIES, TRANSACTION_COLUMNS, TRANSACTIONS
@@ -143,3 +145,38 @@ def test_time_order_prunes_days(spark, tmp_path, capsys):
     assert back.count() == 24
     back.explain("formatted")
     assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
+
+
+def test_etl_takes_all_rows(spark):
+    """No row is lost above any number."""
+    rows = spark.range(60_000).selectExpr("id AS transactionid", "id AS transactiondt", "id AS ingest_order")
+    devices = spark.createDataFrame([], "transactionid long, devicetype string, ingest_order long")
+    have = rows.filter("transactionid < 10").drop("ingest_order")
+    new, _ = etl.run_etl(rows, devices, have, devices)
+    assert new.count() == 59_990
+
+
+def test_files_of_two_column_orders_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("TransactionID,TransactionDT\n1,10\n")
+    (tmp_path / "b.csv").write_text("TransactionDT,TransactionID\n20,2\n")
+    with pytest.raises(Exception, match="(?i)header|CSV"):
+        T.read_transactions(spark, str(tmp_path), "csv").collect()
+
+
+def test_files_to_tables(spark, tmp_path):
+    """Rejects keep their text and reasons; a second run adds nothing."""
+    (tmp_path / "t.csv").write_text(
+        "TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD\n"
+        "1,0,10,5.00,W\n1,0,11,6.00,W\n2,0,12,123456789012.00,W\n3,7,13,1.00,W\n4,0,14,2.50,C\n"
+    )
+    (tmp_path / "i.csv").write_text("TransactionID,DeviceType\n1,mobile\n4,\nx,desktop\n")
+    target = str(tmp_path / "target")
+    for _ in range(2):
+        etl.etl_files(spark, str(tmp_path / "t.csv"), str(tmp_path / "i.csv"), target)
+        loaded = spark.read.parquet(f"{target}/transactions").orderBy("transactionid").collect()
+        assert [(r.transactionid, r.transactiondt, float(r.transactionamt)) for r in loaded] == [(1, 10, 5.0), (4, 14, 2.5)]
+        rejects = spark.read.parquet(f"{target}/rejects_transactions").collect()
+        assert {(r.transactiondt, *r.reasons) for r in rejects} == {
+            ("11", "key_duplicate"), ("12", "transactionamt_bad_value"), ("13", "isfraud_not_allowed"),
+        }
+        assert [r.devicetype for r in spark.read.parquet(f"{target}/identities").collect()] == ["mobile"]
