@@ -297,6 +297,10 @@ _PAST_IF = ", ".join(
     f"CASE WHEN l.is_late THEN NULL WHEN l.arrives = 2 THEN a.{c} ELSE b.{c} END AS {c}" for c in _PAST
 )
 
+_PAST_KNOWN = ", ".join(
+    f"CASE WHEN l.arrives = 2 THEN a.{c} ELSE b.{c} END AS {c}" for c in _PAST
+)
+
 
 def _card_average(source: str) -> str:
     return f"""SELECT transactionid, card1, transactiondt, transactionamt,
@@ -483,6 +487,12 @@ ORACLE = {
     "stream_late": f"""WITH {ARRIVED} SELECT l.transactionid, l.is_late, {_PAST_IF}
       FROM late l JOIN feat_all a USING (transactionid)
       LEFT JOIN feat_early b USING (transactionid)""",
+    "stream_repaired": f"""WITH {ARRIVED} SELECT l.transactionid,
+      round(CASE WHEN l.arrives = 2 THEN a.uid_avg_amt_before_this
+        ELSE b.uid_avg_amt_before_this END, 6) AS uid_avg_amt_before_this, {_PAST_KNOWN}
+      FROM late l JOIN feat_all a USING (transactionid)
+      LEFT JOIN feat_early b USING (transactionid)""",
+    "stream_once": f"WITH {TX} SELECT transactionid, 1::BIGINT AS times FROM tx",
     "stream_activity": f"""WITH {SCORED} SELECT transactionid, transactionamt,
       CAST(CAST(score AS DECIMAL(9,6)) AS DECIMAL(6,4)) AS fraud_probability,
       score >= 0.07::DOUBLE AS was_flagged FROM scored""",

@@ -562,21 +562,22 @@ def reasons_tree(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------
 
 
-def replay(spark, sf_dir, move_late=False, scorer=None) -> live.LiveTables:
+def replay(spark, sf_dir, disorder=False, scorer=None) -> live.LiveTables:
     """Feed the whole table to the live job in three parts of rising time.
 
-    With ``move_late``, some rows of the first part arrive with the last one.
+    With ``disorder``, some rows of the first part arrive with the last one, and others
+    are sent again with it, some twice.
     """
     rows = X.transactions(spark, sf_dir).select(*live.ARRIVING.names)
     total = rows.count()
     early = split.before_row(ORDER, split.row_at(rows, ORDER, total // 3))
     middle = split.before_row(ORDER, split.row_at(rows, ORDER, 2 * total // 3))
-    held = early & (F.col("transactionid") % 50 == 7) if move_late else F.lit(False)
+    held = early & (F.col("transactionid") % 50 == 7) if disorder else F.lit(False)
     parts = [rows.filter(early & ~held), rows.filter(middle & ~early), rows.filter(~middle | held)]
+    if disorder:
+        parts[2] = parts[2].union(rows.filter("transactionid % 20 = 3"))
 
-    store = live.LiveTables(
-        workspace(spark, "live"), fold_every=2, 
-    )
+    store = live.LiveTables(workspace(spark, "live"), fold_every=2)
     live.seed(spark.createDataFrame([], live.ARRIVING), store)
     source = workspace(spark, "arrivals")
     for part in parts:
@@ -594,14 +595,20 @@ def replay(spark, sf_dir, move_late=False, scorer=None) -> live.LiveTables:
 _replays: dict[tuple, live.LiveTables] = {}
 
 
-def scored_replay(spark, sf_dir) -> live.LiveTables:
-    """One in-order replay with scoring; its tables serve several queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def scored_replay(spark, sf_dir, disorder=False) -> live.LiveTables:
+    """One replay with scoring; its tables serve several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, disorder)
     if key not in _replays:
-        _replays[key] = replay(spark, sf_dir, scorer=X.rule_score)
+        _replays[key] = replay(spark, sf_dir, disorder, X.rule_score)
     return _replays[key]
 
 
+def forget() -> None:
+    """The next query of each kind computes everything anew."""
+    for memo in (_written, _models, _replays):
+        memo.clear()
+
+
 def stream_features(spark, sf_dir):
     return scored_replay(spark, sf_dir).read(spark, "features").drop("batch_id")
 
@@ -619,11 +626,22 @@ def stream_flagged(spark, sf_dir):
 
 
 def stream_late(spark, sf_dir):
-    return (
-        replay(spark, sf_dir, move_late=True)
-        .read(spark, "features")
-        .select("transactionid", "is_late", *live.PAST[1:])
-    )
+    """Which rows came too late for the totals, and what the totals gave the others."""
+    rows = scored_replay(spark, sf_dir, True).read(spark, "features")
+    past = [F.when(~F.col("is_late"), F.col(c)).alias(c) for c in live.PAST[1:]]
+    return rows.select("transactionid", "is_late", *past)
+
+
+def stream_repaired(spark, sf_dir):
+    """Features of every row under disorder, late ones computed in their micro-batch."""
+    rows = scored_replay(spark, sf_dir, True).read(spark, "features")
+    return rows.select("transactionid", F.round(live.PAST[0], 6).alias(live.PAST[0]), *live.PAST[1:])
+
+
+def stream_once(spark, sf_dir):
+    """How often the activity log names each row under disorder."""
+    log = scored_replay(spark, sf_dir, True).read(spark, "activity")
+    return log.groupBy("transactionid").agg(F.count("*").alias("times"))
 
 
 def stream_model(spark, sf_dir):
@@ -696,6 +714,8 @@ REGISTRY = {
     "reasons_tree": reasons_tree,
     "stream_features": stream_features,
     "stream_late": stream_late,
+    "stream_repaired": stream_repaired,
+    "stream_once": stream_once,
     "stream_activity": stream_activity,
     "stream_flagged": stream_flagged,
     "stream_model": stream_model,

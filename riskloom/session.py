@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,21 @@ def workspace(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediates of this program; frames that read them end with it."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Intermediates made inside are deleted at the end; results must be written by then."""
+    kept = len(_owned)
+    try:
+        yield
+    finally:
+        release(spark, kept)
+
+
+def release(spark: SparkSession, kept: int = 0) -> None:
+    """Delete the intermediates of this program but the first ``kept``; frames that read them end with it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _owned:
+    while len(_owned) > kept:
         target = hadoop(_owned.pop()[1])
         target.getFileSystem(conf).delete(target, True)
 

@@ -1,12 +1,17 @@
 """Live scoring of arriving transactions with Structured Streaming.
 
-Each micro-batch goes through the same feature code as the batch job. What a
-batch needs from the past is one row per customer and per e-mail domain: count,
-sum, latest (time, id). These totals are kept as Parquet, one partition per
-micro-batch, so a micro-batch that is run again overwrites its own partitions
-and changes nothing else. Every ``fold_every`` batches the partitions are added
-up into a new generation; which generation to read follows from the batch number
-alone.
+Every arrival is stored, computed, scored and logged once. An id that is stored already, or
+comes again in one micro-batch, is dropped. Each micro-batch goes through the same feature
+code as the batch job. What it needs from the past is one row per customer and per
+e-mail domain: count, sum, latest (time, id). A row older than what its customer or
+domain has shown can't use these totals; it is computed by the lookup over the stored
+rows, in the same micro-batch.
+
+Totals are Parquet, one folder per micro-batch, so a micro-batch that is run again
+overwrites its own folders and changes nothing else. Every ``fold_every`` batches they
+are added up into a new generation; which one to read follows from the batch number.
+Only the folders of the current generation are listed and read, and older ones
+are deleted, so a batch costs the same after a thousand batches.
 """
 
 from __future__ import annotations
@@ -29,15 +34,13 @@ from riskloom.operators.features import (
     profile_transactions,
     with_identity,
 )
-from riskloom.operators.flagging import (
-    DECISION_THRESHOLD,
-    flag,
-    is_flagged,
-)
+from riskloom.operators.flagging import DECISION_THRESHOLD, flag, is_flagged
+from riskloom.operators.lookup import features_for_ids, one_per_id
 from riskloom.schemas import PROBABILITY, TRANSACTIONS
+from riskloom.session import materialise, temporary
 
 ARRIVING = T.StructType([f for f in TRANSACTIONS.fields if f.name in INPUTS])
-# Columns that need the past; a late row has none of them.
+# Columns that need the past.
 PAST = [
     "uid_avg_amt_before_this", "uid_txn_count_before_this", "seconds_since_last_txn",
     "email_txn_count_before_this", "no_identity_high_velocity",
@@ -83,7 +86,7 @@ def _add_up(totals: DataFrame, key: str) -> DataFrame:
 
 def _totals_schema(key: str) -> str:
     latest = "latest struct<transactiondt: bigint, transactionid: bigint>"
-    return f"{key} string, n bigint, cents bigint, {latest}, gen int, batch_id int"
+    return f"{key} string, n bigint, cents bigint, {latest}, batch_id int"
 
 
 def _write_totals(totals: DataFrame, tables: LiveTables, key: str, gen: int, batch_id: int):
@@ -93,17 +96,45 @@ def _write_totals(totals: DataFrame, tables: LiveTables, key: str, gen: int, bat
 
 
 def _read_totals(spark: SparkSession, tables: LiveTables, key: str, gen: int) -> DataFrame:
-    rows = spark.read.schema(_totals_schema(key)).parquet(tables.path("past_" + key))
-    return rows.filter(F.col("gen") == gen)
+    return spark.read.schema(_totals_schema(key)).parquet(f"{tables.path('past_' + key)}/gen={gen}")
+
+
+def _drop_generation(spark: SparkSession, tables: LiveTables, gen: int) -> None:
+    """A micro-batch may be run again, so the generation just before stays."""
+    for key in _KEYS:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tables.path('past_' + key)}/gen={gen}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def seed(history: DataFrame, tables: LiveTables) -> None:
     """Start from a history of transactions (it may be empty). Call once."""
-    keyed = prepare(history)
+    tables.write(one_per_id(history.select(*INPUTS)), "transactions", -1)
+    keyed = prepare(_stored(history.sparkSession, tables, -1))
     for key in _KEYS:
         _write_totals(key_totals(keyed, key), tables, key, 0, -1)
 
 
+def _stored(spark: SparkSession, tables: LiveTables, batch_id: int) -> DataFrame:
+    """All transactions up to a micro-batch."""
+    schema = T.StructType([*ARRIVING.fields, T.StructField("batch_id", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(tables.path("transactions"))
+    return rows.filter(F.col("batch_id") <= batch_id).drop("batch_id")
+
+
+def new_arrivals(batch: DataFrame, tables: LiveTables, batch_id: int) -> DataFrame:
+    """One row per id that no earlier micro-batch has stored.
+
+    Files are sorted by id, so the range of the batch's ids skips most of what is stored.
+    """
+    rows = one_per_id(batch.select(*INPUTS))
+    low, high = batch.agg(F.min("transactionid"), F.max("transactionid")).first()
+    if low is None:
+        return rows
+    stored = _stored(batch.sparkSession, tables, batch_id - 1).select("transactionid")
+    near = stored.filter(F.col("transactionid").between(low, high))
+    return rows.join(near, "transactionid", "left_anti").select(*INPUTS)
+
+
 def _past(keyed: DataFrame, tables: LiveTables, key: str, batch_id: int) -> DataFrame:
     """Totals of all earlier batches, for the keys in this batch."""
     spark = keyed.sparkSession
@@ -128,9 +159,8 @@ def batch_features(
     """Features of one micro-batch from its own rows and the stored totals.
 
     A row older than the latest earlier-batch row of its customer or e-mail
-    domain is marked late and gets no past features, because totals cannot tell
-    what came before it; it counts in the past of every later row. The lookup
-    job computes late rows from the full history.
+    domain is marked late, because totals cannot tell what came before it: its past features
+    are those of the lookup over the stored rows. It counts in the past of every later row.
     """
     keyed = prepare(arrivals)
     profile = profile_transactions(keyed)
@@ -152,9 +182,17 @@ def batch_features(
     )
     marked = history.withColumn("is_late", _is_before("uid_latest") | _is_before("email_latest"))
     features = derive_features(with_identity(marked, identities), keep=("is_late",))
-    return features.withColumns(
-        {c: F.when(~F.col("is_late"), F.col(c)) for c in PAST}
-    ).select(*OUTPUTS, "is_late")
+    return features.select(*OUTPUTS, "is_late")
+
+
+def repaired(features: DataFrame, identities: DataFrame, tables: LiveTables, batch_id: int) -> DataFrame:
+    """The features of a written micro-batch, late rows computed over the stored rows."""
+    late = features.filter("is_late").select("transactionid")
+    if late.isEmpty():
+        return features
+    stored = _stored(features.sparkSession, tables, batch_id)
+    exact = features_for_ids(stored, identities, late).withColumn("is_late", F.lit(True))
+    return features.filter("not is_late").unionByName(exact)
 
 
 def activity(scored: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:
@@ -178,14 +216,17 @@ def process_batch(
 ) -> None:
     """Store, compute, score, log. Every output belongs to ``batch_id`` alone."""
     spark = batch.sparkSession
-    tables.write(batch.select(*INPUTS), "transactions", batch_id)
+    fresh = new_arrivals(batch, tables, batch_id).sortWithinPartitions("transactionid")
+    tables.write(fresh, "transactions", batch_id)
     arrivals = spark.read.schema(ARRIVING).parquet(
         f"{tables.path('transactions')}/batch_id={batch_id}"
     )
-    tables.write(batch_features(arrivals, identities, tables, batch_id), "features", batch_id)
+    with temporary(spark):
+        first = materialise(batch_features(arrivals, identities, tables, batch_id), "live-batch")
+        tables.write(repaired(first, identities, tables, batch_id), "features", batch_id)
     if scorer is not None:
         features = spark.read.parquet(f"{tables.path('features')}/batch_id={batch_id}")
-        scored = scorer(features.filter(~F.col("is_late")))
+        scored = scorer(features)
         tables.write(scored.select(*SCORE_COLUMNS), "scores", batch_id)
         scored = spark.read.parquet(f"{tables.path('scores')}/batch_id={batch_id}")
         tables.write(activity(scored, threshold), "activity", batch_id)
@@ -196,6 +237,8 @@ def process_batch(
         _write_totals(
             key_totals(keyed, key), tables, key, tables.generation(batch_id), batch_id
         )
+    if tables.generation(batch_id) > 1 and batch_id % tables.fold_every == 0:
+        _drop_generation(spark, tables, tables.generation(batch_id) - 2)
 
 
 def arrivals_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

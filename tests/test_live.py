@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.features import ORDER, transaction_features
-from riskloom.operators.lookup import features_for_ids
 from riskloom.schemas import IDENTITIES
 from riskloom.sources import fixtures as X
 from riskloom.streaming import live
@@ -45,21 +44,34 @@ def test_batches_equal_the_batch_job(spark, rows, no_ids, tmp_path):
 
 
 def test_late_rows_are_marked_and_repaired(spark, rows, no_ids, tmp_path):
+    """Also rows that are sent again: every id is computed, scored and logged once."""
     store = live.LiveTables(str(tmp_path / "live"))
     live.seed(rows.limit(0), store)
     late = F.col("transactionid") == 40
-    live.process_batch(rows.filter((F.col("transactionid") < 500) & ~late), 0, no_ids, store, None)
-    live.process_batch(rows.filter((F.col("transactionid") >= 500) | late), 1, no_ids, store, None)
-    got = collect(store.read(spark, "features"))
-    assert [i for i, r in got.items() if r.is_late] == [40]
-    assert got[40].uid_txn_count_before_this is None
-    assert got[40].match_flag_count is not None
+    first = rows.filter((F.col("transactionid") < 500) & ~late)
+    second = rows.filter((F.col("transactionid") >= 500) | late)
+    live.process_batch(first, 0, no_ids, store, X.rule_score)
+    again = second.union(second.filter("transactionid % 7 = 0")).union(rows.filter("transactionid < 90"))
+    live.process_batch(again, 1, no_ids, store, X.rule_score)
+    features = store.read(spark, "features")
+    got = collect(features)
+    assert features.count() == 1000 and [i for i, r in got.items() if r.is_late] == [40]
     full = collect(transaction_features(rows, no_ids))
     columns = list(next(iter(full.values())).asDict())
-    assert all([got[i][c] for c in columns] == list(full[i]) for i in range(500, 1000))
-    late_ids = spark.createDataFrame([(40,)], "transactionid long")
-    repaired = features_for_ids(store.read(spark, "transactions"), no_ids, late_ids).first()
-    assert repaired == full[40]
+    assert all([got[i][c] for c in columns] == list(full[i]) for i in [40, *range(500, 1000)])
+    log = store.read(spark, "activity")
+    assert log.count() == 1000 and log.select("transactionid").distinct().count() == 1000
+
+
+def test_old_generations_go(spark, rows, no_ids, tmp_path):
+    """What a batch reads of the past does not grow with the number of batches."""
+    store = live.LiveTables(str(tmp_path / "live"), fold_every=2)
+    live.seed(rows.limit(0), store)
+    for n in range(7):
+        live.process_batch(rows.filter(F.col("transactionid") % 7 == n), n, no_ids, store, None)
+        folders = [p for p in (tmp_path / "live/past_uid").glob("gen=*/batch_id=*")]
+        assert len(folders) <= 2 * 3
+    assert {p.name for p in (tmp_path / "live/past_uid").iterdir()} == {"gen=2", "gen=3"}
 
 
 def test_stream_resumes_from_its_checkpoint(spark, rows, no_ids, tmp_path):
