@@ -39,7 +39,7 @@ from .common import packed, unpacked
 
 WINDOW = 35
 ANCHOR = 12
-CACHE = 400_000
+CACHE = 200_000
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -121,20 +121,20 @@ def seeds(hashes: np.ndarray, lengths: np.ndarray, window: int, anchor: int) ->
 
 
 #: Texts analysed at once: so many words, or one text.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
-def _sliced(texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def _sliced(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Parts of a batch: their place, word hashes end to end, words per text."""
     at = 0
     while at < len(texts):
-        begin, words, lengths = at, [], []
-        while at < len(texts) and (not words or len(words) < SLICE):
-            found = WORDS.findall(texts[at] or "")
-            words += map(_HASHES.__getitem__, found)
-            lengths.append(len(found))
+        begin, parts, n = at, [], 0
+        while at < len(texts) and (not parts or n < SLICE):
+            words = WORDS.findall(texts[at].as_py() or "")
+            parts.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
             at += 1
-        yield slice(begin, at), np.array(words, np.uint64), np.array(lengths, np.int64)
+        yield slice(begin, at), np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
 
 
 _HASHES = WordHashes()
@@ -148,7 +148,7 @@ def seed_rows(ided: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text_hashes = batch.column("doc_id"), batch.column("text_hash")
-            for part, hashes, lengths in _sliced(batch.column("text").to_pylist()):
+            for part, hashes, lengths in _sliced(batch.column("text")):
                 found = seeds(hashes, lengths, window, anchor)
                 row = pa.array(found["row"] + part.start)
                 columns = [ids.take(row), text_hashes.take(row), *[pa.array(found[k], pa.int32()) for k in ("first", "n")]]
@@ -163,8 +163,9 @@ def window_rows(listed: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, runs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist())):
-                spans = Spans(np.array(list(map(_HASHES.__getitem__, WORDS.findall(text))), np.uint64))
+            for i, runs in enumerate(batch.column("runs")):
+                runs, words = runs.as_py(), WORDS.findall(batch.column("text")[i].as_py())
+                spans = Spans(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
                 n = np.array([r["n"] for r in runs])
                 of_run = np.repeat(np.arange(len(runs)), n)
                 first = np.array([r["first"] for r in runs])[of_run] + np.arange(len(of_run)) - (np.cumsum(n) - n)[of_run]
@@ -197,6 +198,9 @@ def repeated_windows(ided: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     ided = ided.select("doc_id", "text_hash", "text")
     runs = seed_rows(ided, window, anchor)
     often = runs.groupBy("anchor").agg(F.count("*").alias("runs")).filter("runs > 1").select("anchor")
+    # Written, so that both sides of the join are plain exchanges and a hot anchor can be split.
+    often = materialise(often, "anchors")
+    tidy(spark)
     repeated = materialise(runs.join(often, "anchor"), "runs")
     tidy(spark)
     one = F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("one")
@@ -253,15 +257,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
 
+    def digest(text: str | None, spans: list[dict] | None) -> tuple[int, int, str]:
+        kept, n = kept_words(text, spans, window)
+        return n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [kept_words(t, s, window) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            found = [digest(t.as_py(), s.as_py()) for t, s in zip(batch.column("text"), batch.column("spans"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([n for _, n in found], pa.int64()),
-                    pa.array([n - len(kept) for kept, n in found], pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(kept).encode()).hexdigest() for kept, _ in found], pa.string()),
+                    *[pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)],
+                    pa.array([x[2] for x in found], pa.string()),
                 ],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
