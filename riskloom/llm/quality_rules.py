@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, digits as 0, white space as one space) and hashed. For
 every host, here the source, the documents that hold a line are counted; documents
-that are copies, whole or nearly, count once. Lines above the limit are removed, and a
-document that loses most of its words is rejected.
+that are copies, whole or nearly, count once. Lines above a share of the host's documents (and a
+number, for small hosts) are removed, and a document that loses most of its words is rejected.
 
 The counts are pre-aggregated; the join back to documents carries hashes, not texts,
 and AQE splits it where one line is in a third of all documents.
@@ -23,10 +23,11 @@ from .common import packed, unpacked, words_of
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]"
-#: A line in more documents of one host than this is boilerplate.
-MOST_DOCUMENTS = 50
+#: A line in a larger share of a host's documents, and in more than so many, is boilerplate.
+MOST_SHARE = 0.02
+MOST_DOCUMENTS = 20
 #: A document that loses a larger share of its words is depleted.
-MOST_REMOVED = 0.6
+MOST_REMOVED = 0.7
 
 
 def repeated_words(words: Column) -> Column:
@@ -109,16 +110,19 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return listed.select("doc_id", "host", key.alias("key"), F.explode("_h").alias("line"))
 
 
-def frequent_lines(rows: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
-    """host, line of the lines in more documents of their host than the limit."""
+def frequent_lines(rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:
+    """host, line of the lines in more documents of their host than both limits."""
     once = rows.select("host", "line", "key").distinct()
     counts = once.groupBy("host", "line").agg(F.count("*").alias("documents"))
-    return counts.filter(F.col("documents") > most_documents).select("host", "line")
+    common = counts.filter(F.col("documents") > most_documents)
+    hosts = rows.select("host", "key").distinct().groupBy(F.col("host").alias("_h")).agg(F.count("*").alias("_all"))
+    ranked = common.join(hosts, common["host"].eqNullSafe(hosts["_h"]))
+    return ranked.filter(F.col("documents") > most_share * F.col("_all")).select("host", "line")
 
 
-def with_frequent(docs: DataFrame, rows: DataFrame, most_documents: int) -> DataFrame:
+def with_frequent(docs: DataFrame, rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:
     """Adds _frequent: the hashes of the document's lines that are frequent on its host; null for none."""
-    frequent = frequent_lines(rows, most_documents)
+    frequent = frequent_lines(rows, most_documents, most_share)
     same = lambda a, b, name: F.col(f"{a}.{name}").eqNullSafe(F.col(f"{b}.{name}"))
     hits = (
         rows.alias("r")
@@ -146,23 +150,29 @@ BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 
 
 def judge_documents(
-    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_removed: float = MOST_REMOVED
+    docs: DataFrame,
+    most_documents: int = MOST_DOCUMENTS,
+    most_share: float = MOST_SHARE,
+    most_removed: float = MOST_REMOVED,
 ) -> DataFrame:
     """doc_id, the base columns, kept, n_removed for every row. No text moves."""
     counted = with_lines(with_base(docs.select("doc_id", "text", "source"))).drop("text")
-    found = with_frequent(counted, line_rows(docs), most_documents)
+    found = with_frequent(counted, line_rows(docs), most_documents, most_share)
     return with_verdict(found, most_removed).select(
         F.col("doc_id").cast("long").alias("doc_id"), *BASE_COLUMNS, "kept", "n_removed"
     )
 
 
 def filter_documents(
-    docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_removed: float = MOST_REMOVED
+    docs: DataFrame,
+    most_documents: int = MOST_DOCUMENTS,
+    most_share: float = MOST_SHARE,
+    most_removed: float = MOST_REMOVED,
 ) -> DataFrame:
     """The kept documents with all their columns, without their frequent lines; n_chars, if there, follows."""
     narrow = docs.select(packed(docs), "doc_id", "text", "source")
     counted = with_lines(with_base(narrow)).drop("text")
-    found = with_verdict(with_frequent(counted, line_rows(docs), most_documents), most_removed).filter("kept")
+    found = with_verdict(with_frequent(counted, line_rows(docs), most_documents, most_share), most_removed).filter("kept")
     old, untouched = F.col("_row.text"), F.col("_frequent").isNull()
     rest = F.filter(F.split(old, "\n", -1), lambda line: ~is_frequent(line_facts(line)["line"]))
     changed = {"text": F.when(untouched, old).otherwise(F.array_join(rest, "\n"))}
