@@ -9,7 +9,7 @@ skipped, and the items of the rest are scored. Of what is retrieved, 5-word shin
 question and answer must both be found to 0.8 or more. The answer is an item's last sentence,
 or its second half if it has one sentence only.
 
-Items are dealt to shards of at most SHARD items, one broadcast index each, so what is broadcast
+Items are dealt to shards of about SHARD items, one broadcast index each (tens of MB), so what is broadcast
 is bounded whatever the benchmark's size; frequencies are those of all items.
 
 Null or wordless texts match nothing; a null doc_id is reported as null; repeated documents give
@@ -35,7 +35,7 @@ OVERLAP = 0.8
 SHINGLE = 5
 LEAST_STRIDE = 64
 BLOCK = 16
-SHARD = 4096
+SHARD = 512
 CACHE = 400_000
 #: Pairs of passage and term weighed at once.
 SLICE = 1 << 18
@@ -202,7 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     frequency = postings.groupBy("term").agg(F.count("*").alias("items"))
     shards = -(-total[0] // shard)
     found = []
-    for number in range(shards):  # each collects at most about SHARD items
+    for number in range(shards):  # each collects about SHARD items
         of_shard = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == number
         listed = [tuple(r) for r in items.filter(of_shard).collect() if terms(r[1])]
         if not listed:
