@@ -9,6 +9,7 @@ from riskloom.functions.expressions import coerce_double
 from riskloom.operators.features import (
     HISTORY_INPUTS,
     INPUTS,
+    ORDER,
     customer_history,
     derive_features,
     email_history,
@@ -16,6 +17,7 @@ from riskloom.operators.features import (
     profile_transactions,
     with_identity,
 )
+from riskloom.operators.split import before_row
 from riskloom.schemas import MODEL_FEATURES
 from riskloom.session import materialise
 
@@ -27,16 +29,22 @@ def features_for_ids(
 
     An id filter cannot move below a window by itself, so the history is cut
     here: the customer part reads only the wanted customers, the e-mail part
-    only the wanted domains, each before its window. In a hot customer or domain
+    only the wanted domains, each before its window, and neither reads rows after the
+    last wanted one. In a hot customer or domain
     only the time slices that hold a wanted row are sorted; the others enter as
     pre-aggregated totals.
     """
     ids = ids.select("transactionid").distinct()
     keyed = prepare(transactions)
-    profile = profile_transactions(keyed)
     # Read by four joins below, so it is found once and kept.
     targets = materialise(keyed.join(ids, "transactionid", "left_semi"), "lookup")
     wanted = targets.select("transactionid")
+    # Nothing after the last wanted row is read: plain comparisons, which reach the scan.
+    last = targets.agg(F.max(F.struct(*ORDER))).first()[0]
+    if last is not None and last[0] is not None:
+        reached = before_row(ORDER, tuple(last)) | (F.col("transactionid") == last[1])
+        keyed = prepare(transactions.filter(reached | F.col("transactiondt").isNull()))
+    profile = profile_transactions(keyed)
 
     history = keyed.select(*HISTORY_INPUTS)
     only = targets.select(*HISTORY_INPUTS)
