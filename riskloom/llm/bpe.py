@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: States and word results kept per task; beyond it they are made anew.
+#: States, token pairs and word results kept per worker; beyond it they are made anew.
 MAX_STATES = 200_000
-MAX_WORDS = 400_000
+MAX_PAIRS = 400_000
+MAX_WORDS = 250_000
 #: Bytes after which certain tokens are emitted; well over the longest token.
 LOOKAHEAD = 1024
 
@@ -99,6 +100,8 @@ class Transducer:
         pair = (left, right)
         known = self.fitting.get(pair)
         if known is None:
+            if len(self.fitting) > MAX_PAIRS:
+                self.fitting.clear()
             known = self.fitting[pair] = self._fits(left, right)
         return known
 
