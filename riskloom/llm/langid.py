@@ -1,7 +1,7 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-Words of the training documents are counted per language by Spark; the n-gram counts
-follow from the word counts, not from a second pass over the texts. The model keeps
+Words and n-grams of the training documents are counted per language by Spark, in one
+pass over the texts: a batch counts its words, and n-grams over its distinct words, before rows move. The model keeps
 words and n-grams with at least LEAST_SHARE of their language's total, so it has at most
 1 / LEAST_SHARE entries per language and order whatever the corpus, and may be broadcast.
 A word in the model scores its log frequency in each language; an unseen one the mean
@@ -42,21 +42,37 @@ def held_out(doc_id: Column) -> Column:
     return doc_hash_mod(doc_id, HELD_OUT_OF) == 0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, n over all rows with a text and a language."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """ord, lang, gram, n: words (order 0) and n-grams over all rows with a text and a language.
+
+    The n-grams of a batch are counted over its distinct words, weighted by their counts.
+    """
 
     def make():
         def work(batch: dict[str, list]) -> dict[str, list]:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"], batch["text"]):
                 counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            rows = [(lang, w, n) for lang, words in counts.items() for w, n in words.items()]
-            return dict(zip(("lang", "word", "n"), zip(*rows))) if rows else {"lang": [], "word": [], "n": []}
+            out: dict[str, list] = {"ord": [], "lang": [], "gram": [], "n": []}
+            for lang, words in counts.items():
+                grams = {n: Counter() for n in ORDERS}
+                for word, times in words.items():
+                    padded = f"^{word}$"
+                    for n, seen in grams.items():
+                        for i in range(max(1, len(padded) - n + 1)):
+                            seen[padded[i : i + n]] += times
+                for order, seen in ((0, words), *grams.items()):
+                    out["ord"] += [order] * len(seen)
+                    out["lang"] += [lang] * len(seen)
+                    out["gram"] += seen.keys()
+                    out["n"] += seen.values()
+            return out
 
         return work
 
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
-    return map_rows(known, make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = map_rows(known, make, "ord int, lang string, gram string, n long")
+    return rows.groupBy("ord", "lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, least_share: float) -> DataFrame:
@@ -72,20 +88,11 @@ def frequent(counts: DataFrame, least_share: float) -> DataFrame:
 
 def train(docs: DataFrame, least_share: float = LEAST_SHARE) -> dict:
     """The model: languages, and per order (0: words) a map from gram to the log shares by language."""
-    words = materialise(word_counts(docs), "word-counts")
-    languages = sorted(r[0] for r in words.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    counts = materialise(gram_counts(docs), "gram-counts")
+    found = counts.filter("ord = 0").select("lang").distinct()
+    languages = sorted(r[0] for r in found.limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    grams = [words.select(F.lit(0).alias("ord"), "lang", F.col("word").alias("gram"), "n")]
-    for n in ORDERS:
-        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        cut = F.transform(at, lambda i: F.substring(padded, i, F.lit(n)))  # noqa: B023
-        of_order = words.select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        grams.append(of_order.select(F.lit(n).alias("ord"), "lang", "gram", "n"))
-    counts = grams[0]
-    for other in grams[1:]:
-        counts = counts.union(other)
     rows = frequent(counts, least_share).toArrow().to_pydict()
     place = {lang: i for i, lang in enumerate(languages)}
     floor = math.log(least_share * UNSEEN)
