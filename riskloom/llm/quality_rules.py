@@ -1,8 +1,8 @@
 """Quality rules by line frequency across documents, in DataFrame functions only.
 
 Lines are normalised (lower case, digits as 0, white space as one space) and hashed. For
-every host, here the source, the documents that hold a line are counted; documents
-that are copies, whole or nearly, count once. Lines above a share of the host's documents (and a
+every host, here the source, the distinct documents that hold a line are counted: only whole
+copies count once. Lines above a share of the host's documents (and a
 number, for small hosts) are removed, and a document that loses most of its words is rejected.
 
 The counts are pre-aggregated; the join back to documents carries hashes, not texts,
@@ -102,12 +102,12 @@ def with_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """A row per document and distinct line: doc_id, host, line, and the document's key: its least
-    and greatest line hash, which copies and most near copies share."""
+    """A row per document and distinct line: doc_id, host, line, and the document's key, the hash of its
+    text, which only copies share."""
     hashes = F.transform("_lines", lambda line: line["line"])
-    listed = with_lines(docs.select("doc_id", "text", "source")).select("doc_id", F.col("source").alias("host"), F.array_distinct(hashes).alias("_h"))
-    key = F.xxhash64(F.array_min("_h"), F.array_max("_h"))
-    return listed.select("doc_id", "host", key.alias("key"), F.explode("_h").alias("line"))
+    keyed = docs.select("doc_id", "text", F.col("source").alias("host"), F.xxhash64("text").alias("key"))
+    listed = with_lines(keyed).select("doc_id", "host", "key", F.array_distinct(hashes).alias("_h"))
+    return listed.select("doc_id", "host", "key", F.explode("_h").alias("line"))
 
 
 def frequent_lines(rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:

@@ -115,6 +115,16 @@ def test_frequent_lines(spark):
     assert texts[1] == f"{body(1)}\n{body(51)}" and texts[20] == rows[6][1] and 40 not in texts
 
 
+def test_shared_block_counts_every_document(spark):
+    """Unlike documents that share a licence of 60 lines over 2 lines of their own are not copies of each other."""
+    licence = "\n".join(f"clause {chr(97 + k // 8)}{chr(97 + k % 8)} holds" for k in range(60))
+    own = lambda i: "\n".join(" ".join(f"{c}{chr(97 + i // 6)}{chr(97 + i % 6)}x{chr(97 + k // 10)}{chr(97 + k % 10)}" for k in range(60)) for c in "pq")
+    rows = [(i, own(i) + ("\n" + licence) * (i < 30), "h") for i in range(36)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in quality_rules.judge_documents(docs).collect()}
+    assert got == {i: (180 * (i < 30), True) for i in range(36)}
+
+
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
