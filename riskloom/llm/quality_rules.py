@@ -3,7 +3,8 @@
 Lines are normalised (lower case, digits as 0, white space as one space) and hashed. For
 every host, here the source, the distinct documents that hold a line are counted: only whole
 copies count once. Lines above a share of the host's documents (and a
-number, for small hosts) are removed, and a document that loses most of its words is rejected.
+floor of a few, for small hosts) are removed; the share falls with the square root of the host's size,
+by one formula from a host of four documents to one of millions, and a document that loses most of its words is rejected.
 
 The counts are pre-aggregated; the join back to documents carries hashes, not texts,
 and AQE splits it where one line is in a third of all documents.
@@ -23,9 +24,11 @@ from .common import packed, unpacked, words_of
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]"
-#: A line in a larger share of a host's documents, and in more than so many, is boilerplate.
+#: A line in a larger share of a host's documents, and in more than so many, is boilerplate. The share
+#: is that of a host of SHARE_AT documents and falls with the square root of the host's size.
 MOST_SHARE = 0.02
-MOST_DOCUMENTS = 20
+SHARE_AT = 2_500
+MOST_DOCUMENTS = 3
 #: A document that loses a larger share of its words is depleted.
 MOST_REMOVED = 0.7
 
@@ -117,7 +120,8 @@ def frequent_lines(rows: DataFrame, most_documents: int, most_share: float) -> D
     common = counts.filter(F.col("documents") > most_documents)
     hosts = rows.select("host", "key").distinct().groupBy(F.col("host").alias("_h")).agg(F.count("*").alias("_all"))
     ranked = common.join(hosts, common["host"].eqNullSafe(hosts["_h"]))
-    return ranked.filter(F.col("documents") > most_share * F.col("_all")).select("host", "line")
+    limit = most_share * F.sqrt(F.lit(SHARE_AT) * F.col("_all"))
+    return ranked.filter(F.col("documents") > limit).select("host", "line")
 
 
 def with_frequent(docs: DataFrame, rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:

@@ -125,6 +125,15 @@ def test_shared_block_counts_every_document(spark):
     assert got == {i: (180 * (i < 30), True) for i in range(36)}
 
 
+def test_frequent_at_any_size(spark):
+    """Lines of a small host and of a large one: the line in one document more than the limit only."""
+    line = lambda host, n, key, of: spark.range(of).selectExpr(f"'{host}' host", f"{n}L line", f"id + {key} key")
+    rows = line("large", 0, 0, 10_000).union(line("large", 1, 0, 101)).union(line("large", 2, 50, 100))
+    rows = rows.union(line("small", 1, 0, 4)).union(line("small", 2, 0, 3)).union(line("small", 3, 4, 1))
+    got = quality_rules.frequent_lines(rows, quality_rules.MOST_DOCUMENTS, quality_rules.MOST_SHARE)
+    assert {tuple(r) for r in got.collect()} == {("large", 0), ("large", 1), ("small", 1)}
+
+
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )

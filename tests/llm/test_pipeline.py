@@ -88,3 +88,19 @@ def test_stages_keep_columns_and_survive_untidy_rows(spark):
             assert now.columns == docs.columns and now.dtypes == docs.dtypes
         ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()]
         assert Counter(ids) == (Counter([3]) if start is docs else Counter())
+
+
+def test_pipeline_removes_lines_and_depleted_documents(spark, tmp_path):
+    """A line on every page of a small host goes, and a page of little else goes as a whole."""
+    word = lambda i, k: f"w{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    body = lambda i, n: " ".join(word(i, k) for k in range(n))
+    footer = " ".join(f"foot{chr(97 + k)}" for k in range(20))
+    rows = [(i, f"{body(i, 200)}\n{footer}", "en", "small", 0) for i in range(5)]
+    rows += [(5, f"{body(5, 6)}\n{footer}", "en", "small", 0), (6, f"{body(6, 200)}\n{footer}", "en", "other", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.createDataFrame([(1, "an item that no document holds. Not at all")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    want = {i: body(i, 200) for i in range(5)} | {6: rows[6][1]}
+    assert got == {i: OWN.encode_ordinary(t) for i, t in want.items()}
