@@ -2,7 +2,9 @@
 
 Random strings take many tokens under a vocabulary made for language, so few
 characters per token expose them. Candidates are runs of key characters; digests of
-known lengths, UUIDs and strings without both letters and digits are left out.
+known lengths, UUIDs, times and strings without letters are left out, and letters without digits
+unless a capital follows a small letter: prose has runs of one case that take as many tokens.
+Short strings and those without digits must pass a stricter limit.
 
 A null text counts as empty and has no spans. Repeated rows are scanned alike; other
 columns are not looked at. Whole texts are scanned, in time linear in their length.
@@ -25,10 +27,13 @@ ASSIGN = re.compile(
 ASSIGN_HINT = re.compile(r"pass|secret|token|api", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+#: Strings below so many characters, and those without digits, must have so many fewer characters per token.
+SHORT = 20
+STRICTER = 0.4
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
-KNOWN = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9-]+|[A-Za-z]+([_/+=-][A-Za-z]+)*[_/+=-]*")
+KNOWN = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9-]+(T[0-9]+Z?)?")
 KINDS = ["assign", "access", "hex", "random"]
 BASE = KINDS[:3]
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>"
@@ -48,11 +53,11 @@ def _encoding(ranks_file: bytes):
 
 
 def known(text: str) -> bool:
-    """A digest or identifier, or without letters or digits."""
+    """A digest, identifier or time, or without letters, or without digits and unmixed in case."""
     return bool(
         KNOWN.fullmatch(text)
         or (len(text) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text))
-        or not re.search("[0-9]", text)
+        or not re.search("[0-9]|[a-z][A-Z]", text)
         or not re.search("[A-Za-z]", text)
     )
 
@@ -68,7 +73,8 @@ def scan(text: str, ratio: Callable[[str], float], most: float) -> list[dict]:
     for m in CANDIDATE.finditer(text):
         if not known(m[0]) and not any(a <= m.start() and m.end() <= b for a, b in taken):
             per_token = ratio(m[0])
-            if per_token <= most:
+            strict = len(m[0]) < SHORT or not re.search("[0-9]", m[0])
+            if per_token <= most - STRICTER * strict:
                 spans.append(("random", *m.span(), per_token))
     return [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans]
 

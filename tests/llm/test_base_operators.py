@@ -169,6 +169,16 @@ def test_random_strings(spark):
     }
 
 
+def test_short_and_letter_only_random_strings(spark):
+    texts = [
+        "key Zx8Kq2Lm9Vt4Rw7Y here", "key Zx8Kq2Lm9Vt4 here", "key ZxqKjLmvVtRwgYpNdBfXkQzH here", "at 2024-01-01T00:00:00Z or 20240101T000000Z",
+        "getUserNameFromRequest2 HttpServletRequestWrapper Donaudampfschiff", "undzueinkeitqxzvkjwpq NL91ABNA0417164300",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secret_digests(docs, VOCABULARY).collect()}
+    assert got == {0: "random:4:20", 1: "random:4:16", 2: "random:4:28", 3: "", 4: "", 5: ""}
+
+
 def test_urls(spark):
     urls = [
         None, "no scheme", "http://", "HTTP://A.Example.COM/en/1?x", "http://www.example.com/en/9", "http://x.net/es/casino",
