@@ -13,7 +13,8 @@ Items are dealt to shards of about SHARD items, one broadcast index each (tens o
 is bounded whatever the benchmark's size; frequencies are those of all items.
 
 Null or wordless texts match nothing; a null doc_id is reported as null; repeated documents give
-repeated rows, repeated item rows one. No items: no rows. Extra columns are not looked at.
+repeated rows, repeated item rows one. Items are told apart by id and text, so one id may name several, and an
+item without an id is searched and reported with a null one. No items: no rows. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +99,7 @@ class Ids(dict):
 class Index:
     """Items of one shard: dense term by item weights, block maxima, and the terms each item can't do without."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], n_items: int, mean_words: float, threshold: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[str, int], n_items: int, mean_words: float, threshold: float) -> None:
         self.threshold = threshold
         self.items = [i for i, _ in items]
         self.place: dict[str, int] = {}
@@ -147,7 +150,7 @@ class Index:
                     found.append((int(passages[starts[live[i]]]), block * BLOCK + int(j), float(scores[i, j])))
         return found
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
+    def search(self, texts: list[str | None]) -> list[tuple[int, int | None, float, float, float]]:
         """(row, item id, score, question and answer overlap), the best passage of each row and item."""
         each = [np.array(list(map(self.ids.__getitem__, t.split())) if t else [], np.int32) for t in texts]
         each = [x[x > -2] for x in each]
@@ -185,33 +188,40 @@ class Index:
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds an item."""
-    spark = docs.sparkSession
-    items = items.filter("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    found = [_search(docs, index) for index in _indexes(items, threshold, shard)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], RESULT)
+
+
+def _indexes(items: DataFrame, threshold: float, shard: int) -> list:
+    """A broadcast index for each shard."""
+    spark = items.sparkSession
+    items = items.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
 
     def make_terms():
         def work(batch: dict[str, list]) -> dict[str, list]:
-            rows = [(i, t, n) for i, text in zip(batch["item_id"], batch["text"]) for t, n in Counter(terms(text)).items()]
-            return dict(zip(("item_id", "term", "n"), zip(*rows))) if rows else {"item_id": [], "term": [], "n": []}
+            rows = [(i, t, n) for i, text in zip(batch["item"], batch["text"]) for t, n in Counter(terms(text)).items()]
+            return dict(zip(("item", "term", "n"), zip(*rows))) if rows else {"item": [], "term": [], "n": []}
 
         return work
 
-    postings = map_rows(items, make_terms, "item_id long, term string, n long")
-    total = postings.agg(F.count_distinct("item_id"), F.sum("n")).first()
+    postings = map_rows(items, make_terms, "item long, term string, n long")
+    total = postings.agg(F.count_distinct("item"), F.sum("n")).first()
     if not total[0]:
-        return spark.createDataFrame([], RESULT)
+        return []
     frequency = postings.groupBy("term").agg(F.count("*").alias("items"))
     shards = -(-total[0] // shard)
     found = []
     for number in range(shards):  # each collects about SHARD items
-        of_shard = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == number
-        listed = [tuple(r) for r in items.filter(of_shard).collect() if terms(r[1])]
+        of_shard = F.pmod("item", F.lit(shards)) == number
+        listed = [tuple(r) for r in items.filter(of_shard).select("item_id", "text").collect() if terms(r[1])]
         if not listed:
             continue
         wanted = postings.filter(of_shard).select("term").distinct()
         counts = {r[0]: r[1] for r in frequency.join(wanted, "term").collect()}
-        index = Index(sorted(listed), counts, total[0], total[1] / total[0], threshold)
-        found.append(_search(docs, spark.sparkContext.broadcast(index)))
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], RESULT)
+        listed.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        found.append(spark.sparkContext.broadcast(Index(listed, counts, total[0], total[1] / total[0], threshold)))
+    return found
 
 
 def _search(docs: DataFrame, index) -> DataFrame:
@@ -231,7 +241,24 @@ def _search(docs: DataFrame, index) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, RESULT)
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns; those without an id are kept."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """The documents that hold no item, with all their columns: each row goes or stays by its own text,
+    whatever its id."""
+    for index in _indexes(items, threshold, shard):
+        docs = _without(docs, index)
+    return docs
+
+
+def _without(docs: DataFrame, index) -> DataFrame:
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = index.value.search
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                clean = np.ones(part.num_rows, bool)
+                clean[[r for r, *_ in search(part.column(at_text).to_pylist())]] = False
+                yield part if clean.all() else part.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

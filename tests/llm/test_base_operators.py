@@ -282,6 +282,19 @@ def test_decontamination(spark, messy, empty):
     assert decontaminate.without_contaminated(messy, bench).count() == messy.count()
 
 
+def test_decontamination_with_clashing_and_missing_ids(spark):
+    """One id names two items, one item has no id; documents share an id, or have none."""
+    texts = [" ".join(f"{c}{chr(97 + k)}" for k in range(12)) for c in "pqr"]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    rows = [(1, texts[0], 1), (1, "clean words only here", 2), (2, f"so {texts[1]} on", 3), (None, texts[2], 4), (None, None, 5), (None, "clean", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    for shard in (1, decontaminate.SHARD):
+        found = decontaminate.contaminated(docs, bench, shard=shard).collect()
+        assert Counter((r.doc_id, r.item_id) for r in found) == Counter([(1, 1), (2, 1), (None, None)])
+        clean = decontaminate.without_contaminated(docs, bench, shard=shard)
+        assert clean.schema == docs.schema and sorted(r.extra for r in clean.collect()) == [2, 5, 6]
+
+
 def test_block_maxima_lose_nothing(spark):
     """Retrieval equals scoring every item against every passage."""
     rng = np.random.default_rng(3)
