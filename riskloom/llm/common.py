@@ -44,6 +44,11 @@ def doc_hash_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string."""
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str
 ) -> DataFrame:
@@ -51,7 +56,7 @@ def map_rows(
 
     make() runs once per task and returns the function for its batches.
     """
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
