@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, line_crf, pii, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import bpe, decontaminate, langid, line_crf, merkle, periodic_runs, pii, quality_rules, secret_scan, simhash
+from . import substring_dedup, token_files, url_filter
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,18 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings,
     "op2_quality_rules": rules,
@@ -64,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": languages,
     "op9_personal_data": personal_data,
     "op10_line_crf": quality,
+    "op11_token_files": token_blocks,
+    "op12_periodic_runs": runs,
+    "op13_merkle": proofs,
 }
 
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.oracle()}
