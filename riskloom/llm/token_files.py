@@ -30,6 +30,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,9 @@ BLOCKS_AT_ONCE = 64
 MAX_PIECES = 200_000
 #: Texts of these characters are split here, by rules that all Unicode versions share; others by the library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA0\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-ɏ‐-‧]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LETTERS = r"[A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-ɏ]+"
+#: The byte-level pattern over PLAIN characters; what a piece begins with decides, so the commonest kinds stand first.
+PIECES = re.compile(rf" ?{_LETTERS}| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("count", "<u2"), ("width", "u1"), ("high_bytes", "u1"), ("exceptions", "<u4")])
 _TRAILER = np.dtype([("blocks", "<u8"), ("documents", "<u8"), ("ids", "<u8"), ("index_at", "<u8"), ("index_crc", "<u8"), ("magic", "S8")])
@@ -252,7 +255,9 @@ class Encoder:
         letters = {byte: chr(byte if byte in kept else next(spare)) for byte in range(0x100)}
         if set(letters.values()) != set(ByteLevel.alphabet()):
             raise ValueError("the library's byte alphabet is another one")
-        merged = library.model.tokenize
+        merges = Tokenizer.from_str(tokenizer).model
+        merges._resize_cache(0)  # pieces come here once
+        merged, number = merges.tokenize, attrgetter("id")
 
         class Pieces(dict):
             """What was met lately; the generation before is asked before the library."""
@@ -265,7 +270,7 @@ class Encoder:
                     self.clear()
                 found = self.older.get(piece)
                 if found is None:
-                    found = array("I", [t.id for t in merged(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+                    found = array("I", map(number, merged(piece.encode().decode("latin-1").translate(letters)))).tobytes()
                 self[piece] = found
                 return found
 
