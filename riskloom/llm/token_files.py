@@ -52,7 +52,7 @@ END_ID = 2
 MAGIC = b"PFORIDS1"
 #: Blocks packed, and pieces remembered, at a time.
 BLOCKS_AT_ONCE = 64
-MAX_PIECES = 200_000
+MAX_PIECES = 500_000
 #: Texts of these characters are split here, by rules that all Unicode versions share; others by the library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA0\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-ɏ‐-‧]*")
 _LETTERS = r"[A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-ɏ]+"
@@ -72,6 +72,29 @@ def bits_needed(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.int64)
 
 
+def packed_bits(numbers: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of each row's numbers side by side, as bytes. Eight numbers fill ``width`` bytes, each of them always the same ones."""
+    rows, count = numbers.shape
+    eights = -(-count // 8)
+    padded = np.zeros((rows, eights * 8), np.uint64)
+    padded[:, :count] = numbers & np.uint32((1 << width) - 1)
+    out = np.zeros((rows, eights, width), np.uint8)
+    for place in range(8):
+        begin, shift = divmod(place * width, 8)
+        moved = padded[:, place::8] << np.uint64(shift)
+        for n in range((shift + width + 7) // 8):
+            out[:, :, begin + n] |= (moved >> np.uint64(8 * n)).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : (count * width + 7) // 8]
+
+
+def unpacked_bits(data: bytes, count: int, width: int) -> np.ndarray:
+    """The numbers again: each is cut from the eight bytes that begin with its first bit's."""
+    held = np.frombuffer(data + b"\0" * 8, np.uint8)
+    at = np.arange(count, dtype=np.int64) * width
+    octets = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))[at >> 3]
+    return ((octets >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
     """Rows of ids (uint32), each to the bytes of a block."""
     count = ids.shape[1]
@@ -83,8 +106,7 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
     packed: list[bytes] = [b""] * len(ids)
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
-        bits = (rest[rows][:, :, None] >> np.arange(width, dtype=np.uint32)).astype(np.uint8) & 1
-        for row, data in zip(rows, np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")):
+        for row, data in zip(rows, packed_bits(rest[rows], int(width))):
             packed[row] = data.tobytes()
     out = []
     for row in range(len(ids)):
@@ -104,21 +126,15 @@ def _high_bits(rest: np.ndarray, widths: np.ndarray) -> np.ndarray:
 
 def unpack_block(data: bytes) -> np.ndarray:
     """The ids of a block, as uint32."""
-    head = np.frombuffer(data, _BLOCK_HEAD, 1)[0]
-    count, width, size, exceptions = int(head["count"]), int(head["width"]), int(head["high_bytes"]), int(head["exceptions"])
-    at = _BLOCK_HEAD.itemsize
-    n = (count * width + 7) // 8
-    rest = np.zeros(count, np.uint32)
-    if width:
-        bits = np.zeros((count, 32), np.uint8)
-        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, n, at), count=count * width, bitorder="little").reshape(count, width)
-        rest = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
-    at += n
-    where = np.frombuffer(data, "<u2", exceptions, at)
-    high = np.frombuffer(data, f"<u{size}", exceptions, at + 2 * exceptions).astype(np.uint32)
+    low, count, width, high_bytes, exceptions = np.frombuffer(data, _BLOCK_HEAD, 1)[0].item()
+    begin = _BLOCK_HEAD.itemsize
+    at = begin + (count * width + 7) // 8
+    rest = unpacked_bits(data[begin:at], count, width)
     if exceptions:
+        where = np.frombuffer(data, "<u2", exceptions, at)
+        high = np.frombuffer(data, f"<u{high_bytes}", exceptions, at + 2 * exceptions).astype(np.uint32)
         rest[where] |= high << np.uint32(width)
-    return rest + head["low"]
+    return rest + np.uint32(low)
 
 
 # --- files -------------------------------------------------------------------
