@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import expressions as E
 from riskloom.operators.prefix import OrderProfile, prefix_aggregate, profile_order
+from riskloom.schemas import INPUTS
 
 ORDER = ["transactiondt", "transactionid"]
 
-# Columns the features are made from.
-INPUTS = [
-    "transactionid", "card1", "addr1", "transactiondt", "transactionamt", "isfraud",
-    "p_emaildomain", "d1", "c1", "c2", "m1", "m2", "m3", "m4",
-]
-
 # The output columns, in order.
 OUTPUTS = [
     "transactionid", "card1", "uid", "transactiondt", "transactionamt", "isfraud",

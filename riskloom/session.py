@@ -7,10 +7,13 @@ import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_owned: list[tuple[SparkSession, str]] = []
+_program: list[tuple[SparkSession, str]] = []
+#: Whose intermediates are made now; a thread (the live job's handler, say) has a scope of its own.
+_scope: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("scope", default=_program)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,37 +26,42 @@ def shared_root(spark: SparkSession) -> str:
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder; nothing is created yet.
 
-    The path belongs to this program and is deleted when it ends, or by ``release``.
+    The path belongs to the block of ``temporary`` it is made in, in this thread, or else to the program, and is
+    deleted when that ends.
     """
     path = f"{shared_root(spark)}/riskloom/{purpose}-{uuid.uuid4().hex}"
-    _owned.append((spark, path))
+    _scope.get().append((spark, path))
     return path
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Intermediates made inside are deleted at the end; results must be written by then."""
-    kept = len(_owned)
+    """Intermediates that this thread makes inside are deleted at the end; results must be written by then."""
+    mine: list[tuple[SparkSession, str]] = []
+    outer = _scope.set(mine)
     try:
         yield
     finally:
-        release(spark, kept)
+        _scope.reset(outer)
+        _delete(mine)
 
 
-def release(spark: SparkSession, kept: int = 0) -> None:
-    """Delete the intermediates of this program but the first ``kept``; frames that read them end with it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_owned) > kept:
-        target = hadoop(_owned.pop()[1])
-        target.getFileSystem(conf).delete(target, True)
+def release() -> None:
+    """Delete the program's intermediates; frames that read them end with it."""
+    _delete(_program)
+
+
+def _delete(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        spark, path = paths.pop()
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _release_at_exit() -> None:
     try:
-        if _owned:
-            release(_owned[0][0])
+        release()
     except Exception:  # noqa: BLE001  the session ended first: the folder's retention rule remains
         pass
 

@@ -1,17 +1,16 @@
 """Live scoring of arriving transactions with Structured Streaming.
 
-Every arrival is stored, computed, scored and logged once. An id that is stored already, or
-comes again in one micro-batch, is dropped. Each micro-batch goes through the same feature
-code as the batch job. What it needs from the past is one row per customer and per
-e-mail domain: count, sum, latest (time, id). A row older than what its customer or
-domain has shown can't use these totals; it is computed by the lookup over the stored
-rows, in the same micro-batch.
-
-Totals are Parquet, one folder per micro-batch, so a micro-batch that is run again
-overwrites its own folders and changes nothing else. Every ``fold_every`` batches they
-are added up into a new generation; which one to read follows from the batch number.
-Only the folders of the current generation are listed and read, and older ones
-are deleted, so a batch costs the same after a thousand batches.
+Every arrival is stored, computed, scored and logged once: of an id that comes several times the first row
+counts, as it does in a load. What happened before an arrival comes from keyed state (``state.py``), which starts from a stored history and lives in the engine's
+state store with the query's checkpoint. What is left for a micro-batch is to put an arrival's two places, its
+customer's and its domain's, together with the totals of earlier slices, and to derive the features from them
+as the batch job does.
+
+A row older than what its customer or domain has shown in earlier micro-batches is marked late. Its features are those of
+all rows known by then, like those of any other row, and it counts in the past of every later row.
+
+Tables are written by micro-batch number, so a micro-batch that is run again overwrites its own folders and changes
+nothing else; no micro-batch reads what others have written.
 """
 
 from __future__ import annotations
@@ -21,32 +20,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators.features import (
-    INPUTS,
-    OUTPUTS,
-    customer_history,
-    derive_features,
-    email_history,
-    prepare,
-    profile_transactions,
-    with_identity,
-)
+from riskloom.operators.features import INPUTS, OUTPUTS, derive_features, prepare, with_identity
 from riskloom.operators.flagging import DECISION_THRESHOLD, flag, is_flagged
-from riskloom.operators.lookup import features_for_ids, one_per_id
-from riskloom.schemas import PROBABILITY, TRANSACTIONS
+from riskloom.operators.lookup import one_per_id
+from riskloom.operators.slices import NO_TIME
+from riskloom.schemas import PROBABILITY
 from riskloom.session import materialise, temporary
+from riskloom.streaming.state import ARRIVING, first_states, placed
 
-ARRIVING = T.StructType([f for f in TRANSACTIONS.fields if f.name in INPUTS])
 # Columns that need the past.
 PAST = [
     "uid_avg_amt_before_this", "uid_txn_count_before_this", "seconds_since_last_txn",
     "email_txn_count_before_this", "no_identity_high_velocity",
 ]
-_KEYS = ("uid", "p_emaildomain")
 SCORE_COLUMNS = ["transactionid", "transactiondt", "transactionamt", "score"]
+STATES = ("seen", "slices", "totals")
 
 
 @dataclass(frozen=True)
@@ -54,7 +44,6 @@ class LiveTables:
     """Where a live job keeps its tables, all below one shared folder."""
 
     root: str
-    fold_every: int = 20
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -62,139 +51,52 @@ class LiveTables:
     def write(self, rows: DataFrame, name: str, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path(name)}/batch_id={batch_id}")
 
-    def generation(self, batch_id: int) -> int:
-        return batch_id // self.fold_every
-
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(self.path(name))
 
 
-def key_totals(keyed: DataFrame, key: str) -> DataFrame:
-    """Count, cents and latest (time, id) per key; pre-aggregated before it moves."""
-    return keyed.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("amt_cents").alias("cents"),
-        F.max(F.struct("transactiondt", "transactionid")).alias("latest"),
-    )
-
-
-def _add_up(totals: DataFrame, key: str) -> DataFrame:
-    return totals.groupBy(key).agg(
-        F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("latest").alias("latest")
-    )
-
-
-def _totals_schema(key: str) -> str:
-    latest = "latest struct<transactiondt: bigint, transactionid: bigint>"
-    return f"{key} string, n bigint, cents bigint, {latest}, batch_id int"
-
-
-def _write_totals(totals: DataFrame, tables: LiveTables, key: str, gen: int, batch_id: int):
-    totals.write.mode("overwrite").parquet(
-        f"{tables.path('past_' + key)}/gen={gen}/batch_id={batch_id}"
-    )
-
-
-def _read_totals(spark: SparkSession, tables: LiveTables, key: str, gen: int) -> DataFrame:
-    return spark.read.schema(_totals_schema(key)).parquet(f"{tables.path('past_' + key)}/gen={gen}")
-
-
-def _drop_generation(spark: SparkSession, tables: LiveTables, gen: int) -> None:
-    """A micro-batch may be run again, so the generation just before stays."""
-    for key in _KEYS:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tables.path('past_' + key)}/gen={gen}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def seed(history: DataFrame, tables: LiveTables) -> None:
-    """Start from a history of transactions (it may be empty). Call once."""
+    """What the state begins with, from a history of transactions (it may be empty). Call once, before the first start."""
     tables.write(one_per_id(history.select(*INPUTS)), "transactions", -1)
-    keyed = prepare(_stored(history.sparkSession, tables, -1))
-    for key in _KEYS:
-        _write_totals(key_totals(keyed, key), tables, key, 0, -1)
-
-
-def _stored(spark: SparkSession, tables: LiveTables, batch_id: int) -> DataFrame:
-    """All transactions up to a micro-batch."""
-    schema = T.StructType([*ARRIVING.fields, T.StructField("batch_id", T.IntegerType())])
-    rows = spark.read.schema(schema).parquet(tables.path("transactions"))
-    return rows.filter(F.col("batch_id") <= batch_id).drop("batch_id")
-
-
-def new_arrivals(batch: DataFrame, tables: LiveTables, batch_id: int) -> DataFrame:
-    """One row per id that no earlier micro-batch has stored.
-
-    Files are sorted by id, so the range of the batch's ids skips most of what is stored.
-    """
-    rows = one_per_id(batch.select(*INPUTS))
-    low, high = batch.agg(F.min("transactionid"), F.max("transactionid")).first()
-    if low is None:
-        return rows
-    stored = _stored(batch.sparkSession, tables, batch_id - 1).select("transactionid")
-    near = stored.filter(F.col("transactionid").between(low, high))
-    return rows.join(near, "transactionid", "left_anti").select(*INPUTS)
-
-
-def _past(keyed: DataFrame, tables: LiveTables, key: str, batch_id: int) -> DataFrame:
-    """Totals of all earlier batches, for the keys in this batch."""
-    spark = keyed.sparkSession
-    gen = tables.generation(batch_id)
-    if gen > 0 and batch_id % tables.fold_every == 0:
-        folded = _add_up(_read_totals(spark, tables, key, gen - 1), key)
-        _write_totals(folded, tables, key, gen, -1)
-    totals = _read_totals(spark, tables, key, gen).filter(F.col("batch_id") < batch_id)
-    wanted = keyed.select(F.col(key).alias("wanted")).distinct()
-    same = F.col(key).eqNullSafe(F.col("wanted"))
-    return _add_up(totals.join(wanted, same, "left_semi"), key)
-
-
-def _is_before(latest: str) -> Column:
-    at = F.struct("transactiondt", "transactionid")
-    return F.coalesce(at < F.col(latest), F.lit(False))
-
-
-def batch_features(
-    arrivals: DataFrame, identities: DataFrame, tables: LiveTables, batch_id: int
-) -> DataFrame:
-    """Features of one micro-batch from its own rows and the stored totals.
-
-    A row older than the latest earlier-batch row of its customer or e-mail
-    domain is marked late, because totals cannot tell what came before it: its past features
-    are those of the lookup over the stored rows. It counts in the past of every later row.
-    """
-    keyed = prepare(arrivals)
-    profile = profile_transactions(keyed)
-    customers = _past(keyed, tables, "uid", batch_id).select(
+    stored = tables.read(history.sparkSession, "transactions").drop("batch_id")
+    for name, rows in first_states(stored).items():
+        rows.write.mode("overwrite").parquet(f"{tables.path('first_state')}/{name}")
+
+
+def _before(parts: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
+    """An arrival's totals for one kind of key: those in its slice and those of earlier slices."""
+    slices = parts.filter(F.col("to_kind") == kind).select(
+        "key", "slice", F.col("n").alias("_n"), F.col("sum_cents").alias("_cents"), F.col("last_at").alias("_at"),
+        "latest_at", "latest_id",
+    )
+    rows = parts.filter((F.col("to_kind") == "row") & (F.col("kind") == kind))
+    rows = rows.drop("latest_at", "latest_id").join(slices, ["key", "slice"])
+    last = F.greatest("last_at", "_at")
+    newest = F.struct(F.col("latest_at"), F.col("latest_id"))
+    values = {
+        "n": F.col("n") + F.col("_n"),
+        "cents": F.col("sum_cents") + F.col("_cents"),
+        "last": F.when(last > NO_TIME, last),
+        "late": F.coalesce(F.struct("at", "id") < newest, F.lit(False)),
+    }
+    return rows.select("id", "whole", *[values[v].alias(name) for v, name in names.items()])
+
+
+def batch_features(parts: DataFrame, identities: DataFrame) -> DataFrame:
+    """Features of a micro-batch from what the state steps gave out."""
+    customers = _before(
+        parts,
         "uid",
-        F.col("n").alias("uid_txn_count_before_this"),
-        F.col("cents").alias("uid_cents_before_this"),
-        F.col("latest.transactiondt").alias("uid_last_dt"),
-        F.col("latest").alias("uid_latest"),
-    )
-    domains = _past(keyed, tables, "p_emaildomain", batch_id).select(
-        "p_emaildomain",
-        F.col("n").alias("email_txn_count_before_this"),
-        F.col("latest").alias("email_latest"),
+        {"n": "uid_txn_count_before_this", "cents": "uid_cents_before_this", "last": "uid_last_dt", "late": "_late_uid"},
     )
-    history = customer_history(keyed, profile, carry=customers, carry_extra=("uid_latest",))
-    history = email_history(
-        history, profile, carry=domains, carry_extra=("email_latest",), totals_from=keyed
-    )
-    marked = history.withColumn("is_late", _is_before("uid_latest") | _is_before("email_latest"))
+    domains = _before(parts, "p_emaildomain", {"n": "email_txn_count_before_this", "late": "_late_email"})
+    history = prepare(customers.select("whole.*")).join(customers.drop("whole").withColumnRenamed("id", "transactionid"), "transactionid")
+    history = history.join(domains.drop("whole").withColumnRenamed("id", "transactionid"), "transactionid")
+    marked = history.withColumn("is_late", F.col("_late_uid") | F.col("_late_email"))
     features = derive_features(with_identity(marked, identities), keep=("is_late",))
     return features.select(*OUTPUTS, "is_late")
 
 
-def repaired(features: DataFrame, identities: DataFrame, tables: LiveTables, batch_id: int) -> DataFrame:
-    """The features of a written micro-batch, late rows computed over the stored rows."""
-    late = features.filter("is_late").select("transactionid")
-    if late.isEmpty():
-        return features
-    stored = _stored(features.sparkSession, tables, batch_id)
-    exact = features_for_ids(stored, identities, late).withColumn("is_late", F.lit(True))
-    return features.filter("not is_late").unionByName(exact)
-
-
 def activity(scored: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFrame:
     """One log row per scored arrival, stamped with the processing time."""
     return scored.select(
@@ -206,24 +108,21 @@ def activity(scored: DataFrame, threshold: float = DECISION_THRESHOLD) -> DataFr
     )
 
 
-def process_batch(
-    batch: DataFrame,
+def store_batch(
+    parts: DataFrame,
     batch_id: int,
     identities: DataFrame,
     tables: LiveTables,
     scorer: Callable[[DataFrame], DataFrame] | None,
     threshold: float = DECISION_THRESHOLD,
 ) -> None:
-    """Store, compute, score, log. Every output belongs to ``batch_id`` alone."""
-    spark = batch.sparkSession
-    fresh = new_arrivals(batch, tables, batch_id).sortWithinPartitions("transactionid")
-    tables.write(fresh, "transactions", batch_id)
-    arrivals = spark.read.schema(ARRIVING).parquet(
-        f"{tables.path('transactions')}/batch_id={batch_id}"
-    )
+    """Store, compute, score, log what came through the state steps. Every output belongs to ``batch_id`` alone."""
+    spark = parts.sparkSession
     with temporary(spark):
-        first = materialise(batch_features(arrivals, identities, tables, batch_id), "live-batch")
-        tables.write(repaired(first, identities, tables, batch_id), "features", batch_id)
+        parts = materialise(parts, "live-batch")  # the state steps run once
+        arrived = parts.filter("to_kind = 'row' and kind = 'uid'").select("whole.*")
+        tables.write(arrived, "transactions", batch_id)
+        tables.write(batch_features(parts, identities), "features", batch_id)
     if scorer is not None:
         features = spark.read.parquet(f"{tables.path('features')}/batch_id={batch_id}")
         scored = scorer(features)
@@ -232,21 +131,23 @@ def process_batch(
         tables.write(activity(scored, threshold), "activity", batch_id)
         cases = flag(scored, threshold).withColumn("flagged_at", F.current_timestamp())
         tables.write(cases, "flagged", batch_id)
-    keyed = prepare(arrivals)
-    for key in _KEYS:
-        _write_totals(
-            key_totals(keyed, key), tables, key, tables.generation(batch_id), batch_id
-        )
-    if tables.generation(batch_id) > 1 and batch_id % tables.fold_every == 0:
-        _drop_generation(spark, tables, tables.generation(batch_id) - 2)
+
+
+def file_place() -> Column:
+    """Where a row of a Parquet file source stands: by time of the file, file, and row in it."""
+    at = F.unix_micros("_metadata.file_modification_time").cast("string")
+    return F.concat(
+        F.lpad(at, 20, "0"), F.lit("/"), F.col("_metadata.file_path"), F.lit("/"),
+        F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"),
+    )
 
 
 def arrivals_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New transaction files as a stream; ``max_files`` bounds a micro-batch."""
+    """New transaction files as a stream; ``max_files`` bounds a micro-batch. Column ``place`` orders its rows."""
     reader = spark.readStream.schema(ARRIVING)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(path).select("*", file_place().alias("place"))
 
 
 def start(
@@ -257,12 +158,19 @@ def start(
     threshold: float = DECISION_THRESHOLD,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Run the live job on a stream of arrivals; it resumes from its checkpoint."""
+    """Run the live job on a stream of arrivals (with text column ``place``); it resumes from its checkpoint.
+
+    Keyed state needs the RocksDB state store, which is set for the session.
+    """
+    spark = stream.sparkSession
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    first = {name: spark.read.parquet(f"{tables.path('first_state')}/{name}") for name in STATES}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, identities, tables, scorer, threshold)
+        store_batch(batch, batch_id, identities, tables, scorer, threshold)
 
-    writer = stream.writeStream.foreachBatch(handle).option(
+    writer = placed(stream, first).writeStream.foreachBatch(handle).option(
         "checkpointLocation", tables.path("checkpoint")
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": "3 seconds"}

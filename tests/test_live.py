@@ -1,10 +1,13 @@
-"""The live job: replayed batches, folding, late rows, repair by lookup."""
+"""The live job as a streaming query: equal to the batch job, late and repeated rows, restart, intermediates."""
+
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators.features import ORDER, transaction_features
+from riskloom.operators.features import OUTPUTS, transaction_features
 from riskloom.schemas import IDENTITIES
+from riskloom.session import materialise, temporary
 from riskloom.sources import fixtures as X
 from riskloom.streaming import live
 
@@ -25,68 +28,80 @@ def collect(df):
     return {r.transactionid: r for r in df.collect()}
 
 
-def test_batches_equal_the_batch_job(spark, rows, no_ids, tmp_path):
-    """Four micro-batches over two generations, one of them run twice."""
-    store = live.LiveTables(str(tmp_path / "live"), fold_every=2)
-    live.seed(rows.filter("transactionid < 100"), store)
-    bounds = [100, 300, 500, 700, 1000]
-    for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        part = rows.filter(F.col("transactionid").between(low, high - 1))
-        for _ in range(2 if n == 2 else 1):
-            live.process_batch(part, n, no_ids, store, X.rule_score)
-    got = collect(store.read(spark, "features").drop("batch_id", "is_late"))
-    full = collect(transaction_features(rows, no_ids).filter("transactionid >= 100"))
-    assert got == full
-    log = store.read(spark, "activity")
-    assert log.count() == 900 and log.select("transactionid").distinct().count() == 900
-    flagged = store.read(spark, "flagged")
-    assert flagged.count() == log.filter("was_flagged").count() > 0
+def arrive(store, identities, source, *parts, scorer=None):
+    """Each part is a file, and a micro-batch."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+    spark = parts[0].sparkSession
+    stream = live.arrivals_stream(spark, source, max_files=1)
+    live.start(stream, identities, store, scorer, available_now=True).awaitTermination()
 
 
-def test_late_rows_are_marked_and_repaired(spark, rows, no_ids, tmp_path):
-    """Also rows that are sent again: every id is computed, scored and logged once."""
-    store = live.LiveTables(str(tmp_path / "live"))
-    live.seed(rows.limit(0), store)
-    late = F.col("transactionid") == 40
-    first = rows.filter((F.col("transactionid") < 500) & ~late)
-    second = rows.filter((F.col("transactionid") >= 500) | late)
-    live.process_batch(first, 0, no_ids, store, X.rule_score)
-    again = second.union(second.filter("transactionid % 7 = 0")).union(rows.filter("transactionid < 90"))
-    live.process_batch(again, 1, no_ids, store, X.rule_score)
+def test_history_late_and_repeated_rows_and_a_restart(spark, rows, no_ids, tmp_path):
+    """A stored history, a micro-batch in time, then after a restart one with late rows and ids that came before or come twice."""
+    store, source = live.LiveTables(str(tmp_path / "live")), str(tmp_path / "in")
+    live.seed(rows.filter("transactionid < 100"), store)
+    late = F.col("transactionid") == 140
+    arrive(store, no_ids, source, rows.filter(F.col("transactionid").between(100, 499) & ~late), scorer=X.rule_score)
+    resent = rows.filter("transactionid % 7 = 0 or transactionid < 90").withColumn("card1", F.lit(1))
+    last = rows.filter((F.col("transactionid") >= 500) | late)
+    arrive(store, no_ids, source, last.coalesce(1).union(resent), scorer=X.rule_score)
     features = store.read(spark, "features")
-    got = collect(features)
-    assert features.count() == 1000 and [i for i, r in got.items() if r.is_late] == [40]
-    full = collect(transaction_features(rows, no_ids))
-    columns = list(next(iter(full.values())).asDict())
-    assert all([got[i][c] for c in columns] == list(full[i]) for i in [40, *range(500, 1000)])
+    assert features.count() == 900 and features.select("batch_id").distinct().count() == 2
+    got, full = collect(features), collect(transaction_features(rows, no_ids))
+    assert [i for i, r in got.items() if r.is_late] == [140]
+    # Rows of the first micro-batch that follow the late one could not know it.
+    known = collect(transaction_features(rows.filter((F.col("transactionid") < 500) & ~late), no_ids))
+    for i, row in got.items():
+        expected = full[i] if i >= 500 or i == 140 else known[i]
+        assert [row[c] for c in OUTPUTS] == list(expected)
     log = store.read(spark, "activity")
-    assert log.count() == 1000 and log.select("transactionid").distinct().count() == 1000
-
-
-def test_old_generations_go(spark, rows, no_ids, tmp_path):
-    """What a batch reads of the past does not grow with the number of batches."""
-    store = live.LiveTables(str(tmp_path / "live"), fold_every=2)
-    live.seed(rows.limit(0), store)
-    for n in range(7):
-        live.process_batch(rows.filter(F.col("transactionid") % 7 == n), n, no_ids, store, None)
-        folders = [p for p in (tmp_path / "live/past_uid").glob("gen=*/batch_id=*")]
-        assert len(folders) <= 2 * 3
-    assert {p.name for p in (tmp_path / "live/past_uid").iterdir()} == {"gen=2", "gen=3"}
+    assert log.count() == 900 and log.select("transactionid").distinct().count() == 900
+    assert store.read(spark, "flagged").count() == log.filter("was_flagged").count() > 0
+    assert store.read(spark, "transactions").count() == 1000
+    # What the past is known by lies in the engine's state, not in folders by micro-batch.
+    names = {p.name for p in (tmp_path / "live").iterdir()}
+    assert names == {"checkpoint", "first_state", "transactions", "features", "scores", "activity", "flagged"}
 
 
-def test_stream_resumes_from_its_checkpoint(spark, rows, no_ids, tmp_path):
+def test_a_batch_that_runs_again_changes_nothing(spark, rows, no_ids, tmp_path):
     store = live.LiveTables(str(tmp_path / "live"))
     live.seed(rows.limit(0), store)
-    source = str(tmp_path / "in")
-    for low in (0, 400):
-        rows.filter(F.col("transactionid").between(low, low + 399)).coalesce(1).write.mode(
-            "append"
-        ).parquet(source)
-        stream = live.arrivals_stream(spark, source, max_files=1)
-        live.start(stream, no_ids, store, available_now=True).awaitTermination()
-    got = store.read(spark, "features")
-    assert got.count() == 800 and got.select("batch_id").distinct().count() == 2
-    expected = transaction_features(rows.filter("transactionid < 800"), no_ids)
-    assert collect(got.drop("batch_id", "is_late")) == collect(expected)
-    assert got.filter("is_late").count() == 0
-    assert got.orderBy(*ORDER).first().transactionid == 0
+    kept = []
+    handler = live.store_batch
+
+    def twice(parts, *rest):
+        handler(parts, *rest)
+        handler(parts, *rest)
+        kept.append(1)
+
+    live.store_batch = twice
+    try:
+        arrive(store, no_ids, str(tmp_path / "in"), rows, scorer=X.rule_score)
+    finally:
+        live.store_batch = handler
+    assert kept == [1]
+    got = collect(store.read(spark, "features").drop("batch_id", "is_late"))
+    assert got == collect(transaction_features(rows, no_ids)) and store.read(spark, "activity").count() == 1000
+
+
+def test_intermediates_of_other_threads_stay(spark):
+    """A thread inside ``temporary`` deletes what it has made itself, and nothing that others make meanwhile."""
+    begun, made, result = threading.Event(), threading.Event(), {}
+
+    def handler():
+        with temporary(spark):
+            begun.set()
+            made.wait(60)
+            result["own"] = materialise(spark.range(3), "thread").inputFiles()
+        result["done"] = True
+
+    thread = threading.Thread(target=handler)
+    thread.start()
+    begun.wait(60)
+    mine = materialise(spark.range(5), "main")
+    made.set()
+    thread.join(60)
+    assert result["done"] and mine.count() == 5
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(*result["own"]).count()
