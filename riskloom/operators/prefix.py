@@ -5,7 +5,7 @@ one" is a window from the start of the key up to the row before. A plain window
 sends a whole key to one task. Here the rows of a hot key are cut into slices of
 consecutive rows first:
 
-1. a small sample gives split points of the order and the list of hot keys;
+1. a small sample gives split points of the order and a table of the hot keys;
 2. rows of hot keys get the number of their slice, all others slice -1;
 3. the window runs inside (key, slice);
 4. one partly pre-aggregated row per (hot key, slice) gives the running total of
@@ -20,8 +20,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE = "__slice"
@@ -74,7 +76,7 @@ def draw_sample(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _quantiles(column: Column, slices: int) -> Column:
-    return F.percentile_approx(column, [i / slices for i in range(1, slices)], 10 * slices)
+    return F.percentile_approx(column, F.lit(np.arange(1, slices) / slices), 10 * slices)
 
 
 def _rising(quantiles: list | None) -> tuple[float, ...]:
@@ -97,8 +99,8 @@ def profile_order(
 ) -> OrderProfile:
     """Look at a sample of ``df``: where to cut its order, which keys are hot.
 
-    A key is hot when it holds more rows than a slice should. By counting there are
-    at most as many such keys as slices, so what comes to the driver is one number
+    A key is hot when it holds more rows than a slice should. There are fewer such keys
+    than slices, so what comes to the driver is one number and one value
     per ROWS_PER_SLICE rows. Estimates are good enough: they move cut points, not results.
     """
     wanted = [time] + ([tie] if tie else []) + list(keys)
@@ -108,23 +110,23 @@ def profile_order(
     if not rows:
         return OrderProfile()
     slices = slice_count(rows)
-    sampled = min(rows, SAMPLED_PER_SLICE * slices)
-    found = (
-        draw_sample(narrow, rows)
-        .agg(
-            _quantiles(_position(time, tie, low or 0.0, high or 0.0), slices).alias("splits"),
-            *[
-                F.expr(f"approx_top_k(CAST({k} AS STRING), {slices}, {10 * slices})").alias(f"hot_{k}")
-                for k in keys
-            ],
-        )
-        .first()
-    )
-    enough = sampled / slices
-    hot = {
-        k: tuple(e["item"] for e in found[f"hot_{k}"] or [] if e["count"] > enough) for k in keys
-    }
-    return OrderProfile(_rising(found["splits"]), low or 0.0, high or 0.0, hot)
+    sample = draw_sample(narrow, rows)
+    at = _position(time, tie, low or 0.0, high or 0.0)
+    splits = _rising(sample.agg(_quantiles(at, slices)).first()[0])
+    return OrderProfile(splits, low or 0.0, high or 0.0, hot_values(sample, keys, min(rows, SAMPLED_PER_SLICE * slices) / slices))
+
+
+def hot_values(sample: DataFrame, keys: tuple[str, ...], enough: float) -> dict[str, tuple]:
+    """The values of each key column, as text, with more than ``enough`` rows of the sample: counted, not sketched.
+
+    There are fewer of them than slices, however many values the sample has.
+    """
+    if not keys:
+        return {}
+    named = [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]
+    counts = sample.select(F.explode(F.array(*named)).alias("v")).groupBy("v.key", "v.value").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter(F.col("n") > enough).select("key", "value").collect()
+    return {k: tuple(sorted((r.value for r in found if r.key == k), key=lambda v: (v is not None, v or ""))) for k in keys}
 
 
 def bucketize(df: DataFrame, source: str, splits: tuple, target: str) -> DataFrame:
@@ -150,14 +152,15 @@ def assign_slices(
     out = bucketize(df.withColumn("__at", at), "__at", profile.splits, SLICE).drop("__at")
     if key is None:
         return out
-    values = profile.hot[key]
-    text = [v for v in values if v is not None]
-    is_hot = F.lit(False)
-    if text:
-        is_hot = F.coalesce(F.col(key).cast("string").isin(text), F.lit(False))
-    if None in values:
-        is_hot = is_hot | F.col(key).isNull()
-    return out.withColumn(SLICE, F.when(is_hot, F.col(SLICE)).otherwise(-1))
+    hot = hot_table(df.sparkSession, profile.hot[key])
+    out = out.join(F.broadcast(hot), F.col(key).cast("string").eqNullSafe(F.col("__hot_value")), "left")
+    return out.withColumn(SLICE, F.when(F.col("__is_hot"), F.col(SLICE)).otherwise(-1)).drop("__hot_value", "__is_hot")
+
+
+def hot_table(spark: SparkSession, values: tuple) -> DataFrame:
+    """Hot values as a table: one row per ROWS_PER_SLICE rows of the data at most, so it may be sent to all tasks."""
+    rows = pa.table({"__hot_value": pa.array(values, pa.string()), "__is_hot": pa.array([True] * len(values), pa.bool_())})
+    return spark.createDataFrame(rows)
 
 
 def with_key(df: DataFrame, key: str) -> DataFrame:

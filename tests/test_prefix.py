@@ -107,3 +107,16 @@ def test_null_order_values_come_first_once_each(spark):
     got = {r.id: r.pos for r in P.time_rank(df, "t", "id", "pos").collect()}
     ordered = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
     assert got == {r[0]: i for i, r in enumerate(ordered)}
+
+
+def test_more_slices_than_a_sketch_can_hold(spark, monkeypatch):
+    """A table cut as one of 400 billion rows would be: 200,001 slices, and as many hot keys as fit."""
+    monkeypatch.setattr(P, "ROWS_PER_SLICE", 1)
+    n = 200_001
+    df = spark.range(n).selectExpr("id", "id % 60000 AS k", "id DIV 7 AS t", "1L AS v")
+    assert P.slice_count(n) == n
+    profile = P.profile_order(df, "t", "id", ("k",))
+    assert len(profile.splits) > 180_000 and len(profile.hot["k"]) == 60_000
+    got = P.prefix_aggregate(df, ["t", "id"], profile, key="k", count="n", sums={"s": "v"})
+    wrong = got.filter("n <> id DIV 60000 OR coalesce(s, 0) <> n")
+    assert got.count() == n and wrong.isEmpty()
