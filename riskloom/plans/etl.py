@@ -15,6 +15,7 @@ from riskloom.sources.tables import (
     load_if_absent,
     read_target,
     read_text,
+    runs,
     sample_identities,
     sample_transactions,
 )
@@ -68,11 +69,11 @@ def run_etl(
 
 
 def checked_file(
-    spark: SparkSession, path: str, table: str, schema: T.StructType
+    spark: SparkSession, path: str, table: str, schema: T.StructType, parents: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Valid rows of a CSV file or folder with their ingest order, and rejects as text with reasons."""
     raw = materialise(read_text(spark, path, schema, INGEST_ORDER), f"raw-{table}")
-    checked = materialise(check_rows(raw, table, schema), f"checked-{table}")
+    checked = materialise(check_rows(raw, table, schema, parents=parents), f"checked-{table}")
     order = T.StructType([*schema.fields, raw.schema[INGEST_ORDER]])
     return valid_rows(checked, order), rejected_rows(checked)
 
@@ -83,21 +84,29 @@ def etl_files(
     identities_path: str,
     target: str,
     sample_rows: int | None = None,
-) -> None:
-    """From CSV files to the tables ``transactions`` and ``identities`` below ``target``.
+    run: int | None = None,
+) -> int:
+    """From CSV files to the tables ``transactions`` and ``identities`` below ``target``; returns the run's number.
 
-    Rows that break a table rule go to ``rejects_<table>``, with their reasons and place.
+    Rows that break a table rule go to ``rejects_<table>``, by run, with their reasons and place; a run that is
+    repeated under its number replaces its own rejects only. An identity whose transaction is neither in the
+    target nor among the valid rows is rejected too, and can be loaded by a later run that has its transaction.
     Ids that the tables have are left alone, so a second run adds nothing to them.
     """
+    rejects = {t: f"{target}/rejects_{t}" for t in ("transactions", "identities")}
+    if run is None:
+        run = 1 + max([-1, *(n for path in rejects.values() for n in runs(spark, path))])
     with temporary(spark):
         transactions, bad_t = checked_file(spark, transactions_path, "transactions", TRANSACTIONS)
-        identities, bad_i = checked_file(spark, identities_path, "identities", IDENTITIES)
         have_t = read_target(spark, f"{target}/transactions", TRANSACTIONS)
+        parents = transactions.select("transactionid").union(have_t.select("transactionid")).distinct()
+        identities, bad_i = checked_file(spark, identities_path, "identities", IDENTITIES, parents)
         have_i = read_target(spark, f"{target}/identities", IDENTITIES)
         new_t, new_i = run_etl(transactions, identities, have_t, have_i, sample_rows)
         # Settled before anything is appended to what it was compared with.
         new_t, new_i = materialise(new_t, "new-transactions"), materialise(new_i, "new-identities")
+        for table, rows in (("transactions", bad_t), ("identities", bad_i)):
+            rows.write.mode("overwrite").parquet(f"{rejects[table]}/run={run}")
         append(new_t, f"{target}/transactions")
         append(new_i, f"{target}/identities")
-        for name, rows in (("transactions", bad_t), ("identities", bad_i)):
-            rows.write.mode("overwrite").parquet(f"{target}/rejects_{name}")
+    return run

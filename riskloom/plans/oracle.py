@@ -318,6 +318,13 @@ _UNKNOWN = ", ".join(
     if c not in ARRIVAL.names
 )
 
+def _rolling(source: str, key: str, days: int) -> str:
+    return f"""SELECT transactionid, COUNT(*) OVER w AS rolling_n,
+        CAST(SUM(transactionamt) OVER w AS DECIMAL(20,2)) AS rolling_spend
+      FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY transactiondt
+        RANGE BETWEEN {days * 86400} PRECEDING AND CURRENT ROW)"""
+
+
 ORACLE = {
     "scan_transactions": f"WITH {TX} SELECT * FROM tx",
     "scan_identities": f"WITH {RAW_ID} SELECT * FROM raw_idn",
@@ -342,6 +349,22 @@ ORACLE = {
         CASE WHEN t.transactionid % 100 <> 3 THEN 'loaded' ELSE 'transactionamt_bad_value' END AS outcome,
         CASE WHEN t.transactionid % 100 <> 3 THEN i.devicetype END AS devicetype
       FROM tx t LEFT JOIN raw_idn i USING (transactionid)""",
+    "load_indexed": f"""WITH {TX} SELECT transactionid, transactiondt, transactionamt, card1,
+      CASE WHEN transactiondt < 1296000 THEN 'H' ELSE 'W' END AS productcd FROM tx""",
+    "cascade_stored": f"""WITH {DECIDED},
+      good AS (SELECT transactionid FROM tx WHERE isfraud = 0)
+      SELECT 'transactions' AS kept_in, transactionid FROM good
+      UNION ALL SELECT 'identities', transactionid FROM idn JOIN good USING (transactionid)
+      UNION ALL SELECT 'flagged', transactionid FROM flagged JOIN good USING (transactionid)
+      UNION ALL SELECT 'decisions', transactionid FROM decided JOIN good USING (transactionid)""",
+    "etl_rejects": f"""WITH {TX}, {RAW_ID}
+      SELECT 'transactions' AS rejected_from, run, transactionid, 'transactionamt_bad_value' AS reasons
+      FROM tx, range(1, 3) runs(run) WHERE transactionid % 100 = 3
+      UNION ALL SELECT 'identities', 0, i.transactionid, 'parent_missing'
+      FROM raw_idn i JOIN tx t USING (transactionid) WHERE t.transactiondt >= 1296000""",
+    "customer_ordered": f"""WITH {TX}, {_keyed('tx', 'keyed')}
+      SELECT row_number() OVER (ORDER BY uid, transactiondt, transactionid) - 1 AS position,
+        uid, transactiondt, transactionid FROM keyed""",
     "time_ordered": f"""WITH {TX} SELECT transactionid, transactiondt, transactionamt,
       transactiondt // 86400 AS day FROM tx""",
     "training_checks": f"""WITH {TX} SELECT CAST(200 AS INTEGER) AS trees,
@@ -385,6 +408,16 @@ ORACLE = {
     "card_prior_avg": f"""WITH {TX} {_card_average('tx')}
       ORDER BY card1, transactiondt, transactionid LIMIT 20""",
     "card_prior_avg_ties": f"WITH {ORD} {_card_average('ord')}",
+    "history_store": f"""WITH {TX}, {_keyed('tx', 'keyed')},
+      both_kinds AS (SELECT 'uid' AS kind, '=' || uid AS key, transactiondt // 2592000 AS slice,
+          transactionamt, transactiondt FROM keyed
+        UNION ALL SELECT 'p_emaildomain', COALESCE('=' || p_emaildomain, ''), transactiondt // 3600,
+          transactionamt, transactiondt FROM keyed)
+      SELECT kind, key, slice, count(*) AS n, CAST(SUM(transactionamt) * 100 AS BIGINT) AS cents,
+        max(transactiondt) AS last_dt FROM both_kinds GROUP BY kind, key, slice""",
+    "rolling_spend": f"""WITH {TX}, {_keyed('tx', 'keyed')} {_rolling('keyed', 'uid', 7)}""",
+    "rolling_spend_domains": f"WITH {TX} {_rolling('tx', 'p_emaildomain', 1)}",
+    "rolling_spend_ties": f"WITH {ORD} {_rolling('ord', 'card1', 90)}",
     "offset_from_calendar": """SELECT event_id,
       date_diff('second', TIMESTAMP '2019-01-01', ts) AS offset_s FROM events""",
     "next_keys": f"""WITH {TX} SELECT COALESCE(max(transactionid), 3000000) + 1 AS next_id,
@@ -492,10 +525,22 @@ ORACLE = {
         ELSE b.uid_avg_amt_before_this END, 6) AS uid_avg_amt_before_this, {_PAST_KNOWN}
       FROM late l JOIN feat_all a USING (transactionid)
       LEFT JOIN feat_early b USING (transactionid)""",
+    "stream_rolling_spend": f"""WITH {ARRIVED},
+      windows AS (SELECT uid, transactionamt, held, (transactiondt // 21600 + k) * 21600 AS window_end
+        FROM all_rows, range(1, 5) steps(k)),
+      marks AS (SELECT max(transactiondt) - 43200 AS at_end,
+        max(CASE WHEN arrives < 2 THEN transactiondt END) - 43200 AS before_last FROM all_rows),
+      judged AS (SELECT *, held AND window_end <= before_last AS late FROM windows, marks)
+      SELECT uid, window_end, count(CASE WHEN NOT late THEN 1 END) AS n,
+        CAST(SUM(CASE WHEN late THEN 0 ELSE transactionamt END) AS DECIMAL(20,2)) AS spend,
+        count(CASE WHEN late THEN 1 END) AS late_n
+      FROM judged WHERE window_end <= at_end GROUP BY uid, window_end""",
     "stream_once": f"WITH {TX} SELECT transactionid, 1::BIGINT AS times FROM tx",
     "stream_activity": f"""WITH {SCORED} SELECT transactionid, transactionamt,
       CAST(CAST(score AS DECIMAL(9,6)) AS DECIMAL(6,4)) AS fraud_probability,
       score >= 0.07::DOUBLE AS was_flagged FROM scored""",
     "stream_flagged": f"WITH {FLAGGED} SELECT * FROM flagged",
 }
-
+ORACLE |= {
+    f"{name}_unstored": ORACLE[name] for name in ("features_for_ids", "features_for_new")
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import offset_seconds
 from riskloom.operators import cases as C
-from riskloom.operators import drift, explain, flagging, metrics, model, quality, split
+from riskloom.operators import drift, explain, flagging, metrics, model, quality, rolling, split
 from riskloom.operators.features import (
     HISTORY_INPUTS,
     ORDER,
@@ -19,6 +19,7 @@ from riskloom.operators.features import (
     profile_transactions,
     transaction_features,
 )
+from riskloom.operators.history import History, arrival_features, stored_features
 from riskloom.operators.lookup import (
     features_for_ids,
     features_for_new,
@@ -38,12 +39,17 @@ from riskloom.schemas import (
 from riskloom.session import materialise, workspace
 from riskloom.sources import fixtures as X
 from riskloom.sources import tables
+from riskloom.sources.keyed import KeyedTable
+from riskloom.sources.versioned import Table, Versions
 from riskloom.streaming import live
+from riskloom.streaming import rolling as live_rolling
 
 TREES = 200
-HALF_MONTH = 15 * 86400
+DAY = 86400
+WEEK = 7 * DAY
+HALF_MONTH = 15 * DAY
 
-_written: dict[tuple, DataFrame] = {}
+_written: dict[tuple, DataFrame | History] = {}
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +116,20 @@ def load_if_absent(spark, sf_dir):
     )
 
 
+def load_indexed(spark, sf_dir):
+    """The same load into a stored table whose key index says which groups to read; then all of it once more."""
+    rows = X.transactions(spark, sf_dir).select("transactionid", "transactiondt", "transactionamt", "card1")
+    table = KeyedTable(spark, workspace(spark, "keyed"))
+    sent = rows.withColumn("ingest_order", F.col("transactionid") * 2)
+    resent = sent.withColumns(
+        {"ingest_order": F.col("ingest_order") + 1, "transactionamt": (F.col("transactionamt") + 1).cast("decimal(10,2)")}
+    )
+    table.load(sent.filter(F.col("transactiondt") < HALF_MONTH), 0, defaults={"productcd": "H"})
+    for run in (1, 2):
+        table.load(resent.unionByName(sent), run, defaults={"productcd": "W"})
+    return table.read()
+
+
 def etl_merged(spark, sf_dir):
     return etl.merge(X.transactions(spark, sf_dir), X.raw_identities(spark, sf_dir)).select(
         *TRANSACTION_COLUMNS, *IDENTITY_COLUMNS[1:]
@@ -137,8 +157,8 @@ def etl_load(spark, sf_dir):
     )
 
 
-def etl_files(spark, sf_dir):
-    """CSV folders loaded twice, after a first load of the first half month; what the target then holds."""
+def _etl_target(spark, sf_dir) -> str:
+    """CSV folders loaded twice, after a first load of the first half month; identities come whole each time."""
     source, target = workspace(spark, "etl-files"), workspace(spark, "etl-target")
     rows, devices = X.transactions(spark, sf_dir), X.raw_identities(spark, sf_dir)
     bad = rows.filter("transactionid % 100 = 3").withColumn("transactionamt", F.lit("123456789012.00"))
@@ -152,11 +172,17 @@ def etl_files(spark, sf_dir):
     csv("devices", devices)
     for name in ("first", "all", "all"):
         etl.etl_files(spark, f"{source}/{name}", f"{source}/devices", target)
+    return target
+
+
+def etl_files(spark, sf_dir):
+    """What the target holds after all runs, and the rejected transactions of the last one."""
+    target = _etl_target(spark, sf_dir)
     loaded = tables.read_target(spark, f"{target}/transactions", TRANSACTIONS).select(
         "transactionid", "transactiondt", "transactionamt", F.lit("loaded").alias("outcome")
     )
     identities = tables.read_target(spark, f"{target}/identities", IDENTITIES)
-    rejected = spark.read.parquet(f"{target}/rejects_transactions").select(
+    rejected = tables.latest_refresh(spark, f"{target}/rejects_transactions").select(
         F.col("transactionid").cast("long"),
         F.col("transactiondt").cast("long"),
         F.lit(None).cast("decimal(10,2)").alias("transactionamt"),
@@ -167,6 +193,21 @@ def etl_files(spark, sf_dir):
     )
 
 
+def etl_rejects(spark, sf_dir):
+    """Rejects of each run: bad amounts, and identities whose transactions come with a later run."""
+    target = _etl_target(spark, sf_dir)
+    parts = [
+        spark.read.parquet(f"{target}/rejects_{name}").select(
+            F.lit(name).alias("rejected_from"),
+            F.col("run").cast("long"),
+            F.col("transactionid").cast("long"),
+            F.array_join("reasons", ",").alias("reasons"),
+        )
+        for name in ("transactions", "identities")
+    ]
+    return parts[0].union(parts[1])
+
+
 def time_ordered(spark, sf_dir):
     """Written in time order by day, and read back."""
     path = workspace(spark, "time-ordered")
@@ -174,6 +215,14 @@ def time_ordered(spark, sf_dir):
     return tables.read_table(spark, path).select("transactionid", "transactiondt", "transactionamt", F.col("day").cast("long"))
 
 
+def customer_ordered(spark, sf_dir):
+    """Features written by (customer, time), read back with the place of each row in the files."""
+    path = workspace(spark, "customer-ordered")
+    keyed = prepare(X.transactions(spark, sf_dir)).select("transactionid", "uid", "transactiondt")
+    tables.write_in_order(keyed, path, ["uid", *ORDER])
+    return tables.with_file_position(spark, path, "position").select("position", "uid", "transactiondt", "transactionid")
+
+
 def prune_columns(spark, sf_dir):
     return etl.prune_columns(X.raw_export(spark, sf_dir), TRANSACTION_COLUMNS)
 
@@ -211,6 +260,28 @@ def cascade_retain(spark, sf_dir):
     )
 
 
+def cascade_stored(spark, sf_dir):
+    """Fraudulent transactions deleted from stored tables, the same delete run twice: what is left by table."""
+    flagged, decided = flagged_table(spark, sf_dir), decision_table(spark, sf_dir)
+    frames = {
+        "transactions": X.transactions(spark, sf_dir).select("transactionid", "isfraud", "transactionamt"),
+        "identities": X.identities(spark, sf_dir).select("transactionid", "devicetype"),
+        "flagged": flagged.select("transactionid", "fraud_probability"),
+        "decisions": decided.select("transactionid", "analyst_name", "decision"),
+    }
+    stored = Versions(spark, workspace(spark, "versions"), [
+        Table("transactions", "transactionid"),
+        Table("identities", "transactionid", "transactions", "transactionid"),
+        Table("flagged", "transactionid", "transactions", "transactionid"),
+        Table("decisions", "transactionid", "flagged", "transactionid"),
+    ])
+    stored.load(frames)
+    for _ in range(2):
+        stored.delete("transactions", stored.read("transactions", 0).filter("isfraud = 1"), 1)
+    parts = [stored.read(name).select(F.lit(name).alias("kept_in"), "transactionid") for name in frames]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 # --- features -------------------------------------------------------------------
 
 
@@ -235,7 +306,34 @@ def latest_per_card(spark, sf_dir):
     )
 
 
+def stored_history(spark, sf_dir, until=None) -> History:
+    """The history, stored once per session and input, then read; all of it or up to a time."""
+    key = (spark.sparkContext.applicationId, sf_dir, "history", until)
+    if key not in _written:
+        history = History(spark, workspace(spark, "history"))
+        rows = X.transactions(spark, sf_dir)
+        history.append(rows if until is None else rows.filter(F.col("transactiondt") < until))
+        _written[key] = history
+    return _written[key]
+
+
+def history_store(spark, sf_dir):
+    """Totals per key and slice of a history stored in two parts."""
+    history = History(spark, workspace(spark, "history"))
+    rows = X.transactions(spark, sf_dir)
+    history.append(rows.filter(F.col("transactiondt") < HALF_MONTH))
+    history.append(rows.filter(F.col("transactiondt") >= HALF_MONTH))
+    totals = spark.read.parquet(f"{history.path}/totals").groupBy("kind", "key", "slice")
+    return totals.agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("last").alias("last_dt"))
+
+
 def lookup(spark, sf_dir):
+    """The latest transaction of each card, looked up in the stored history."""
+    return stored_features(stored_history(spark, sf_dir), X.identities(spark, sf_dir), latest_per_card(spark, sf_dir))
+
+
+def lookup_unstored(spark, sf_dir):
+    """The same ids, from a plain table of transactions."""
     return features_for_ids(
         X.transactions(spark, sf_dir),
         X.identities(spark, sf_dir),
@@ -243,15 +341,22 @@ def lookup(spark, sf_dir):
     )
 
 
+def _second_half(spark, sf_dir):
+    return X.transactions(spark, sf_dir).filter(F.col("transactiondt") >= HALF_MONTH).select(*ARRIVAL.names)
+
+
 def arrivals_lookup(spark, sf_dir):
-    """The second half month arrives with the six facts a caller knows."""
-    rows = X.transactions(spark, sf_dir)
-    is_old = F.col("transactiondt") < HALF_MONTH
-    return features_for_new(
-        rows.filter(is_old),
-        X.identities(spark, sf_dir),
-        rows.filter(~is_old).select(*ARRIVAL.names),
-    )
+    """The second half month arrives with the six facts a caller knows, some of it twice; the first row of an id counts."""
+    arrivals = _second_half(spark, sf_dir).withColumn("place", F.lit(1))
+    again = arrivals.filter("transactionid % 10 = 1").withColumns({"place": F.lit(2), "card1": F.lit(0)})
+    history = stored_history(spark, sf_dir, HALF_MONTH)
+    return arrival_features(history, X.identities(spark, sf_dir), again.unionByName(arrivals), "place")
+
+
+def arrivals_unstored(spark, sf_dir):
+    """The same arrivals over a plain table of transactions."""
+    old = X.transactions(spark, sf_dir).filter(F.col("transactiondt") < HALF_MONTH)
+    return features_for_new(old, X.identities(spark, sf_dir), _second_half(spark, sf_dir))
 
 
 def lookup_inputs(spark, sf_dir):
@@ -267,6 +372,32 @@ def card_prior_avg_ties(spark, sf_dir):
     return card_prior_average(X.order_transactions(spark, sf_dir), None)
 
 
+def _spend(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "transactionid", "rolling_n", (F.col("rolling_cents") / 100).cast("decimal(20,2)").alias("rolling_spend")
+    )
+
+
+def rolling_spend(spark, sf_dir):
+    """What each customer spent in the week up to each transaction."""
+    keyed = prepare(X.transactions(spark, sf_dir)).select("transactionid", "transactiondt", "uid", "amt_cents")
+    return _spend(rolling.rolling_spend(keyed, WEEK))
+
+
+def rolling_spend_domains(spark, sf_dir):
+    """The same by e-mail domain, one of which holds nearly half of all rows, and one of which is missing."""
+    keyed = prepare(X.transactions(spark, sf_dir)).select("transactionid", "transactiondt", "p_emaildomain", "amt_cents")
+    return _spend(rolling.rolling_spend(keyed, DAY, "p_emaildomain"))
+
+
+def rolling_spend_ties(spark, sf_dir):
+    """90 days by card in the tie-heavy order data."""
+    rows = X.order_transactions(spark, sf_dir).select(
+        "transactionid", "transactiondt", "card1", (F.col("transactionamt") * 100).cast("long").alias("amt_cents")
+    )
+    return _spend(rolling.rolling_spend(rows, 90 * DAY, "card1"))
+
+
 def offset_from_calendar(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select(
         "event_id", offset_seconds("ts", "2019-01-01").alias("offset_s")
@@ -562,22 +693,23 @@ def reasons_tree(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------
 
 
-def replay(spark, sf_dir, disorder=False, scorer=None) -> live.LiveTables:
-    """Feed the whole table to the live job in three parts of rising time.
-
-    With ``disorder``, some rows of the first part arrive with the last one, and others
-    are sent again with it, some twice.
-    """
+def arriving_parts(spark, sf_dir, disorder) -> list[DataFrame]:
+    """The whole table in three parts of rising time; with ``disorder``, some rows of the first part come with the last."""
     rows = X.transactions(spark, sf_dir).select(*live.ARRIVING.names)
     total = rows.count()
     early = split.before_row(ORDER, split.row_at(rows, ORDER, total // 3))
     middle = split.before_row(ORDER, split.row_at(rows, ORDER, 2 * total // 3))
     held = early & (F.col("transactionid") % 50 == 7) if disorder else F.lit(False)
-    parts = [rows.filter(early & ~held), rows.filter(middle & ~early), rows.filter(~middle | held)]
+    return [rows.filter(early & ~held), rows.filter(middle & ~early), rows.filter(~middle | held)]
+
+
+def replay(spark, sf_dir, disorder=False, scorer=None) -> live.LiveTables:
+    """Feed the whole table to the live job in parts. With ``disorder``, rows are also sent again with the last part, some twice."""
+    parts = arriving_parts(spark, sf_dir, disorder)
     if disorder:
-        parts[2] = parts[2].union(rows.filter("transactionid % 20 = 3"))
+        parts[2] = parts[2].union(X.transactions(spark, sf_dir).select(*live.ARRIVING.names).filter("transactionid % 20 = 3"))
 
-    store = live.LiveTables(workspace(spark, "live"), fold_every=2)
+    store = live.LiveTables(workspace(spark, "live"))
     live.seed(spark.createDataFrame([], live.ARRIVING), store)
     source = workspace(spark, "arrivals")
     for part in parts:
@@ -644,6 +776,19 @@ def stream_once(spark, sf_dir):
     return log.groupBy("transactionid").agg(F.count("*").alias("times"))
 
 
+def stream_rolling_spend(spark, sf_dir):
+    """Each customer's spend of a day, every six hours, from arrivals in disorder with a watermark of 12 hours."""
+    source, path = workspace(spark, "spend-arrivals"), workspace(spark, "spend")
+    for part in arriving_parts(spark, sf_dir, True):
+        part.write.mode("append").parquet(source)
+        stream = live.arrivals_stream(spark, source)
+        live_rolling.start_spend(stream, path, DAY, DAY // 4, DAY // 2).awaitTermination()
+    closed = spark.read.parquet(f"{path}/windows")
+    arrived = spark.read.schema(live.ARRIVING).parquet(source)
+    found = live_rolling.late_in_windows(closed, arrived, DAY, DAY // 4)
+    return found.select("uid", "window_end", "n", (F.col("cents") / 100).cast("decimal(20,2)").alias("spend"), "late_n")
+
+
 def stream_model(spark, sf_dir):
     """The live job with the trained trees as its scorer."""
     scorer = partial(model.score, model=trained_model(spark, sf_dir))
@@ -657,23 +802,33 @@ REGISTRY = {
     "scan_identities": scan_identities,
     "scan_sample": scan_sample,
     "load_if_absent": load_if_absent,
+    "load_indexed": load_indexed,
     "split_identities": split_identities,
     "etl_merged": etl_merged,
     "etl_load": etl_load,
     "etl_files": etl_files,
+    "etl_rejects": etl_rejects,
     "time_ordered": time_ordered,
+    "customer_ordered": customer_ordered,
     "prune_columns": prune_columns,
     "quality_rejects": quality_rejects,
     "quality_valid": quality_valid,
     "quality_decisions": quality_decisions,
     "cascade_retain": cascade_retain,
+    "cascade_stored": cascade_stored,
     "features": features,
     "email_prefix": email_prefix,
+    "history_store": history_store,
     "features_for_ids": lookup,
+    "features_for_ids_unstored": lookup_unstored,
     "features_for_new": arrivals_lookup,
+    "features_for_new_unstored": arrivals_unstored,
     "model_inputs": lookup_inputs,
     "card_prior_avg": card_prior_avg,
     "card_prior_avg_ties": card_prior_avg_ties,
+    "rolling_spend": rolling_spend,
+    "rolling_spend_domains": rolling_spend_domains,
+    "rolling_spend_ties": rolling_spend_ties,
     "offset_from_calendar": offset_from_calendar,
     "next_keys": next_keys,
     "time_rank": time_rank_all,
@@ -718,5 +873,6 @@ REGISTRY = {
     "stream_once": stream_once,
     "stream_activity": stream_activity,
     "stream_flagged": stream_flagged,
+    "stream_rolling_spend": stream_rolling_spend,
     "stream_model": stream_model,
 }

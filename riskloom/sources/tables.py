@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,16 +158,41 @@ def write_in_time_order(rows: DataFrame, path: str) -> None:
     )
 
 
+def write_in_order(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Write a table in one global order: files by name, and rows in each file.
+
+    Ranges are of all order columns, so a value of the first one that holds a third of the rows is cut by the
+    next ones, and the files are of like size. Nothing is sorted in one task.
+    """
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def with_file_position(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of a Parquet folder with their place in file order; only one row per file is added up."""
+    at = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = spark.read.parquet(path).select("*", *at)
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return rows.join(offsets, "_file").withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def publish_refresh(rows: DataFrame, path: str, run: int) -> None:
     """Write a full refresh as run number ``run``; older runs stay as archive. A run
     that is repeated replaces itself only."""
     rows.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
-def latest_refresh(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest run, found among folder names; no other run is read."""
+def runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the runs below a folder, found among folder names."""
+    if not exists(spark, path):
+        return []
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [status.getPath().getName() for status in files.listStatus(folder)]
-    newest = max(int(n.removeprefix("run=")) for n in names if n.startswith("run="))
-    return spark.read.parquet(f"{path}/run={newest}")
+    return [int(n.removeprefix("run=")) for n in names if n.startswith("run=")]
+
+
+def latest_refresh(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest run; no other run is read."""
+    return spark.read.parquet(f"{path}/run={max(runs(spark, path))}")

@@ -169,7 +169,7 @@ def test_files_to_tables(spark, tmp_path):
         "TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD\n"
         "1,0,10,5.00,W\n1,0,11,6.00,W\n2,0,12,123456789012.00,W\n3,7,13,1.00,W\n4,0,14,2.50,C\n"
     )
-    (tmp_path / "i.csv").write_text("TransactionID,DeviceType\n1,mobile\n4,\nx,desktop\n")
+    (tmp_path / "i.csv").write_text("TransactionID,DeviceType\n1,mobile\n4,\nx,desktop\n2,tablet\n")
     target = str(tmp_path / "target")
     for _ in range(2):
         etl.etl_files(spark, str(tmp_path / "t.csv"), str(tmp_path / "i.csv"), target)
@@ -180,3 +180,16 @@ def test_files_to_tables(spark, tmp_path):
             ("11", "key_duplicate"), ("12", "transactionamt_bad_value"), ("13", "isfraud_not_allowed"),
         }
         assert [r.devicetype for r in spark.read.parquet(f"{target}/identities").collect()] == ["mobile"]
+    rejects = spark.read.parquet(f"{target}/rejects_identities").collect()
+    assert sorted((r.run, r.devicetype, *r.reasons) for r in rejects) == [
+        (run, device, *reasons)
+        for run in (0, 1)
+        for device, reasons in (("desktop", ["transactionid_bad_value", "parent_missing"]), ("tablet", ["parent_missing"]))
+    ]
+    # The refused transaction comes right: its identity can be loaded now. A run under its old number replaces its own rejects.
+    (tmp_path / "t.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD\n2,0,12,7.00,W\n")
+    assert etl.etl_files(spark, str(tmp_path / "t.csv"), str(tmp_path / "i.csv"), target, run=1) == 1
+    assert {r.devicetype for r in spark.read.parquet(f"{target}/identities").collect()} == {"mobile", "tablet"}
+    rejects = spark.read.parquet(f"{target}/rejects_identities").collect()
+    assert sorted((r.run, r.devicetype) for r in rejects) == [(0, "desktop"), (0, "tablet"), (1, "desktop")]
+    assert {r.run for r in spark.read.parquet(f"{target}/rejects_transactions").collect()} == {0}
