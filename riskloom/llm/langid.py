@@ -1,11 +1,11 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Words and n-grams of the training documents are counted per language by Spark, in one
-pass over the texts: a batch counts its words, and n-grams over its distinct words, before rows move. The model keeps
-words and n-grams with at least LEAST_SHARE of their language's total, so it has at most
-1 / LEAST_SHARE entries per language and order whatever the corpus, and may be broadcast.
+pass over the texts: a batch counts its words, the longest n-grams over its distinct words, and shorter ones over those,
+before rows move. The model keeps words and n-grams with at least LEAST_SHARE of their language's total, so it has at most
+1 / LEAST_SHARE entries per language and order whatever the corpus, each a language and a number, and may be broadcast.
 A word in the model scores its log frequency in each language; an unseen one the mean
-over its n-grams of the longest order that has a known one.
+over its n-grams of the longest order that has a known one. The words that a batch brings for the first time are scored together.
 
 lang_pred is `und` with score 0 for a null text or one without a letter, and for every
 text if nothing could be learned. Ties go to the language that sorts first. The score is the
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,13 +36,45 @@ MOST_LANGUAGES = 200
 #: Pseudo-share of what a language has never shown, relative to LEAST_SHARE.
 UNSEEN = 0.1
 HELD_OUT_OF = 5
+#: Words remembered (fewer with over 16 languages), and words scored at once.
 CACHE = 200_000
+WORDS_AT_ONCE = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
     return doc_hash_mod(doc_id, HELD_OUT_OF) == 0
 
 
+def padded(word: str) -> str:
+    """No word has the marks of its ends, as neither is a letter."""
+    return f"^{word}$"
+
+
+def grams_of(words: dict[str, int]) -> dict[int, dict[str, int]]:
+    """Counts of the n-grams of each order; a padded word shorter than that is its own gram.
+
+    Only the longest are cut from words. One order less are the beginnings of longer ones, and the end of each word.
+    """
+    longest = ORDERS[0]
+    seen: dict[str, int] = defaultdict(int)
+    for word, times in words.items():
+        marked = padded(word)
+        for i in range(max(1, len(marked) - longest + 1)):
+            seen[marked[i : i + longest]] += times
+    out = {longest: seen}
+    for n in ORDERS[1:]:
+        shorter: dict[str, int] = defaultdict(int)
+        for gram, times in out[n + 1].items():
+            if len(gram) <= n:
+                shorter[gram] += times
+                continue
+            shorter[gram[:n]] += times
+            if gram[n] == "$":
+                shorter[gram[1:]] += times
+        out[n] = shorter
+    return out
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """ord, lang, gram, n: words (order 0) and n-grams over all rows with a text and a language.
 
@@ -55,13 +88,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
             out: dict[str, list] = {"ord": [], "lang": [], "gram": [], "n": []}
             for lang, words in counts.items():
-                grams = {n: Counter() for n in ORDERS}
-                for word, times in words.items():
-                    padded = f"^{word}$"
-                    for n, seen in grams.items():
-                        for i in range(max(1, len(padded) - n + 1)):
-                            seen[padded[i : i + n]] += times
-                for order, seen in ((0, words), *grams.items()):
+                for order, seen in {0: words, **grams_of(words)}.items():
                     out["ord"] += [order] * len(seen)
                     out["lang"] += [lang] * len(seen)
                     out["gram"] += seen.keys()
@@ -93,49 +120,86 @@ def train(docs: DataFrame, least_share: float = LEAST_SHARE) -> dict:
     languages = sorted(r[0] for r in found.limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = frequent(counts, least_share).toArrow().to_pydict()
+    rows = frequent(counts, least_share).orderBy("ord", "gram", "lang").toArrow().to_pydict()
     place = {lang: i for i, lang in enumerate(languages)}
     floor = math.log(least_share * UNSEEN)
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    for order, lang, gram, share in zip(rows["ord"], rows["lang"], rows["gram"], rows["share"]):
-        logs = tables[order].setdefault(gram, np.full(len(languages), floor, np.float32))
-        logs[place[lang]] = math.log(share)
-    return {"languages": languages, "tables": tables}
+    orders, grams = np.array(rows["ord"], np.int64), rows["gram"]
+    above = (np.log(np.array(rows["share"], np.float64)) - floor).astype(np.float32)
+    spoken = np.array([place[lang] for lang in rows["lang"]], np.int16)
+    tables = {}
+    for order in (0, *ORDERS):
+        at = np.flatnonzero(orders == order)
+        mine = [grams[i] for i in at]
+        first = [i for i, gram in enumerate(mine) if not i or mine[i - 1] != gram]
+        entries = {mine[i]: n for n, i in enumerate(first)}
+        begins = np.array([*first, len(mine)], np.int64)
+        tables[order] = (entries, begins, spoken[at], above[at])
+    return {"languages": languages, "floor": floor, "tables": tables}
 
 
 class Scorer:
     def __init__(self, model: dict) -> None:
-        self.languages, self.tables = model["languages"], model["tables"]
-        scorer = self
-
-        class Seen(dict):
-            def __missing__(self, word: str) -> np.ndarray:
-                if len(self) > CACHE:
-                    self.clear()
-                self[word] = logs = scorer.word(word)
-                return logs
-
-        self.seen = Seen()
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        padded = f"^{word}$"
-        for n in ORDERS:
-            table = self.tables[n]
-            found = [table[g] for i in range(max(1, len(padded) - n + 1)) if (g := padded[i : i + n]) in table]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages), np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.languages:
-            return "und", 0.0
-        total = np.sum(list(map(self.seen.__getitem__, words)), axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        self.languages, self.floor, self.tables = model["languages"], model["floor"], model["tables"]
+        self.most = max(1, min(CACHE, CACHE * 16 // max(1, len(self.languages))))
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Words met lately, and their log shares row by row.
+        self.rows: dict[str, int] = {}
+        self.logs = np.empty((0, len(self.languages)), np.float32)
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log share of every word in each language; 0 for words of which nothing is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        pending = np.arange(len(words))
+        for order in (0, *ORDERS):
+            entries, begins, spoken, above = self.tables[order]
+            if order:
+                cut = [padded(words[i]) for i in pending]
+                cut = [[w[j : j + order] for j in range(max(1, len(w) - order + 1))] for w in cut]
+            else:
+                cut = [[words[i]] for i in pending]
+            found = np.fromiter(map(entries.get, chain.from_iterable(cut), repeat(-1)), np.int64)
+            owner = np.repeat(np.arange(len(pending)), [len(c) for c in cut])[found >= 0]
+            found = found[found >= 0]
+            number = np.bincount(owner, minlength=len(pending))
+            sizes = begins[found + 1] - begins[found]
+            at = np.repeat(begins[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            cells = np.repeat(owner, sizes) * out.shape[1] + spoken[at]
+            sums = np.bincount(cells, above[at], minlength=len(pending) * out.shape[1]).reshape(len(pending), out.shape[1])
+            known = number > 0
+            out[pending[known]] = self.floor + sums[known] / number[known, None]
+            pending = pending[~known]
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, held, size = [], [], 0
+        for text in texts:
+            words = LETTERS.findall(text.lower()) if text and self.languages else []
+            held.append(words)
+            size += len(words)
+            if size >= WORDS_AT_ONCE:
+                out += self._predict(held)
+                held, size = [], 0
+        return out + self._predict(held)
+
+    def _predict(self, held: list[list[str]]) -> list[tuple[str, float]]:
+        if len(self.rows) > self.most:
+            self._forget()
+        rows, begun = self.rows, len(self.rows)
+        at = [rows.setdefault(w, len(rows)) for words in held for w in words]
+        if len(rows) > begun:
+            self.logs = np.concatenate([self.logs, self.score_words(list(rows)[begun:]).astype(np.float32)])
+        out, end = [], 0
+        for words in held:
+            begin, end = end, end + len(words)
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = self.logs[at[begin:end]].sum(axis=0, dtype=np.float64)
+            best = int(total.argmax())
+            out.append((self.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -145,7 +209,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         scorer = Scorer(sent.value)
 
         def work(batch: dict[str, list]) -> dict[str, list]:
-            found = [scorer.predict(t) for t in batch["text"]]
+            found = scorer.predict(batch["text"])
             return {"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
         return work
