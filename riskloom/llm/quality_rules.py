@@ -6,8 +6,9 @@ copies count once. Lines above a share of the host's documents (and a
 floor of a few, for small hosts) are removed; the share falls with the square root of the host's size,
 by one formula from a host of four documents to one of millions, and a document that loses most of its words is rejected.
 
-The counts are pre-aggregated; the join back to documents carries hashes, not texts,
-and AQE splits it where one line is in a third of all documents.
+The texts are read once for all rules: what is written down is the hash of the text, the base counts, and hash and
+words of each line. Everything else works on these, one row per host and distinct text; counts are pre-aggregated, and AQE splits the join
+with the frequent lines where one of them is in a third of all documents.
 
 A null text has no words and fails the base rule; a null source is a host of its own.
 Repeated rows are judged alike and count as one document. Extra columns are passed through by
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import materialise
+
 from .common import packed, unpacked, words_of
 
 WINDOW = 8
@@ -104,50 +107,58 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_lines", F.filter(lines, lambda line: line["words"] > 0))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """A row per document and distinct line: doc_id, host, line, and the document's key, the hash of its
-    text, which only copies share."""
-    hashes = F.transform("_lines", lambda line: line["line"])
-    keyed = docs.select("doc_id", "text", F.col("source").alias("host"), F.xxhash64("text").alias("key"))
-    listed = with_lines(keyed).select("doc_id", "host", "key", F.array_distinct(hashes).alias("_h"))
-    return listed.select("doc_id", "host", "key", F.explode("_h").alias("line"))
+def text_facts(docs: DataFrame) -> DataFrame:
+    """The one pass over the texts, written down: doc_id, host, key (the hash of the text), the base columns, _lines."""
+    named = docs.select("doc_id", F.col("source").alias("host"), "text")
+    facts = with_lines(with_base(named)).withColumn("key", F.xxhash64("text")).drop("text")
+    return materialise(facts, "text-facts")
 
 
 def frequent_lines(rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:
-    """host, line of the lines in more documents of their host than both limits."""
+    """host, line of the lines in more documents of their host than both limits; rows name host, line and the document's key."""
     once = rows.select("host", "line", "key").distinct()
+    return _over_limits(once, rows.select("host", "key").distinct(), most_documents, most_share)
+
+
+def _over_limits(once: DataFrame, documents: DataFrame, most_documents: int, most_share: float) -> DataFrame:
+    """The same from rows that name a host's line once per document, and documents that are named once."""
     counts = once.groupBy("host", "line").agg(F.count("*").alias("documents"))
     common = counts.filter(F.col("documents") > most_documents)
-    hosts = rows.select("host", "key").distinct().groupBy(F.col("host").alias("_h")).agg(F.count("*").alias("_all"))
+    hosts = documents.groupBy(F.col("host").alias("_h")).agg(F.count("*").alias("_all"))
     ranked = common.join(hosts, common["host"].eqNullSafe(hosts["_h"]))
     limit = most_share * F.sqrt(F.lit(SHARE_AT) * F.col("_all"))
     return ranked.filter(F.col("documents") > limit).select("host", "line")
 
 
-def with_frequent(docs: DataFrame, rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:
-    """Adds _frequent: the hashes of the document's lines that are frequent on its host; null for none."""
-    frequent = frequent_lines(rows, most_documents, most_share)
-    same = lambda a, b, name: F.col(f"{a}.{name}").eqNullSafe(F.col(f"{b}.{name}"))
-    hits = (
-        rows.alias("r")
-        .join(frequent.alias("f"), same("r", "f", "line") & same("r", "f", "host"))
-        .groupBy(F.col("r.doc_id").alias("_id"), F.col("r.host").alias("_host"))
-        .agg(F.collect_set("r.line").alias("_frequent"))
+def removals(facts: DataFrame, most_documents: int, most_share: float) -> DataFrame:
+    """host, key, n_removed (words in frequent lines), _frequent (their hashes) of the texts that hold some.
+
+    Copies on one host are one text: they are counted once and lose the same lines.
+    """
+    texts = facts.select("host", "key", "_lines").dropDuplicates(["host", "key"])
+    lines = F.array_distinct(F.transform("_lines", lambda line: line["line"]))
+    once = texts.select("host", F.explode(lines).alias("line"))
+    frequent = _over_limits(once, texts, most_documents, most_share)
+    rows = texts.select("host", "key", F.explode("_lines").alias("l")).select("host", "key", "l.line", "l.words")
+    same = F.col("r.line").eqNullSafe(F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host"))
+    hits = rows.alias("r").join(frequent.alias("f"), same)
+    return hits.groupBy(F.col("r.host").alias("_host"), F.col("r.key").alias("_key")).agg(
+        F.sum("r.words").alias("n_removed"), F.collect_set("r.line").alias("_frequent")
     )
-    on = docs["doc_id"].eqNullSafe(hits["_id"]) & docs["source"].eqNullSafe(hits["_host"])
-    return docs.join(hits, on, "left").drop("_id", "_host")
 
 
-def is_frequent(line: Column) -> Column:
-    return F.coalesce(F.array_contains("_frequent", line), F.lit(False))
+def with_verdict(facts: DataFrame, most_documents: int, most_share: float, most_removed: float) -> DataFrame:
+    """Adds n_removed, _frequent (null for none) and kept to the facts."""
+    found = removals(facts, most_documents, most_share)
+    on = facts["host"].eqNullSafe(found["_host"]) & (facts["key"] == found["_key"])
+    judged = facts.join(found, on, "left").drop("_host", "_key")
+    judged = judged.withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    depleted = F.col("n_removed") > most_removed * F.col("n_words")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def with_verdict(docs: DataFrame, most_removed: float) -> DataFrame:
-    """Adds n_removed (words in frequent lines) and kept, from _lines, _frequent and the base columns."""
-    add = lambda n, line: n + F.when(is_frequent(line["line"]), line["words"]).otherwise(0)
-    removed = F.when(F.col("_frequent").isNull(), 0).otherwise(F.aggregate("_lines", F.lit(0), add)).cast("long")
-    depleted = F.col("n_removed") > most_removed * F.col("n_words")
-    return docs.withColumn("n_removed", removed).withColumn("kept", ~F.col("base_failed") & ~depleted)
+def is_frequent(line: Column) -> Column:
+    return F.coalesce(F.array_contains("_frequent", line), F.lit(False))
 
 
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -160,9 +171,7 @@ def judge_documents(
     most_removed: float = MOST_REMOVED,
 ) -> DataFrame:
     """doc_id, the base columns, kept, n_removed for every row. No text moves."""
-    counted = with_lines(with_base(docs.select("doc_id", "text", "source"))).drop("text")
-    found = with_frequent(counted, line_rows(docs), most_documents, most_share)
-    return with_verdict(found, most_removed).select(
+    return with_verdict(text_facts(docs), most_documents, most_share, most_removed).select(
         F.col("doc_id").cast("long").alias("doc_id"), *BASE_COLUMNS, "kept", "n_removed"
     )
 
@@ -174,9 +183,11 @@ def filter_documents(
     most_removed: float = MOST_REMOVED,
 ) -> DataFrame:
     """The kept documents with all their columns, without their frequent lines; n_chars, if there, follows."""
-    narrow = docs.select(packed(docs), "doc_id", "text", "source")
-    counted = with_lines(with_base(narrow)).drop("text")
-    found = with_verdict(with_frequent(counted, line_rows(docs), most_documents, most_share), most_removed).filter("kept")
+    judged = with_verdict(text_facts(docs), most_documents, most_share, most_removed).filter("kept")
+    # The verdict depends on host and text alone, so of repeated ones one is enough.
+    verdicts = judged.select(F.col("host").alias("_host"), F.col("key").alias("_key"), "_frequent").dropDuplicates(["_host", "_key"])
+    rows = docs.select(packed(docs)).withColumns({"_source": F.col("_row.source"), "_hash": F.xxhash64("_row.text")})
+    found = rows.join(verdicts, F.col("_source").eqNullSafe(F.col("_host")) & (F.col("_hash") == F.col("_key")))
     old, untouched = F.col("_row.text"), F.col("_frequent").isNull()
     rest = F.filter(F.split(old, "\n", -1), lambda line: ~is_frequent(line_facts(line)["line"]))
     changed = {"text": F.when(untouched, old).otherwise(F.array_join(rest, "\n"))}
