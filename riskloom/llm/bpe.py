@@ -16,6 +16,7 @@ are not looked at. Whole texts are encoded.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 from array import array
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: States, token pairs and word results kept per worker; beyond it they are made anew.
-MAX_STATES = 200_000
-MAX_PAIRS = 400_000
+MAX_STATES = 300_000
+MAX_PAIRS = 600_000
 MAX_WORDS = 250_000
 #: Bytes after which certain tokens are emitted; well over the longest token.
 LOOKAHEAD = 1024
@@ -44,8 +45,8 @@ class State:
     __slots__ = ("after", "open")
 
     def __init__(self, open_: tuple) -> None:
-        #: For each open position, oldest first: the trie node of the bytes since, and the token
-        #: that ends there (-1: the start). The last one is the end itself.
+        #: For each open position, oldest first: the trie node of the bytes since, which has children, and the
+        #: token that ends there (-1: the start). The last one is the end itself.
         self.open = open_
         #: Byte to the next state and the token that ends there.
         self.after: dict[int, tuple[State, int]] = {}
@@ -65,8 +66,21 @@ class Transducer:
                 node = self.child.setdefault(node << 8 | byte, len(self.child) + 1)
                 self.depth[node] = n
             self.token_at[node] = i
+        #: Whether a node has children: from the others no longer token can come.
+        self.inner = bytearray(len(self.child) + 1)
+        for edge in self.child:
+            self.inner[edge >> 8] = 1
+        self.length = {i: len(token) for token, i in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        #: Two tokens, as one number, to the token that their bytes are.
+        self.many = max(ranks.values(), default=0) + 2
+        self.joined: dict[int, int] = {}
+        for token, i in ranks.items():
+            for n in range(1, len(token)):
+                left, right = ranks.get(token[:n]), ranks.get(token[n:])
+                if left is not None and right is not None:
+                    self.joined[left * self.many + right] = i
+        self.fitting: dict[int, bool] = {}
         self._restart()
 
     def _restart(self) -> None:
@@ -97,7 +111,7 @@ class Transducer:
 
         Takes the tokens apart again, the later merge first, and looks at the pair then at the border.
         """
-        pair = (left, right)
+        pair = left * self.many + right
         known = self.fitting.get(pair)
         if known is None:
             if len(self.fitting) > MAX_PAIRS:
@@ -110,12 +124,12 @@ class Transducer:
             return False
         if left < 0:
             return True
-        before = sys.maxsize
+        before, many, joined, halves = sys.maxsize, self.many, self.joined, self.halves
         while True:
-            across = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-            if across is not None and across < before:
+            if joined.get(left * many + right, sys.maxsize) < before:
                 return False
-            of_left, of_right = self.parts(left), self.parts(right)
+            of_left = halves[left] if left in halves else self.parts(left)
+            of_right = halves[right] if right in halves else self.parts(right)
             if of_left[0] >= 0 and (of_right[0] < 0 or left > right):
                 before, left = left, of_left[1]
             elif of_right[0] >= 0:  # merges of one rank go from left to right
@@ -126,14 +140,16 @@ class Transducer:
     def step(self, state: State, byte: int) -> tuple[State, int]:
         """The next state and the token that ends there; exactly one fits."""
         ended, open_ = -1, []
-        child, token_at = self.child, self.token_at
-        for node, last in state.open:
-            node = child.get(node << 8 | byte)
+        child, token_at, fitting, many, inner = self.child, self.token_at, self.fitting, self.many, self.inner
+        for position in state.open:
+            node = child.get(position[0] << 8 | byte)
             if node is not None:
-                open_.append((node, last))
-                if ended < 0:
-                    token = token_at.get(node, -1)
-                    if token >= 0 and self.fits(last, token):
+                last = position[1]
+                if inner[node]:
+                    open_.append((node, last))
+                if ended < 0 and (token := token_at.get(node)) is not None:
+                    fits = fitting.get(last * many + token)
+                    if fits or fits is None and self.fits(last, token):
                         ended = token
         if ended < 0:
             raise ValueError("the vocabulary can't encode this byte")
@@ -146,11 +162,11 @@ class Transducer:
 
     def trace(self, ends: list[int], at: int) -> list[int]:
         """Tokens up to a position, by the token that ends at each."""
-        out = []
+        out, length = [], self.length
         while at > 0:
             token = ends[at - 1]
             out.append(token)
-            at -= len(self.bytes_of[token])
+            at -= length[token]
         out.reverse()
         return out
 
@@ -183,7 +199,18 @@ class Transducer:
         yield self.trace(ends, len(ends))
 
     def encode(self, data: bytes) -> list[int]:
-        return [token for tokens in self.stream(data) for token in tokens]
+        if len(data) >= LOOKAHEAD:
+            return [token for tokens in self.stream(data) for token in tokens]
+        if len(self.states) > self.max_states:
+            self._restart()
+        state, ends = self.start, []
+        for byte in data:
+            following = state.after.get(byte)
+            if following is None:
+                following = state.after[byte] = self.step(state, byte)
+            state = following[0]
+            ends.append(following[1])
+        return self.trace(ends, len(ends))
 
 
 class Encoder:
@@ -194,12 +221,18 @@ class Encoder:
         transducer = Transducer(ranks)
 
         class Words(dict):
-            """What was encoded before."""
+            """What was encoded lately; when it is full, the words met since it was begun stay for another round."""
+
+            older: dict = {}
 
             def __missing__(self, piece: str) -> bytes:
-                if len(self) > MAX_WORDS:
+                if len(self) >= MAX_WORDS:
+                    self.older = dict(self)
                     self.clear()
-                self[piece] = found = array("I", transducer.encode(piece.encode())).tobytes()
+                found = self.older.get(piece)
+                if found is None:
+                    found = array("I", transducer.encode(piece.encode())).tobytes()
+                self[piece] = found
                 return found
 
         self.words = Words()
@@ -298,7 +331,11 @@ def decode_documents(tokens: DataFrame, vocab_path: str) -> DataFrame:
 
 @lru_cache(maxsize=2)
 def worker_tools(ranks_file: bytes, pattern: str | None) -> tuple[Encoder | None, Decoder]:
-    """One encoder and decoder for all tasks of a Python worker."""
+    """One encoder and decoder for all tasks of a Python worker.
+
+    States live long and are many: the default thresholds would have them all searched for cycles over and over.
+    """
+    gc.set_threshold(100_000, 50, 100)
     ranks = read_ranks(ranks_file)
     return Encoder(ranks, pattern) if pattern else None, Decoder(ranks)
 
