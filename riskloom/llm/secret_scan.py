@@ -69,9 +69,13 @@ def scan(text: str, ratio: Callable[[str], float], most: float) -> list[dict]:
         spans += [("assign", *m.span(), 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     spans += [("access", *m.span(), 1.0) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span(), 1.0) for m in HEX.finditer(text)]
-    taken = [(a, b) for _, a, b, _ in spans]
+    # Base spans that begin no later than the candidate, as both go through the text: does one reach over its end?
+    taken, at, reach = sorted((a, b) for _, a, b, _ in spans), 0, -1
     for m in CANDIDATE.finditer(text):
-        if not known(m[0]) and not any(a <= m.start() and m.end() <= b for a, b in taken):
+        while at < len(taken) and taken[at][0] <= m.start():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach < m.end() and not known(m[0]):
             per_token = ratio(m[0])
             strict = len(m[0]) < SHORT or not re.search("[0-9]", m[0])
             if per_token <= most - STRICTER * strict:
