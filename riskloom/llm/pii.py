@@ -7,7 +7,8 @@ have none, need a context word.
 
 Positions come from the gaps between matches: split() and regexp_extract_all() walk the
 text by the same matcher, so each start is a sum of lengths. Loops in the patterns are
-possessive, so very long runs neither backtrack nor deepen the stack.
+possessive, so very long runs neither backtrack nor deepen the stack. Sums are folded in blocks and texts are
+cut by pieces, so a text with many hits takes time in proportion to them.
 
 A null text counts as empty and has no spans. Repeated rows are treated alike; other
 columns are passed through by mask_documents and not looked at.
@@ -43,6 +44,9 @@ CONTEXT = {
     "local_phone": "phone|tel|call|fax|mobile|whatsapp",
 }
 CONTEXT_CHARS = 40
+#: Elements folded in one go, and code points of a piece of text.
+BLOCK = 64
+PIECE = 512
 #: Score of a confirmed span and of one whose form alone speaks for it; what context adds; what is needed.
 CONFIRMED, FORM_ONLY, CONTEXT_BONUS, NEEDED = 0.8, 0.4, 0.2, 0.6
 
@@ -99,31 +103,71 @@ def no_spans() -> Column:
     return F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, not wherever it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(values: Column, add, zero: int, levels: int = 2) -> Column:
+    """For each element of a filled array of int the fold of those before it.
+
+    A fold that appends copies all it has at each step, so arrays are cut into blocks of BLOCK: each is folded by itself,
+    and the blocks' totals in the same way, so the time is linear.
+    """
+
+    def plain(part: Column) -> Column:
+        begin = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(
+            add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+        )
+        return F.aggregate(part, begin, step, lambda acc: acc["out"])
+
+    if not levels:
+        return plain(values)
+
+    def by_blocks(all_: Column) -> Column:
+        count = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda n: F.slice(all_, n * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(zero), add))
+        return _once(
+            scanned(totals, add, zero, levels - 1),
+            lambda base: F.flatten(
+                F.transform(blocks, lambda block, n: F.transform(plain(block), lambda x: add(base[n], x)))
+            ),
+        )
+
+    return _once(_once(values, by_blocks), joined)
+
+
 def spans_of(text: Column, kind: str, pattern: str, confirm) -> Column:
     """Spans of one kind: array of (kind, start, end, score), code points, end exclusive."""
     near = f"(?i)(?:^|[^a-z])(?:{CONTEXT[kind]})(?:[^a-z]|$)"
 
     def collect(found: Column) -> Column:
-        gap, match = (lambda i: found["gaps"][i]), (lambda i: found["hits"][i])
+        gaps, hits = found["gaps"], found["hits"]
 
-        def add(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(gap(i))
-            end = start + F.length(match(i))
-            around = F.concat_ws(" ", F.right(gap(i), F.lit(CONTEXT_CHARS)), F.left(gap(i + 1), F.lit(CONTEXT_CHARS)))
-            base = F.lit(FORM_ONLY) if confirm is None else F.when(confirm(match(i)), CONFIRMED).otherwise(0.0)
+        def span(begin: Column, match: Column, i: Column) -> Column:
+            start = begin + F.length(gaps[i])
+            around = F.concat_ws(" ", F.right(gaps[i], F.lit(CONTEXT_CHARS)), F.left(gaps[i + 1], F.lit(CONTEXT_CHARS)))
+            base = F.lit(FORM_ONLY) if confirm is None else F.when(confirm(match), CONFIRMED).otherwise(0.0)
             score = base + F.when(around.rlike(near), CONTEXT_BONUS).otherwise(0.0)
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-            spans = F.when(score >= NEEDED, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
-
-        begin = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found["hits"]) - 1), begin, add, lambda acc: acc["spans"])
+            end = start + F.length(match)
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+
+        lengths = F.transform(hits, lambda match, i: F.length(gaps[i]) + F.length(match))
+        return _once(
+            scanned(lengths, lambda a, b: a + b, 0),
+            lambda begins: F.filter(
+                F.transform(hits, lambda match, i: span(begins[i], match, i)), lambda s: s["score"] >= NEEDED
+            ),
+        )
 
     found = F.struct(
         F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")
     )
-    # transform() over one element computes `found` once, not at every step of the sum.
-    return F.when(text.rlike(pattern), F.transform(F.array(found), collect)[0]).otherwise(no_spans())
+    return F.when(text.rlike(pattern), _once(found, collect)).otherwise(no_spans())
 
 
 def all_spans(text: Column) -> Column:
@@ -135,24 +179,42 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), all_spans(F.col("text")).alias("spans"))
 
 
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE code points, so that a place in it is found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (exclusive)."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    at = lambda n: F.coalesce(F.get(pieces, n), F.lit(""))
+    within = F.substring(at(first), start - first * PIECE + 1, end - start)
+    middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substring(at(first), start - first * PIECE + 1, F.lit(PIECE)), middle, F.left(at(last), end - last * PIECE))
+    return F.when(first == last, within).otherwise(across)
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by <kind>; of overlapping spans the first names the whole."""
     ordered = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        piece = F.concat(before, F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
-        )
+    def replaced(found: Column) -> Column:
+        in_order, pieces = found["spans"], found["pieces"]
+
+        def joined(reached: Column) -> Column:
+            """reached: how far the spans before each one go. Those that begin beyond start anew."""
+            before = lambda s, i: F.concat(cut(pieces, reached[i], s["start"]), F.lit("<"), s["kind"], F.lit(">"))
+            parts = F.transform(in_order, lambda s, i: F.when(s["start"] >= reached[i], before(s, i)).otherwise(""))
+            last = F.greatest(F.element_at(reached, -1), F.element_at(in_order, -1)["end"])
+            return F.concat(F.array_join(parts, ""), cut(pieces, last, F.length(text)))
+
+        ends = F.transform(in_order, lambda s: s["end"])
+        return _once(scanned(ends, lambda a, b: F.greatest(a, b), 0), joined)
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, add, end)).otherwise(text)
+    found = F.struct(ordered.alias("spans"), pieces_of(text).alias("pieces"))
+    return F.when(F.size(spans) > 0, _once(found, replaced)).otherwise(text)
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
