@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import materialise
 
-from .common import ASCII_UPPER, WORD, map_rows
+from .common import ASCII_UPPER, map_rows, packed, unpacked
 from .components import connected_components
 
 SEED = 42
@@ -41,7 +41,8 @@ MOST_BITS = 4
 #: Bits from the top of each segment.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Nodes of a bucket that one task may hold: 16 MB.
+#: Nodes of a bucket that one task may hold: 16 MB. If none of so many link, the walk compares each with each, some 5e11
+#: comparisons in one task.
 BUCKET = 1_000_000
 _LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_UPPER.lower().encode())
 _SPACE = bytes((32, *range(9, 14)))
@@ -121,13 +122,19 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long)."""
+    """doc_id, print (the fingerprint as a signed long), text_hash."""
 
     def make():
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return lambda batch: {"doc_id": batch["doc_id"], "print": [signed(fingerprint(t)) for t in batch["text"]]}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, print long")
+        def work(batch: dict[str, list]) -> dict[str, list]:
+            prints = [signed(fingerprint(t)) for t in batch["text"]]
+            return {"doc_id": batch["doc_id"], "print": prints, "text_hash": batch["text_hash"]}
+
+        return work
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return map_rows(rows, make, "doc_id long, print long, text_hash long")
 
 
 def _forest(prints: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
@@ -241,24 +248,34 @@ def fingerprint_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return links.union(large_bucket_links(large)).distinct()
 
 
+def _grouped(docs: DataFrame, bucket: int) -> DataFrame:
+    """doc_id, print, text_hash, component (a fingerprint of it), component_id for every row. Nodes are fingerprints, so
+    rows that share an id, or have none, carry links like any other."""
+    prints = materialise(with_fingerprints(docs), "fingerprints")
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("a", F.col("print"))
+    components = connected_components(fingerprint_links(nodes.select("print", "a"), bucket))
+    nodes = nodes.join(components, nodes["a"] == components["node"], "left")
+    nodes = nodes.select("print", "least", F.coalesce("component", "a").alias("component"))
+    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(nodes.join(names, "component").drop("least"), "print")
+
+
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, print, component_id for every row."""
-    prints = materialise(with_fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("a"))
-    components = connected_components(fingerprint_links(nodes.filter("a is not null"), bucket))
-    labelled = nodes.join(components, nodes["a"] == components["node"], "left").select(
-        "print", F.coalesce("component", "a").alias("component_id")
-    )
-    return prints.join(labelled, "print").select("doc_id", "print", "component_id")
+    return _grouped(docs, bucket).select("doc_id", "print", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: that with the smallest id, once if its
-    row is repeated. Documents without an id can't be named and stay."""
-    found = near_duplicates(docs)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group, with all its columns: that with the smallest id, once if its row is
+    repeated. An id may be the smallest of several groups; several of its texts in one group are told apart by their
+    hash, the least stays. Documents without an id can't be named and stay."""
+    first = _grouped(docs, BUCKET).filter("doc_id = component_id").groupBy("component").agg(
+        F.min("doc_id").alias("_keep"), F.min("text_hash").alias("_text")
+    )
+    hashed = docs.select(packed(docs), F.col("doc_id").alias("_named"), F.xxhash64("text").alias("_hash"))
+    on = (F.col("_named") == F.col("_keep")) & (F.col("_hash") == F.col("_text"))
+    kept = hashed.join(first.select("_keep", "_text"), on, "left_semi").dropDuplicates(["_named", "_hash"])
+    return kept.select(*unpacked(docs)).union(docs.filter(F.col("doc_id").isNull()))
 
 
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
