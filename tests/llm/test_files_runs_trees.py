@@ -18,7 +18,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskloom.llm import langid, merkle, periodic_runs, pii, quality_rules, secret_scan, token_files
+from riskloom.llm import decontaminate, langid, merkle, periodic_runs, pii, quality_rules, secret_scan, simhash
+from riskloom.llm import token_files
 from riskloom.llm.queries import QUERIES, TOKENIZER
 from tests.llm.test_base_operators import SF, empty, messy, plain_base, rows_of  # noqa: F401  fixtures
 from tests.llm.test_pipeline import plain_mask
@@ -459,3 +460,70 @@ def test_changed_leaf_is_found(spark):
 @pytest.mark.parametrize("name", ["op11_token_files", "op12_periodic_runs", "op13_merkle"])
 def test_queries_give_a_row_per_document(spark, name):
     assert QUERIES[name](spark, SF).select("doc_id").distinct().count() == 200
+
+
+# --- decontamination and near-dedup: shards, passes, shared and missing ids -------
+
+
+def test_items_of_many_lengths_in_shards_and_passes(spark, monkeypatch):
+    """Items from 12 to 700 words: whole ones are found wherever they stand, halves and strangers are not; any number of shards and passes."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    made = [[word() for _ in range(n)] for n in [12, 40, 64, 65, 130, 300, 700] * 20]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "item_id long, text string")
+    texts, want = [], set()
+    for i in range(0, len(made), 3):
+        around = [word() for _ in range(draw.randrange(900))]
+        at = draw.randrange(len(around) + 1)
+        texts.append(" ".join(around[:at] + made[i] + around[at:]))
+        want.add((len(texts) - 1, i))
+    texts += [" ".join(w[: len(w) // 2]) for w in made[1::3]] + [" ".join(word() for _ in range(800)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shard, passes in ((decontaminate.SHARD, 8), (15, 2)):
+        monkeypatch.setattr(decontaminate, "PASS", passes)
+        found = decontaminate.contaminated(docs, bench, shard=shard).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+        clean = {r.doc_id for r in decontaminate.without_contaminated(docs, bench, shard=shard).collect()}
+        assert clean == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_postings_are_the_weights(monkeypatch):
+    """Also when passages are cut into many parts."""
+    draw = np.random.default_rng(9)
+    items = [(i, " ".join(draw.choice([f"t{k}" for k in range(90)], 15))) for i in range(200)]
+    frequency = Counter(t for _, x in items for t in set(x.split()))
+    index = decontaminate.Index(items, frequency, len(items), 15.0, 0.4)
+    dense = index.weights
+    assert np.allclose(dense.sum(axis=0), 1.0)
+    passages = [np.unique(draw.integers(0, len(index.place), 50)) for _ in range(60)]
+    query = np.repeat(np.arange(60), [len(x) for x in passages]), np.concatenate(passages)
+    want = {(p, int(i)) for p, x in enumerate(passages) for i in np.flatnonzero(dense[x].sum(axis=0) >= 0.4)}
+    for at_once in (decontaminate.AT_ONCE, 100):
+        monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
+        assert {(p, i) for p, i, _ in index.scored(*query)} == want
+
+
+def test_links_through_rows_that_share_an_id_or_have_none(spark, monkeypatch):
+    """Components of fingerprints, named by ids afterwards; of each one document stays."""
+    far, near = (1 << 40) - 1, lambda n: (1 << n) - 1
+    prints = [
+        (1, near(0), 10), (None, near(4), 11), (3, near(8), 12),  # 3 hangs on 1 by a row without an id
+        (5, far, 13), (5, far ^ near(20) << 44, 14), (7, far ^ near(20) << 44 ^ 1, 15),  # one id in two groups
+        (5, far ^ 1, 16), (None, near(30) << 34, 17),
+    ]
+    signed = [(i, p - (1 << 64) if p >> 63 else p, h) for i, p, h in prints]
+    made = spark.createDataFrame(signed, "doc_id long, print long, text_hash long")
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs: made)
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(made).collect())
+    assert got == Counter([(1, 1), (None, 1), (3, 1), (5, 5), (5, 5), (7, 5), (5, 5), (None, None)])
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    body = lambda c: " ".join(f"{c}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80))
+    rows = [(5, body("x"), 1), (5, body("y"), 2), (5, body("y"), 3), (6, body("x"), 4), (None, body("z"), 5), (None, body("y"), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(5, body("x")), (5, body("y")), (None, body("z")), (None, body("y"))]
+    )
