@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators import ks
 from riskloom.operators.prefix import (
     SLICE,
     bucketize,
@@ -39,9 +41,23 @@ def _p_value() -> Column:
     return F.when(F.col("lam") < 0.2, 1.0).otherwise(bounded)
 
 
-def drift_report(split: DataFrame, features: list[str] = MONITORED) -> DataFrame:
+def _finite_p_value(exact_values: int) -> Column:
+    """For samples of the sizes at hand; the column has one row per feature."""
+
+    @F.pandas_udf("double")
+    def p_values(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([ks.p_value(*row, exact_values) for row in zip(d, n, m)], dtype="float64")
+
+    return p_values("d", "n_ref", "n_cur")
+
+
+def drift_report(
+    split: DataFrame, features: list[str] = MONITORED, finite: bool = False, exact_values: int = ks.EXACT_VALUES
+) -> DataFrame:
     """One row per feature with at least ten values on both sides.
 
+    p-values are those of the limit distribution, or with ``finite`` of the samples' sizes: exact up to ``exact_values``.
+
     ``split`` has a ``side`` of 'reference' or 'current'. Equal values merge
     first; the running counts then go slice by slice within each feature, with
     split points taken from that feature's own distribution.
@@ -92,7 +108,7 @@ def drift_report(split: DataFrame, features: list[str] = MONITORED) -> DataFrame
     n, m = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
     return (
         statistic.withColumn("lam", F.sqrt(n * m / (n + m)) * F.col("d"))
-        .withColumn("p", _p_value())
+        .withColumn("p", _finite_p_value(exact_values) if finite else _p_value())
         .select(
             "feature",
             F.round("d", 4).alias("ks_statistic"),

@@ -367,10 +367,22 @@ ORACLE = {
         uid, transactiondt, transactionid FROM keyed""",
     "time_ordered": f"""WITH {TX} SELECT transactionid, transactiondt, transactionamt,
       transactiondt // 86400 AS day FROM tx""",
-    "training_checks": f"""WITH {TX} SELECT CAST(200 AS INTEGER) AS trees,
-      CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS train_rows,
-      count(*) - CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS test_rows,
-      true AS metrics_in_range, true AS importances_add_up FROM tx""",
+    "training_checks": f"""WITH {TX}, {_split('tx', '0.8::DOUBLE', 'train', 'test')},
+      by_amount AS (SELECT transactionamt AS score, SUM(isfraud) AS pos, SUM(1 - isfraud) AS neg
+        FROM sided WHERE side = 'test' GROUP BY transactionamt),
+      below AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY score
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM by_amount),
+      sizes AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS n_train FROM tx)
+      SELECT CAST(200 AS INTEGER) AS trees, n_train AS train_rows, n - n_train AS test_rows,
+        true AS metrics_in_range, true AS importances_add_up,
+        (SELECT round(CAST(SUM(pos * (2 * lower + neg)) AS DOUBLE)
+          / (2.0::DOUBLE * SUM(pos) * SUM(neg)), 9) FROM below) AS amount_auc,
+        true AS ranks_like_amount FROM sizes""",
+    "tree_leaves": f"""WITH {TX}, leaves AS (
+      SELECT CAST(transactionamt >= 400 AS INTEGER) AS large, count(*) AS n,
+        round(1.0::DOUBLE / (1.0::DOUBLE + exp(-2.0::DOUBLE * (2.0::DOUBLE * avg(isfraud) - 1.0::DOUBLE))), 9) AS p
+      FROM tx GROUP BY 1)
+      SELECT large, p AS low, p AS high, n FROM leaves""",
     "score_checks": f"WITH {TX} SELECT transactionid, true AS is_probability, true AS adds_up FROM tx",
     "prune_columns": f"""SELECT event_id AS transactionid, {_DT} AS transactiondt,
       CAST(value AS FLOAT) AS dist1, CASE WHEN event_id % 3 = 0 THEN 'T' END AS m4,
@@ -503,6 +515,23 @@ ORACLE = {
       count(*) AS n_transactions, CAST(SUM(isfraud) AS BIGINT) AS n_fraud,
       CAST(SUM(isfraud) AS DOUBLE) / count(*) AS fraud_rate FROM tx GROUP BY 1""",
     "drift_report": f"WITH {_ks(1.0)} SELECT * FROM report",
+    "drift_report_sized": f"""WITH {_ks(1.0)}, sized AS (
+        SELECT feature, d, round_even(n * m / (n + m), 0) AS size FROM stat),
+      scaled AS (SELECT *, sqrt(size) * d AS z, sqrt(pi() / 2) AS root FROM sized),
+      terms AS (SELECT *,
+        [pow(k + 0.5::DOUBLE, 2) * pow(pi(), 2) for k in range(0, 40)] AS halves,
+        [pow(k, 2) * pow(pi(), 2) for k in range(1, 40)] AS wholes FROM scaled),
+      below AS (SELECT feature, d, z,
+        2 * root / z * list_sum([exp(-h / (2 * z * z)) for h in halves])
+        + 2 * root / (6 * pow(z, 4)) * list_sum([(h - z * z) * exp(-h / (2 * z * z)) for h in halves]) / sqrt(size)
+        + (2 * root / (72 * pow(z, 7)) * list_sum([((6 * pow(z, 6) + 2 * pow(z, 4))
+            + (2 * pow(z, 4) - 5 * z * z) * h + (1 - 2 * z * z) * h * h) * exp(-h / (2 * z * z)) for h in halves])
+          - 2 * root / (36 * pow(z, 3)) * list_sum([w * exp(-w / (2 * z * z)) for w in wholes])) / size AS share
+        FROM terms),
+      judged AS (SELECT feature, d, CASE WHEN z < 0.18 THEN 1.0::DOUBLE
+        ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - share)) END AS p FROM below)
+      SELECT feature, round(d, 4) AS ks_statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected,
+        mechanical FROM judged JOIN (SELECT feature, mechanical FROM report) USING (feature)""",
     "drift_any": f"""WITH {_ks(1.5)} SELECT bool_or(drift_detected) AS any_drift,
       count(CASE WHEN drift_detected THEN 1 END) AS n_drifted FROM report""",
     "reasons_linear": f"""WITH {REASONS} SELECT transactionid, rank, feature, value,

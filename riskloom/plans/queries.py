@@ -507,19 +507,39 @@ def training_run(spark, sf_dir):
 
 
 def training_checks(spark, sf_dir):
-    """What must hold of any training run on this input."""
+    """What must hold of any training run on this input.
+
+    The model ranks the test rows at least nearly as well as their amounts alone do, whose exact ROC AUC stands beside.
+    """
     row = training(spark, sf_dir)[1]
     importances = train_gbt(spark, sf_dir).agg(F.round(F.sum("importance"), 6).alias("total"))
+    test = split.split_by_time(feature_table(spark, sf_dir)).filter("side = 'test'")
+    baseline = metrics.roc_auc(test.withColumn("score", F.col("transactionamt").cast("double")))
     in_range = F.col("roc_auc").between(0.5, 1.0) & F.col("pr_auc").between(0.0, 1.0)
+    row = row.withColumn("baseline", F.lit(baseline.first()[0]))
     return row.crossJoin(importances).select(  # one row each
         "trees",
         "train_rows",
         "test_rows",
         (in_range & F.col("best_threshold").between(0.01, 0.99)).alias("metrics_in_range"),
         (F.col("total") == 1.0).alias("importances_add_up"),
+        F.round("baseline", 9).alias("amount_auc"),
+        (F.col("roc_auc") >= F.col("baseline") - 0.02).alias("ranks_like_amount"),
     )
 
 
+def tree_leaves(spark, sf_dir):
+    """One tree of one split between small and large amounts: the score of each leaf, and its rows."""
+    large = (F.col("transactionamt") >= 400).cast("double")
+    flat = {c: F.lit(0.0) for c in model.MODEL_FEATURES}
+    rows = feature_table(spark, sf_dir).withColumn("large", large)
+    fixed = rows.select("transactionid", model.LABEL, "large", *[v.alias(c) for c, v in flat.items()])
+    fixed = fixed.withColumn("transactionamt", F.col("large"))
+    fitted = model.train_model(fixed, trees=1, depth=1)
+    scored = model.score(fixed, fitted).groupBy(F.col("large").cast("int").alias("large"))
+    return scored.agg(F.round(F.min("score"), 9).alias("low"), F.round(F.max("score"), 9).alias("high"), F.count("*").alias("n"))
+
+
 def score_checks(spark, sf_dir):
     """For every row: the score is a probability, and the contributions add up to its log-odds."""
     scored = model.score(feature_table(spark, sf_dir), trained_model(spark, sf_dir))
@@ -647,6 +667,16 @@ def drift_report(spark, sf_dir):
     return drift.drift_report(halves)
 
 
+def drift_report_exact(spark, sf_dir):
+    """p-values for samples of finite size: exact up to 10,000 values, corrected for size beyond."""
+    return drift.drift_report(split.split_for_drift(feature_table(spark, sf_dir)), finite=True)
+
+
+def drift_report_sized(spark, sf_dir):
+    """p-values corrected for size at every size."""
+    return drift.drift_report(split.split_for_drift(feature_table(spark, sf_dir)), finite=True, exact_values=0)
+
+
 def drift_any(spark, sf_dir):
     """With current amounts raised by half, drift must show."""
     halves = split.split_for_drift(feature_table(spark, sf_dir))
@@ -844,6 +874,7 @@ REGISTRY = {
     "score_response": score_response,
     "training_run": training_run,
     "training_checks": training_checks,
+    "tree_leaves": tree_leaves,
     "score_checks": score_checks,
     "flag_cases": flag_cases,
     "pending_cases": pending_cases,
@@ -862,6 +893,8 @@ REGISTRY = {
     "decision_breakdown": decision_breakdown,
     "fraud_rate_trend": fraud_rate_trend,
     "drift_report": drift_report,
+    "drift_report_exact": drift_report_exact,
+    "drift_report_sized": drift_report_sized,
     "drift_any": drift_any,
     "reasons_linear": reasons_linear,
     "reasons_topk": reasons_topk,
