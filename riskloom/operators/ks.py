@@ -41,6 +41,8 @@ def size_corrected_p(d: float, size: int) -> float:
     z = math.sqrt(size) * d
     if z < 0.18:
         return 1.0
+    if z > 4:  # the series below would need more terms, and the tail is below 1e-13
+        return 2 * math.exp(-2 * z * z)
     half = (np.arange(_TERMS) + 0.5) ** 2 * math.pi**2
     whole = np.arange(1, _TERMS) ** 2 * math.pi**2
     at_half, at_whole = np.exp(-half / (2 * z * z)), np.exp(-whole / (2 * z * z))

@@ -529,7 +529,7 @@ ORACLE = {
           - 2 * root / (36 * pow(z, 3)) * list_sum([w * exp(-w / (2 * z * z)) for w in wholes])) / size AS share
         FROM terms),
       judged AS (SELECT feature, d, CASE WHEN z < 0.18 THEN 1.0::DOUBLE
-        ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - share)) END AS p FROM below)
+        WHEN z > 4 THEN 2.0::DOUBLE * exp(-2 * z * z) ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - share)) END AS p FROM below)
       SELECT feature, round(d, 4) AS ks_statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected,
         mechanical FROM judged JOIN (SELECT feature, mechanical FROM report) USING (feature)""",
     "drift_any": f"""WITH {_ks(1.5)} SELECT bool_or(drift_detected) AS any_drift,
