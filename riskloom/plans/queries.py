@@ -49,7 +49,7 @@ DAY = 86400
 WEEK = 7 * DAY
 HALF_MONTH = 15 * DAY
 
-_written: dict[tuple, DataFrame | History] = {}
+_written: dict[tuple, DataFrame | History | str] = {}
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,10 @@ def etl_load(spark, sf_dir):
 
 
 def _etl_target(spark, sf_dir) -> str:
-    """CSV folders loaded twice, after a first load of the first half month; identities come whole each time."""
+    """CSV folders loaded twice, after a first load of the first half month; identities come whole each time. Once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "etl")
+    if key in _written:
+        return _written[key]
     source, target = workspace(spark, "etl-files"), workspace(spark, "etl-target")
     rows, devices = X.transactions(spark, sf_dir), X.raw_identities(spark, sf_dir)
     bad = rows.filter("transactionid % 100 = 3").withColumn("transactionamt", F.lit("123456789012.00"))
@@ -172,6 +175,7 @@ def _etl_target(spark, sf_dir) -> str:
     csv("devices", devices)
     for name in ("first", "all", "all"):
         etl.etl_files(spark, f"{source}/{name}", f"{source}/devices", target)
+    _written[key] = target
     return target
 
 
