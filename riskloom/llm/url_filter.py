@@ -27,6 +27,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: Terms that a vocabulary table may have: some 10 MB in every task.
+MOST_TERMS = 100_000
 STRICT = ("casino", "gambling", "hentai", "porn", "porno", "sportsbook", "viagra", "warez", "xxx")
 SOFT = (
     "adult", "bet", "bonus", "cash", "cheap", "crack", "dating", "deals", "download", "escort",
@@ -38,6 +40,8 @@ SOFT = (
 @lru_cache(maxsize=4)
 def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
+    if not strict and not soft:
+        found.add_word("\0", ("none", ""))  # an automaton needs a word
     for kind, terms in (("strict", strict), ("soft", soft)):
         for term in terms:
             found.add_word(term, (kind, term))
@@ -55,7 +59,7 @@ _LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 def term_hits(text: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[set[str], set[str]]:
     """Distinct strict and soft terms that stand alone in the text, A-Z lower-cased."""
     text = text.translate(_LOWER)
-    hits: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    hits: dict[str, set[str]] = {"strict": set(), "soft": set(), "none": set()}
     for last, (kind, term) in _automaton(strict, soft).iter(text):
         first = last - len(term) + 1
         if (first == 0 or not _alnum(text[first - 1])) and (last + 1 == len(text) or not _alnum(text[last + 1])):
@@ -110,6 +114,22 @@ def judge_urls(
     )
 
 
+def judge_by_table(
+    pages: DataFrame, vocabulary: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, soft_needed: int = 2
+) -> DataFrame:
+    """judge_urls with the terms of a table, in any language: term (as it stands in lower case), kind (strict or soft).
+
+    At most MOST_TERMS distinct terms, over which it is an error: the automaton goes to every task. A term of both kinds is strict; rows
+    without a term or of another kind count nothing. Letters beside a term bound it as they stand, A-Z in lower case.
+    """
+    known = vocabulary.filter("term is not null and term <> '' and kind in ('strict', 'soft')")
+    found = known.groupBy(ascii_lower(F.col("term")).alias("term")).agg(F.max("kind").alias("kind")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    strict, soft = (tuple(sorted(r.term for r in found if r.kind == kind)) for kind in ("strict", "soft"))
+    return judge_urls(pages, rules, strict, soft, soft_needed)
+
+
 def oracle() -> str:
     """The same in DuckDB, terms by regular expression."""
     rule = "CASE " + " ".join(

@@ -18,8 +18,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskloom.llm import decontaminate, langid, merkle, periodic_runs, pii, quality_rules, secret_scan, simhash
-from riskloom.llm import token_files
+from riskloom.llm import decontaminate, langid, line_crf, merkle, periodic_runs, pii, quality_rules, secret_scan, simhash
+from riskloom.llm import token_files, url_filter
 from riskloom.llm.queries import QUERIES, TOKENIZER
 from tests.llm.test_base_operators import SF, empty, messy, plain_base, rows_of  # noqa: F401  fixtures
 from tests.llm.test_pipeline import plain_mask
@@ -527,3 +527,85 @@ def test_texts_that_share_an_id_are_kept_apart(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
         [(5, body("x")), (5, body("y")), (None, body("z")), (None, body("y"))]
     )
+
+
+# --- urls and line quality ---------------------------------------------------------
+
+
+def test_vocabulary_from_a_table(spark):
+    """Terms of several languages, of both kinds, without a kind; repeated rows and very long urls."""
+    terms = [("Glücksspiel", "strict"), ("wette", "soft"), ("apuesta", "soft"), ("wette", "strict"), ("pari", None), (None, "soft"), ("bonus", "soft")]
+    vocabulary = spark.createDataFrame(terms, "term string, kind string")
+    long = "http://a.org/" + "x" * 200_000
+    urls = {
+        1: "http://a.org/glücksspiel/1", 2: "http://a.org/wette", 3: "http://a.org/apuesta", 4: "http://a.org/apuesta-bonus",
+        5: "http://a.org/apuestas/bonus", 6: "http://a.org/pari/casino", 7: long + "/wette", 8: long + "wette", 9: None,
+        10: "http://x.net/fr/1", 11: "no url wette",
+    }
+    rows = [*urls.items(), (2, urls[2]), (7, urls[7])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = Counter((r.page_id, r.verdict) for r in url_filter.judge_by_table(pages, vocabulary).collect())
+    blocked = {1, 2, 4, 7, 10}
+    assert got == Counter((i, "block" if i in blocked else "allow") for i, _ in rows)
+    none = url_filter.judge_by_table(pages, vocabulary.filter("false")).collect()
+    assert {r.page_id for r in none if r.verdict == "block"} == {10}
+
+
+def plain_line_features(line):
+    groups = {c: n for n, group in enumerate(line_crf.GROUPS, 1) for c in group}
+    count = [0] * line_crf.N_CLASSES
+    for c in line:
+        if c in " \t\n\v\f\r":
+            kind = line_crf.SPACE
+        elif c in groups:
+            kind = groups[c]
+        elif ord(c) >= 0x80 and ord(c) < 0xFFFF and c.isalpha():
+            kind = line_crf.OTHER_UPPER if c.isupper() else line_crf.OTHER_LOWER
+        else:
+            kind = line_crf.SPACE if ord(c) >= 0x80 and c.isspace() else line_crf.REST
+        count[kind] += 1
+    words, n = line.split(), max(len(line), 1)
+    share = max(len(words), 1)
+    ends = line.rstrip()[-1:] in (".", "?", "!", ":", '"')
+    return [x / n for x in count] + [math.log1p(len(words)), len(set(words)) / share, len(line) / share / 10, float(ends), float(not words)]
+
+
+def plain_quality(model, text):
+    """The chain one line at a time, with sums of products instead of logarithms of arrays."""
+    lines = (text or "").split("\n")
+    own = [(np.array(plain_line_features(x)) - model["mean"]) / model["scale"] for x in lines]
+    nothing = np.zeros(line_crf.N_FEATURES)
+    unary = []
+    for i, x in enumerate(own):
+        before, after = own[i - 1] if i else nothing, own[i + 1] if i + 1 < len(own) else nothing
+        unary.append(float(np.concatenate([x, before, after, [i == 0, i + 1 == len(own), 1.0]]) @ model["weights"]))
+    moves = model["moves"]
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    forward = [[0.0, unary[0]]]
+    for u in unary[1:]:
+        a = forward[-1]
+        forward.append([add(a[0] + moves[0][j], a[1] + moves[1][j]) + u * j for j in (0, 1)])
+    back = [[0.0, 0.0]]
+    for u in reversed(unary[1:]):
+        b = back[0]
+        back.insert(0, [add(moves[i][0] + b[0], moves[i][1] + u + b[1]) for i in (0, 1)])
+    total = add(*forward[-1])
+    ones = [math.exp(f[1] + b[1] - total) for f, b in zip(forward, back)]
+    weights = [max(len(x), 1) for x in lines]
+    mean = sum(o * w for o, w in zip(ones, weights)) / sum(weights)
+    mean = min(max(mean, 1e-6), 1 - 1e-6)
+    return 1 / (1 + math.exp(-(math.log(mean / (1 - mean)) * model["line"][0] + model["line"][1])))
+
+
+def test_line_quality_equals_a_plain_chain(spark, messy):  # noqa: F811
+    """Every score of the query; labels that are repeated teach once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = line_crf.train(docs, labels.filter(~line_crf.held_out(F.col("doc_id"))))
+    both = {r.doc_id: r.score for r in line_crf.judge_documents(docs, labels.union(labels)).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert both.keys() == texts.keys()
+    assert all(abs(both[i] - plain_quality(model, t)) < 1e-6 for i, t in texts.items())
+    odd = messy.filter("doc_id >= 9000").select("doc_id", "text")
+    got = {r.doc_id: r.score for r in line_crf.score_documents(odd, model).collect()}
+    assert all(abs(got[r.doc_id] - plain_quality(model, r.text)) < 1e-6 for r in odd.collect())
