@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: States, token pairs and word results kept per worker; beyond it they are made anew.
-MAX_STATES = 300_000
-MAX_PAIRS = 600_000
-MAX_WORDS = 250_000
+MAX_STATES = 150_000
+MAX_PAIRS = 300_000
+MAX_WORDS = 150_000
 #: Bytes after which certain tokens are emitted; well over the longest token.
 LOOKAHEAD = 1024
 
