@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.schemas import DECISIONS, TEXT_LIMITS
+from riskloom.session import grown
 
 # Columns that may not be NULL, per table.
 REQUIRED = {
@@ -61,7 +62,7 @@ def check_rows(
     if key is not None:
         # Joined on (key, order), which is unique, so copies spread out.
         firsts = first_per_key(raw.filter(F.col(key).isNotNull()), key, order)
-        rows = rows.join(firsts.withColumn("__first", F.lit(True)), [key, order], "left")
+        rows = rows.join(grown(firsts.withColumn("__first", F.lit(True))), [key, order], "left")
         rule("key_duplicate", F.col(key).isNotNull() & F.col("__first").isNull())
     if parents is not None:
         # Orphans are found among distinct keys, so a parent with very many
@@ -70,10 +71,10 @@ def check_rows(
         orphans = (
             raw.select("transactionid")
             .distinct()
-            .join(known, "transactionid", "left_anti")
+            .join(grown(known), "transactionid", "left_anti")
             .withColumn("__orphan", F.lit(True))
         )
-        rows = rows.join(orphans, "transactionid", "left")
+        rows = rows.join(grown(orphans), "transactionid", "left")
         rule("parent_missing", F.col("transactionid").isNotNull() & F.col("__orphan").isNotNull())
     return rows.withColumn("reasons", F.array_compact(F.array(*broken))).select(
         *raw.columns, "reasons"
@@ -94,4 +95,4 @@ def rejected_rows(checked: DataFrame) -> DataFrame:
 
 def cascade_retain(children: DataFrame, parents: DataFrame, key: str = "transactionid") -> DataFrame:
     """Child rows whose parent is still there."""
-    return children.join(parents.select(key).distinct(), key, "left_semi")
+    return children.join(grown(parents.select(key).distinct()), key, "left_semi")

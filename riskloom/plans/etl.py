@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from riskloom.functions.expressions import nan_to_null
 from riskloom.operators.quality import check_rows, rejected_rows, valid_rows
 from riskloom.schemas import IDENTITIES, IDENTITY_COLUMNS, TRANSACTION_COLUMNS, TRANSACTIONS
-from riskloom.session import materialise, temporary
+from riskloom.session import grown, materialise, temporary
 from riskloom.sources.tables import (
     append,
     keep_first,
@@ -33,7 +33,7 @@ def merge(transactions: DataFrame, identities: DataFrame) -> DataFrame:
     """Every transaction with its identity columns, where there are any."""
     left = prune_columns(transactions, TRANSACTION_COLUMNS + [INGEST_ORDER])
     right = prune_columns(identities, IDENTITY_COLUMNS)
-    return nan_to_null(left.join(right, "transactionid", "left"))
+    return nan_to_null(left.join(grown(right), "transactionid", "left"))
 
 
 def split_merged(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ def run_etl(
     new_t = prune_columns(merged, TRANSACTION_COLUMNS + [INGEST_ORDER])
     # Copies of a transaction carry the same identity values, so any one will do.
     new_i = new_i.dropDuplicates(["transactionid"]).join(
-        target_identities.select("transactionid"), "transactionid", "left_anti"
+        grown(target_identities.select("transactionid")), "transactionid", "left_anti"
     )
     return load_if_absent(new_t, target_transactions), new_i
 

@@ -10,6 +10,7 @@ from riskloom.functions.expressions import day_number
 from riskloom.operators.quality import first_per_key
 from riskloom.operators.split import first_rows
 from riskloom.schemas import IDENTITIES, TRANSACTIONS
+from riskloom.session import grown
 
 
 def read_table(
@@ -93,7 +94,7 @@ def sample_transactions(rows: DataFrame, n: int) -> DataFrame:
 
 def sample_identities(identities: DataFrame, sampled: DataFrame) -> DataFrame:
     """Identity rows of the sampled transactions."""
-    return identities.join(sampled.select("transactionid"), "transactionid", "left_semi")
+    return identities.join(grown(sampled.select("transactionid")), "transactionid", "left_semi")
 
 
 def keep_first(rows: DataFrame, key: str = "transactionid", order: str = "ingest_order"):
@@ -102,7 +103,7 @@ def keep_first(rows: DataFrame, key: str = "transactionid", order: str = "ingest
     First keys are settled on a narrow (key, order) table in which copies have
     collapsed; the wide rows then join it on both columns, which no copy shares.
     """
-    return rows.join(first_per_key(rows, key, order), [key, order], "left_semi")
+    return rows.join(grown(first_per_key(rows, key, order)), [key, order], "left_semi")
 
 
 def load_if_absent(
@@ -117,9 +118,9 @@ def load_if_absent(
     ``defaults`` fills columns the load does not bring.
     """
     new = first_per_key(incoming, key, order).join(
-        existing.select(key).distinct(), key, "left_anti"
+        grown(existing.select(key).distinct()), key, "left_anti"
     )
-    rows = incoming.join(new, [key, order], "left_semi").drop(order)
+    rows = incoming.join(grown(new), [key, order], "left_semi").drop(order)
     for name, value in (defaults or {}).items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(value))

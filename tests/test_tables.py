@@ -193,3 +193,14 @@ def test_files_to_tables(spark, tmp_path):
     rejects = spark.read.parquet(f"{target}/rejects_identities").collect()
     assert sorted((r.run, r.devicetype) for r in rejects) == [(0, "desktop"), (0, "tablet"), (1, "desktop")]
     assert {r.run for r in spark.read.parquet(f"{target}/rejects_transactions").collect()} == {0}
+
+
+def test_sides_that_grow_are_not_broadcast(spark, tmp_path):
+    """However small Spark takes them for: mostly empty columns weigh nothing in files, and their ids do on the driver."""
+    (tmp_path / "t.csv").write_text("TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD\n1,0,10,5.00,W\n")
+    raw = T.read_text(spark, str(tmp_path / "t.csv"), TRANSACTIONS, "ingest_order")
+    checked = Q.check_rows(raw, "transactions", TRANSACTIONS, parents=spark.range(3).selectExpr("id AS transactionid"))
+    rows = spark.range(5).selectExpr("id AS transactionid", "id AS transactiondt", "id AS ingest_order")
+    devices = spark.createDataFrame([], "transactionid long, devicetype string, ingest_order long")
+    for df in (checked, *etl.run_etl(rows, devices, rows.drop("ingest_order"), devices)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
