@@ -96,6 +96,42 @@ def test_contributions_are_shapley_values(spark, data, fitted):
             assert r[f"c_{MODEL_FEATURES[f]}"] == pytest.approx(phi, abs=1e-9)
 
 
+def grown_tree(rng, number, depth, features=6):
+    """A tree of its own; features come back on a path, and some leaves are shallow."""
+    nodes, todo, last = [], [(0, 0, 1e6)], 0
+    while todo:
+        at, level, cover = todo.pop()
+        node = {"tree": number, "weight": 0.1, "id": at, "value": rng.gauss(0, 1), "cover": cover, "left": -1, "right": -1}
+        if level < depth and rng.random() > 0.1:
+            share = rng.uniform(0.1, 0.9)
+            node |= {"left": last + 1, "right": last + 2, "feature": rng.randrange(features), "threshold": float(rng.randrange(9))}
+            todo += [(last + 1, level + 1, cover * share), (last + 2, level + 1, cover * (1 - share))]
+            last += 2
+        nodes.append(node)
+    return nodes
+
+
+@pytest.mark.parametrize("depth, most_bytes", [(0, 10**8), (1, 10**8), (5, 10**8), (5, 20_000), (9, 10**8)])
+def test_looked_up_contributions_are_the_computed_ones(monkeypatch, depth, most_bytes):
+    """Also of leaves with too many decisions for a table, of models with too many leaves, and of values at the thresholds."""
+    monkeypatch.setattr(explain, "MOST_BYTES", most_bytes)
+    rng = random.Random(depth)
+    nodes = [n for t in range(12) for n in grown_tree(rng, t, depth)]
+    x = np.array([[rng.choice([model.MISSING, rng.uniform(0, 9), rng.randrange(9)]) for _ in range(6)] for _ in range(400)])
+    base, groups = explain.leaf_groups(nodes)
+    same_base, tables = explain.contribution_tables(nodes)
+    assert same_base == base
+    assert np.allclose(tables.values(x), explain.shapley_values(x, groups), rtol=0, atol=1e-12)
+    assert tables.values(x[:0]).shape == (0, 6)
+
+
+def test_a_row_costs_look_ups_only():
+    """Of a model as it is trained, nothing is computed row by row."""
+    rng = random.Random(7)
+    tables = explain.contribution_tables([n for t in range(50) for n in grown_tree(rng, t, 5)])[1]
+    assert not tables.rest and sum(table.nbytes for _, _, table in tables.parts) < explain.MOST_BYTES / 10
+
+
 def test_reasons_and_response(spark, data, fitted):
     scored = model.score(data, fitted)
     contributions = explain.tree_contributions(scored, fitted, keep=("score",))
