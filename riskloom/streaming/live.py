@@ -64,22 +64,15 @@ def seed(history: DataFrame, tables: LiveTables) -> None:
 
 
 def _before(parts: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
-    """An arrival's totals for one kind of key: those in its slice and those of earlier slices."""
-    slices = parts.filter(F.col("to_kind") == kind).select(
-        "key", "slice", F.col("n").alias("_n"), F.col("sum_cents").alias("_cents"), F.col("last_at").alias("_at"),
-        "latest_at", "latest_id",
-    )
-    rows = parts.filter((F.col("to_kind") == "row") & (F.col("kind") == kind))
-    rows = rows.drop("latest_at", "latest_id").join(slices, ["key", "slice"])
-    last = F.greatest("last_at", "_at")
+    """An arrival's totals for one kind of key."""
     newest = F.struct(F.col("latest_at"), F.col("latest_id"))
     values = {
-        "n": F.col("n") + F.col("_n"),
-        "cents": F.col("sum_cents") + F.col("_cents"),
-        "last": F.when(last > NO_TIME, last),
+        "n": F.col("n"),
+        "cents": F.col("cents"),
+        "last": F.when(F.col("last") > NO_TIME, F.col("last")),
         "late": F.coalesce(F.struct("at", "id") < newest, F.lit(False)),
     }
-    return rows.select("id", "whole", *[values[v].alias(name) for v, name in names.items()])
+    return parts.filter(F.col("kind") == kind).select("id", "whole", *[values[v].alias(name) for v, name in names.items()])
 
 
 def batch_features(parts: DataFrame, identities: DataFrame) -> DataFrame:
@@ -120,7 +113,7 @@ def store_batch(
     spark = parts.sparkSession
     with temporary(spark):
         parts = materialise(parts, "live-batch")  # the state steps run once
-        arrived = parts.filter("to_kind = 'row' and kind = 'uid'").select("whole.*")
+        arrived = parts.filter("kind = 'uid'").select("whole.*")
         tables.write(arrived, "transactions", batch_id)
         tables.write(batch_features(parts, identities), "features", batch_id)
     if scorer is not None:
@@ -166,6 +159,8 @@ def start(
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     first = {name: spark.read.parquet(f"{tables.path('first_state')}/{name}") for name in STATES}
+    if first["seen"].isEmpty():  # with nothing to begin with, the first micro-batch runs like all others
+        first = None
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, batch_id, identities, tables, scorer, threshold)

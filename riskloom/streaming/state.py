@@ -10,7 +10,11 @@ Three stateful steps stand one behind the other:
 
 Arrivals meet their slice only, and a busy domain has many slices, so no task holds all rows of a domain; what meets in
 ``Totals`` is one row per slice. A row that comes late finds its place by the rows of one slice and the totals of the others, so
-it costs the same however long the history is. Arrivals pass the last step under keys of their own, which hold no state.
+it costs the same however long the history is.
+
+Rows cost by their number and columns on their way to and from Python. So an arrival's own columns travel as one text (JSON,
+written and read by the engine), and the arrivals of a slice leave the second step as one text that passes the third beside the slice's totals
+(``PackedSlices``, ``PackedTotals``; ``Slices`` and ``Totals`` alone give one row per arrival).
 
 A slice's rows are kept as chunks of numbers (24 bytes a row); they are read only when a row comes that is not newer than
 all of them. Totals are kept in groups of GROUP slices, so an arrival reads the sums of whole groups and one group.
@@ -18,7 +22,9 @@ all of them. Totals are kept in groups of GROUP slices, so an arrival reads the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
@@ -52,6 +58,12 @@ _KEYED = [*_fields(_TEXT, "kind", "key"), *_fields(_LONG, "slice", "at", "id", "
 #: The same with what came before, and rows of totals; ``to_kind`` and ``to_key`` lead to the next step.
 _PAST = _fields(_LONG, "n", "sum_cents", "last_at", "latest_at", "latest_id")
 PLACED = T.StructType([*_fields(_TEXT, "to_kind", "to_key"), *_KEYED, *_PAST])
+#: An arrival's place in its slice, and what a slice's arrivals travel as.
+_ARRIVAL = ["at", "id", "n", "sum_cents", "last_at", "whole"]
+_ARRIVALS = T.ArrayType(T.StructType([*_fields(_LONG, *_ARRIVAL[:-1]), *_fields(_TEXT, "whole")]))
+_UNSEEN = T.StructType([*_fields(_LONG, "transactionid"), *_fields(_TEXT, "whole")])
+_SLICE = T.StructType([*_fields(_TEXT, "kind", "key"), *_fields(_LONG, "slice", "at", "id", "n", "sum_cents", "last_at"), *_fields(_TEXT, "arrivals")])
+_BASED = T.StructType([*_fields(_TEXT, "kind"), *_fields(_LONG, "base_n", "base_cents", "base_last", "latest_at", "latest_id"), *_fields(_TEXT, "arrivals")])
 
 
 # --- rows for the steps --------------------------------------------------------
@@ -87,7 +99,7 @@ class Seen(StatefulProcessor):
         if first:
             self.bits.update((bytes(bits),))
         for row in first.values():
-            yield Row(**{c: row[c] for c in FRESH.names})
+            yield Row(**{c: row[c] for c in row.__fields__ if c not in ("place", "block")})
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         bits = self._bits()
@@ -117,7 +129,8 @@ class Slices(StatefulProcessor):
         self.totals.update((n + len(rows), cents + int(rows[:, 2].sum()), at, id_))
         self.chunks.appendValue((rows.tobytes(),))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def place(self, rows: Iterator[Row]) -> tuple[list[Row], np.ndarray, list, list, list]:
+        """The rows in order, as numbers, and the number, cents and last time before each of them in the slice."""
         arrived = sorted(rows, key=lambda r: (r.at, r.id))
         new = np.array([(r.at, r.id, r.cents) for r in arrived], np.int64)
         known = self.totals.get()
@@ -135,9 +148,13 @@ class Slices(StatefulProcessor):
         n = n + own
         cents = cents + np.concatenate([[0], np.cumsum(new[:-1, 2])])
         last = np.maximum(last, np.concatenate([[NO_TIME], new[:-1, 0]]))
+        return arrived, new, n.tolist(), cents.tolist(), last.tolist()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived, new, n, cents, last = self.place(rows)
         kind, name, slice_ = key
         for i, row in enumerate(arrived):
-            yield _placed("row", str(row.id % SPREAD), row, int(n[i]), int(cents[i]), int(last[i]))
+            yield _placed("row", str(row.id % SPREAD), row, n[i], cents[i], last[i])
         total = Row(kind=kind, key=name, slice=slice_, at=arrived[-1].at, id=arrived[-1].id, cents=0, whole=None)
         yield _placed(kind, name, total, len(new), int(new[:, 2].sum()), arrived[-1].at)
 
@@ -146,48 +163,74 @@ class Slices(StatefulProcessor):
         self._add(np.array(rows, np.int64), self.totals.get())
 
 
+class PackedSlices(Slices):
+    """The same, with one row per slice: its totals and, as one text, the arrivals."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived, new, n, cents, last = self.place(rows)
+        kind, name, slice_ = key
+        texts = [row.whole for row in arrived]
+        arrivals = json.dumps([dict(zip(_ARRIVAL, r)) for r in zip(new[:, 0].tolist(), new[:, 1].tolist(), n, cents, last, texts)])
+        at, id_ = new[-1, :2].tolist()
+        yield Row(kind=kind, key=name, slice=slice_, at=at, id=id_, n=len(new), sum_cents=int(new[:, 2].sum()), last_at=at, arrivals=arrivals)
+
+
 class Totals(StatefulProcessor):
     """Key: kind, key. State: the newest row, totals per slice in groups, and of the groups. Arrivals pass."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "at long, id long")
-        self.groups = handle.getValueState("groups", "totals binary")
+        self.head = handle.getValueState("head", "totals binary, at long, id long")
         self.slices = handle.getMapState("slices", "group long", "totals binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] == "row":
             yield from rows
             return
+        for row, base, before in self.bases(rows):
+            yield _placed(key[0], key[1], row, *base, *before)
+
+    def bases(self, rows: Iterator[Row]) -> Iterator[tuple[Row, tuple, tuple]]:
+        """Each row of totals, which are added to the state, with number, sum and last time of all rows in earlier slices, and the newest row."""
         arrived = sorted(rows, key=lambda r: r.slice)
-        before = self.latest.get()
-        for row in arrived:
-            base = self._before(row.slice)
-            self._add(row.slice, (row.n, row.sum_cents, row.last_at))
-            yield _placed(key[0], key[1], row, *base, *(before or (None, None)))
-        newest = max((r.at, r.id) for r in arrived)
-        self.latest.update(newest if before is None else max(newest, tuple(before)))
-
-    def _group(self, group: int) -> np.ndarray:
-        return _table(self.slices.getValue((group,)) if self.slices.containsKey((group,)) else None)
-
-    def _before(self, slice_: int) -> tuple[int, int, int]:
-        """Number, sum and last time of all rows in earlier slices."""
-        group = slice_ // GROUP
-        parts = [(_table(self.groups.get()), group), (self._group(group), slice_)]
-        rows = np.concatenate([table[table[:, 0] < edge] for table, edge in parts])
-        return int(rows[:, 1].sum()), int(rows[:, 2].sum()), int(rows[:, 3].max(initial=NO_TIME))
-
-    def _add(self, slice_: int, more: tuple[int, int, int]) -> None:
-        group = slice_ // GROUP
-        self.groups.update((_with(_table(self.groups.get()), group, more).tobytes(),))
-        self.slices.updateValue((group,), (_with(self._group(group), slice_, more).tobytes(),))
+        groups, newest = self._head()
+        for group, some in groupby(arrived, key=lambda r: r.slice // GROUP):
+            slices = self._group(group, groups)
+            for row in some:
+                earlier = np.concatenate([groups[groups[:, 0] < group], slices[slices[:, 0] < row.slice]])
+                base = int(earlier[:, 1].sum()), int(earlier[:, 2].sum()), int(earlier[:, 3].max(initial=NO_TIME))
+                slices = _with(slices, row.slice, (row.n, row.sum_cents, row.last_at))
+                groups = _with(groups, group, (row.n, row.sum_cents, row.last_at))
+                yield row, base, newest or (None, None)
+            self.slices.updateValue((group,), (slices.tobytes(),))
+        self._keep(groups, newest, max((r.at, r.id) for r in arrived))
+
+    def _head(self) -> tuple[np.ndarray, tuple | None]:
+        head = self.head.get()
+        return _table(head), None if head is None else (head[1], head[2])
+
+    def _keep(self, groups: np.ndarray, newest: tuple | None, come: tuple) -> None:
+        self.head.update((groups.tobytes(), *(come if newest is None else max(newest, come))))
+
+    def _group(self, group: int, groups: np.ndarray) -> np.ndarray:
+        """Totals of a group's slices, which are stored if the groups name it."""
+        return _table(self.slices.getValue((group,)) if (groups[:, 0] == group).any() else None)
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        row = initialState
-        self._add(row.slice, (row.n, row.sum_cents, row.last_at))
-        known = self.latest.get()
-        newest = (row.latest_at, row.latest_id)
-        self.latest.update(newest if known is None else max(newest, tuple(known)))
+        row, more = initialState, (initialState.n, initialState.sum_cents, initialState.last_at)
+        groups, newest = self._head()
+        group = row.slice // GROUP
+        self.slices.updateValue((group,), (_with(self._group(group, groups), row.slice, more).tobytes(),))
+        self._keep(_with(groups, group, more), newest, (row.latest_at, row.latest_id))
+
+
+class PackedTotals(Totals):
+    """The same for rows that carry their slice's arrivals."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row, (n, cents, last), (at, id_) in self.bases(rows):
+            yield Row(
+                kind=key[0], base_n=n, base_cents=cents, base_last=last, latest_at=at, latest_id=id_, arrivals=row.arrivals
+            )
 
 
 def _places(have: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -250,16 +293,26 @@ def first_states(history: DataFrame) -> dict[str, DataFrame]:
     return {"seen": seen, "slices": slices, "totals": totals}
 
 
-def placed(arrivals: DataFrame, first: dict[str, DataFrame]) -> DataFrame:
-    """The stream of arrivals (with ``place``, their order in a micro-batch) through the three steps."""
+def placed(arrivals: DataFrame, first: dict[str, DataFrame] | None) -> DataFrame:
+    """The stream of arrivals (with ``place``, their order in a micro-batch) through the three steps, which begin with ``first``.
+
+    Two rows per arrival, for its customer and for its domain: kind, id, at; n, cents, last of the rows before it; the newest row of earlier
+    micro-batches; with the customer's the arrival itself.
+    """
     rows = fresh_columns(arrivals, "place").withColumn("block", F.floor(F.col("transactionid") / BLOCK_IDS))
-    options = {"outputMode": "append", "timeMode": "none"}
-    fresh = rows.groupBy("block").transformWithState(
-        Seen(), FRESH, initialState=first["seen"].groupBy("block"), **options
-    )
-    sliced = keyed_rows(fresh, F.struct(*ARRIVING.names)).groupBy("kind", "key", "slice").transformWithState(
-        Slices(), PLACED, initialState=first["slices"].groupBy("kind", "key", "slice"), **options
-    )
-    return sliced.groupBy("to_kind", "to_key").transformWithState(
-        Totals(), PLACED, initialState=first["totals"].groupBy("to_kind", "to_key"), **options
-    )
+    texts = rows.select("block", "place", "transactionid", F.to_json(F.struct(*FRESH.names)).alias("whole"))
+
+    def step(rows: DataFrame, by: list[str], processor: StatefulProcessor, schema: T.StructType, name: str, first_by: list[str]) -> DataFrame:
+        state = None if first is None else first[name].groupBy(*first_by)
+        return rows.groupBy(*by).transformWithState(processor, schema, outputMode="append", timeMode="none", initialState=state)
+
+    fresh = step(texts, ["block"], Seen(), _UNSEEN, "seen", ["block"])
+    fresh = fresh.select(F.from_json("whole", FRESH).alias("row"), "whole").select("row.*", "whole")
+    keys = ["kind", "key", "slice"]
+    sliced = step(keyed_rows(fresh, F.col("whole")), keys, PackedSlices(), _SLICE, "slices", keys)
+    based = step(sliced, ["kind", "key"], PackedTotals(), _BASED, "totals", ["to_kind", "to_key"])
+    each = based.select("*", F.explode(F.from_json("arrivals", _ARRIVALS)).alias("a"))
+    return each.select(
+        "kind", "a.id", "a.at", (F.col("a.n") + F.col("base_n")).alias("n"), (F.col("a.sum_cents") + F.col("base_cents")).alias("cents"),
+        F.greatest("a.last_at", "base_last").alias("last"), "latest_at", "latest_id", F.from_json("a.whole", ARRIVING).alias("whole"),
+    )
