@@ -17,7 +17,8 @@ written and read by the engine), and the arrivals of a slice leave the second st
 (``PackedSlices``, ``PackedTotals``; ``Slices`` and ``Totals`` alone give one row per arrival).
 
 A slice's rows are kept as chunks of numbers (24 bytes a row); they are read only when a row comes that is not newer than
-all of them. Totals are kept in groups of GROUP slices, so an arrival reads the sums of whole groups and one group.
+all of them. The last few rows of a slice, and the totals of a customer with few slices, are one value: most customers cost a read and a
+write per step and micro-batch. Totals of more slices are kept in groups of GROUP slices, so an arrival reads the sums of whole groups and one group.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from riskloom.schemas import INPUTS, TRANSACTIONS
 BLOCK_IDS = 4096
 #: Slices whose totals are kept together.
 GROUP = 64
+#: Rows of a slice that are kept beside its totals, and not as chunks: a call to the state store costs more than they do.
+FEW_ROWS = 64
 #: Keys under which arrivals pass Totals.
 SPREAD = 64
 #: Rows of a slice that the first state gets at once.
@@ -112,22 +115,28 @@ class Slices(StatefulProcessor):
     """Key: kind, key, slice. State: totals and rows of the slice. Places every arrival in its slice."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "n long, cents long, at long, id long")
+        self.totals = handle.getValueState("totals", "n long, cents long, at long, id long, few binary")
         self.chunks = handle.getListState("rows", "chunk binary")
 
-    def _known(self) -> np.ndarray:
-        """Rows (at, id, cents) in their order; what was read is kept as one chunk."""
+    def _known(self, known: tuple) -> tuple[np.ndarray, tuple]:
+        """Rows (at, id, cents) in their order, and the totals; what was read from chunks is kept as one chunk."""
+        few = np.frombuffer(known[4], np.int64).reshape(-1, 3)
+        if len(few) == known[0]:
+            return few[np.lexsort((few[:, 1], few[:, 0]))], known
         chunks = [np.frombuffer(c[0], np.int64).reshape(-1, 3) for c in self.chunks.get()]
-        rows = np.concatenate([np.empty((0, 3), np.int64), *chunks])
+        rows = np.concatenate([*chunks, few])
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         self.chunks.put([(rows.tobytes(),)])
-        return rows
+        return rows, (*known[:4], b"")
 
     def _add(self, rows: np.ndarray, known: tuple | None) -> None:
-        n, cents, at, id_ = known if known is not None else (0, 0, NO_TIME, NO_TIME)
+        n, cents, at, id_, few = known if known is not None else (0, 0, NO_TIME, NO_TIME, b"")
         at, id_ = max((at, id_), tuple(rows[-1, :2].tolist()))
-        self.totals.update((n + len(rows), cents + int(rows[:, 2].sum()), at, id_))
-        self.chunks.appendValue((rows.tobytes(),))
+        few = bytes(few) + rows.tobytes()
+        if len(few) > FEW_ROWS * 24:
+            self.chunks.appendValue((few,))
+            few = b""
+        self.totals.update((n + len(rows), cents + int(rows[:, 2].sum()), at, id_, few))
 
     def place(self, rows: Iterator[Row]) -> tuple[list[Row], np.ndarray, list, list, list]:
         """The rows in order, as numbers, and the number, cents and last time before each of them in the slice."""
@@ -135,10 +144,10 @@ class Slices(StatefulProcessor):
         new = np.array([(r.at, r.id, r.cents) for r in arrived], np.int64)
         known = self.totals.get()
         n, cents, last = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.full(len(new), NO_TIME)
-        if known is not None and tuple(known[2:]) < (arrived[0].at, arrived[0].id):
+        if known is not None and tuple(known[2:4]) < (arrived[0].at, arrived[0].id):
             n, cents, last = n + known[0], cents + known[1], np.full(len(new), known[2])
         elif known is not None:  # not newer than all the slice has: its rows tell what came before
-            have = self._known()
+            have, known = self._known(known)
             sums = np.concatenate([[0], np.cumsum(have[:, 2])])
             times = np.concatenate([[NO_TIME], have[:, 0]])
             n = _places(have, new)
@@ -179,7 +188,7 @@ class Totals(StatefulProcessor):
     """Key: kind, key. State: the newest row, totals per slice in groups, and of the groups. Arrivals pass."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "totals binary, at long, id long")
+        self.head = handle.getValueState("head", "totals binary, at long, id long, few binary")
         self.slices = handle.getMapState("slices", "group long", "totals binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -192,24 +201,39 @@ class Totals(StatefulProcessor):
     def bases(self, rows: Iterator[Row]) -> Iterator[tuple[Row, tuple, tuple]]:
         """Each row of totals, which are added to the state, with number, sum and last time of all rows in earlier slices, and the newest row."""
         arrived = sorted(rows, key=lambda r: r.slice)
-        groups, newest = self._head()
-        for group, some in groupby(arrived, key=lambda r: r.slice // GROUP):
-            slices = self._group(group, groups)
-            for row in some:
-                earlier = np.concatenate([groups[groups[:, 0] < group], slices[slices[:, 0] < row.slice]])
-                base = int(earlier[:, 1].sum()), int(earlier[:, 2].sum()), int(earlier[:, 3].max(initial=NO_TIME))
-                slices = _with(slices, row.slice, (row.n, row.sum_cents, row.last_at))
-                groups = _with(groups, group, (row.n, row.sum_cents, row.last_at))
-                yield row, base, newest or (None, None)
-            self.slices.updateValue((group,), (slices.tobytes(),))
-        self._keep(groups, newest, max((r.at, r.id) for r in arrived))
-
-    def _head(self) -> tuple[np.ndarray, tuple | None]:
+        groups, few, newest = self._head()
+        if few is not None:
+            for row in arrived:
+                yield row, _sums(few[few[:, 0] < row.slice]), newest or (None, None)
+                few = _with(few, row.slice, (row.n, row.sum_cents, row.last_at))
+        else:
+            for group, some in groupby(arrived, key=lambda r: r.slice // GROUP):
+                slices = self._group(group, groups)
+                for row in some:
+                    base = _sums(np.concatenate([groups[groups[:, 0] < group], slices[slices[:, 0] < row.slice]]))
+                    slices = _with(slices, row.slice, (row.n, row.sum_cents, row.last_at))
+                    groups = _with(groups, group, (row.n, row.sum_cents, row.last_at))
+                    yield row, base, newest or (None, None)
+                self.slices.updateValue((group,), (slices.tobytes(),))
+        self._keep(groups, few, newest, max((r.at, r.id) for r in arrived))
+
+    def _head(self) -> tuple[np.ndarray, np.ndarray | None, tuple | None]:
+        """Totals of groups; those of the slices where there are few, and no groups yet; the newest row."""
         head = self.head.get()
-        return _table(head), None if head is None else (head[1], head[2])
-
-    def _keep(self, groups: np.ndarray, newest: tuple | None, come: tuple) -> None:
-        self.head.update((groups.tobytes(), *(come if newest is None else max(newest, come))))
+        if head is None:
+            return _table(None), _table(None), None
+        groups = _table(head)
+        return groups, None if len(groups) else _table((head[3],)), (head[1], head[2])
+
+    def _keep(self, groups: np.ndarray, few: np.ndarray | None, newest: tuple | None, come: tuple) -> None:
+        if few is not None and len(few) > GROUP:
+            for group in np.unique(few[:, 0] // GROUP).tolist():
+                slices = few[few[:, 0] // GROUP == group]
+                self.slices.updateValue((group,), (slices.tobytes(),))
+                groups = _with(groups, group, _sums(slices))
+            few = None
+        latest = come if newest is None else max(newest, come)
+        self.head.update((groups.tobytes(), *latest, b"" if few is None else few.tobytes()))
 
     def _group(self, group: int, groups: np.ndarray) -> np.ndarray:
         """Totals of a group's slices, which are stored if the groups name it."""
@@ -217,10 +241,14 @@ class Totals(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         row, more = initialState, (initialState.n, initialState.sum_cents, initialState.last_at)
-        groups, newest = self._head()
-        group = row.slice // GROUP
-        self.slices.updateValue((group,), (_with(self._group(group, groups), row.slice, more).tobytes(),))
-        self._keep(_with(groups, group, more), newest, (row.latest_at, row.latest_id))
+        groups, few, newest = self._head()
+        if few is not None:
+            few = _with(few, row.slice, more)
+        else:
+            group = row.slice // GROUP
+            self.slices.updateValue((group,), (_with(self._group(group, groups), row.slice, more).tobytes(),))
+            groups = _with(groups, group, more)
+        self._keep(groups, few, newest, (row.latest_at, row.latest_id))
 
 
 class PackedTotals(Totals):
@@ -246,6 +274,11 @@ def _table(value) -> np.ndarray:
     return np.frombuffer(value[0], np.int64).reshape(-1, 4) if value is not None else np.empty((0, 4), np.int64)
 
 
+def _sums(table: np.ndarray) -> tuple[int, int, int]:
+    """Number, sum and last time of some rows of a table."""
+    return int(table[:, 1].sum()), int(table[:, 2].sum()), int(table[:, 3].max(initial=NO_TIME))
+
+
 def _with(table: np.ndarray, number: int, more: tuple[int, int, int]) -> np.ndarray:
     n, cents, last = more
     at = np.flatnonzero(table[:, 0] == number)

@@ -1,5 +1,6 @@
 """The state steps of the live job, fed by hand: every arrival against a search through all that came before."""
 
+import json
 import random
 from collections import defaultdict
 
@@ -167,6 +168,47 @@ def test_first_state_is_what_the_rows_would_have_left():
     assert placed(more, *fed, draw) == placed(more, *begun, draw)
 
 
+def test_a_customer_costs_two_calls_a_step():
+    """The third purchase of a customer: one read and one write of state in each step, whatever its history of few rows."""
+    draw = random.Random(2)
+    slices, totals = Step(S.Slices(), ["kind", "key", "slice"]), Step(S.Totals(), ["to_kind", "to_key"])
+    for n in range(3):
+        calls = []
+        for step in (slices, totals):
+            for name in ("getValueState", "getListState", "getMapState"):
+                made = getattr(Store, name)
+                setattr(step.store, name, lambda *a, made=made, step=step: _Counted(made(step.store, *a), calls))
+            step.processor.init(step.store)
+        assert placed([arrival("uid", "=k", n * 40 * 86400, n, 1)], slices, totals, draw)[n, "uid"][0] == n
+    assert calls == ["get", "update"] * 2
+
+
+class _Counted:
+    def __init__(self, state, calls):
+        self.state, self.calls = state, calls
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.state, name)
+
+
+def test_packed_rows_say_the_same():
+    """One row per slice with its arrivals as a text, against one row per arrival; few rows and slices, and many."""
+    draw = random.Random(3)
+    plain = Step(S.Slices(), ["kind", "key", "slice"]), Step(S.Totals(), ["to_kind", "to_key"])
+    packed = Step(S.PackedSlices(), ["kind", "key", "slice"]), Step(S.PackedTotals(), ["kind", "key"])
+    for batch in range(6):
+        rows = [arrival("p_emaildomain", draw.choice(["", "=a"]), draw.randrange(90 * 3600), 1000 * batch + n, n) for n in range(300)]
+        rows = [Row(**(r.asDict() | {"whole": f'{{"x": "{r.id}"}}'})) for r in rows]
+        found = {}
+        for out in packed[1].run(packed[0].run(rows, draw), draw):
+            newest = (out.latest_at, out.latest_id) if out.latest_at is not None else None
+            for a in json.loads(out.arrivals):
+                assert a["whole"] == f'{{"x": "{a["id"]}"}}'
+                found[a["id"], out.kind] = (a["n"] + out.base_n, a["sum_cents"] + out.base_cents, max(a["last_at"], out.base_last), newest)
+        assert found == placed(rows, *plain, draw)
+
+
 def test_of_an_id_the_first_row_counts():
     seen = Step(S.Seen(), ["block"])
     blank = dict.fromkeys(S.FRESH.names)
