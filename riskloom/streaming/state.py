@@ -16,6 +16,10 @@ Rows cost by their number and columns on their way to and from Python. So an arr
 written and read by the engine), and the arrivals of a slice leave the second step as one text that passes the third beside the slice's totals
 (``PackedSlices``, ``PackedTotals``; ``Slices`` and ``Totals`` alone give one row per arrival).
 
+A key of the engine's state costs more than its rows: some calls, each a round trip from Python. So the engine's keys are BLOCKS blocks of customers
+and of domains, and a block's state is read and written once per slice and micro-batch (``BlockSlices``, ``BlockTotals``). What an arrival reads
+grows with the customers of a block, that is with their number / BLOCKS, a late one's with the rows that they have in the slice.
+
 A slice's rows are kept as chunks of numbers (24 bytes a row); they are read only when a row comes that is not newer than
 all of them. The last few rows of a slice, and the totals of a customer with few slices, are one value: most customers cost a read and a
 write per step and micro-batch. Totals of more slices are kept in groups of GROUP slices, so an arrival reads the sums of whole groups and one group.
@@ -24,11 +28,11 @@ write per step and micro-batch. Totals of more slices are kept in groups of GROU
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -38,6 +42,8 @@ from riskloom.schemas import INPUTS, TRANSACTIONS
 
 #: Ids of one block of Seen.
 BLOCK_IDS = 4096
+#: Blocks of customers, and of domains, by hash. A live job keeps its number: its state is stored by it.
+BLOCKS = 4096
 #: Slices whose totals are kept together.
 GROUP = 64
 #: Rows of a slice that are kept beside its totals, and not as chunks: a call to the state store costs more than they do.
@@ -65,7 +71,7 @@ PLACED = T.StructType([*_fields(_TEXT, "to_kind", "to_key"), *_KEYED, *_PAST])
 _ARRIVAL = ["at", "id", "n", "sum_cents", "last_at", "whole"]
 _ARRIVALS = T.ArrayType(T.StructType([*_fields(_LONG, *_ARRIVAL[:-1]), *_fields(_TEXT, "whole")]))
 _UNSEEN = T.StructType([*_fields(_LONG, "transactionid"), *_fields(_TEXT, "whole")])
-_SLICE = T.StructType([*_fields(_TEXT, "kind", "key"), *_fields(_LONG, "slice", "at", "id", "n", "sum_cents", "last_at"), *_fields(_TEXT, "arrivals")])
+_SLICE = T.StructType([*_fields(_LONG, "block"), *_fields(_TEXT, "kind", "key"), *_fields(_LONG, "slice", "at", "id", "n", "sum_cents", "last_at"), *_fields(_TEXT, "arrivals")])
 _BASED = T.StructType([*_fields(_TEXT, "kind"), *_fields(_LONG, "base_n", "base_cents", "base_last", "latest_at", "latest_id"), *_fields(_TEXT, "arrivals")])
 
 
@@ -78,6 +84,11 @@ def fresh_columns(arrivals: DataFrame, *more: str) -> DataFrame:
     return with_keys(rows).select(*FRESH.names, *more)
 
 
+def block_rows(fresh: DataFrame, whole: Column | None = None) -> DataFrame:
+    """``keyed_rows`` with the block of the key."""
+    return keyed_rows(fresh, whole).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(BLOCKS)))
+
+
 # --- the steps -------------------------------------------------------------------
 
 
@@ -261,6 +272,128 @@ class PackedTotals(Totals):
             )
 
 
+class _Values:
+    """One value of state with the values of all keys of a block, read at ``load`` and written at ``store``; in between the value of ``key``."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: str) -> None:
+        lists = [f"{c} array<{kind}>" for c, kind in (column.split() for column in f"key string, {columns}".split(", "))]
+        self.state = handle.getValueState(name, ", ".join(lists))
+
+    def load(self) -> None:
+        known = self.state.get()
+        self.values = {} if known is None else dict(zip(known[0], zip(*known[1:])))
+
+    def store(self) -> None:
+        self.state.update(([*self.values], *map(list, zip(*self.values.values()))))
+
+    def get(self) -> tuple | None:
+        return self.values.get(self.key)
+
+    def update(self, value: tuple) -> None:
+        self.values[self.key] = value
+
+
+class _Chunks:
+    """The same for one list of state with the chunks of all keys, which is read only when those of a key are."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str) -> None:
+        self.state = handle.getListState(name, "key string, chunk binary")
+
+    def load(self) -> None:
+        self.known, self.new, self.changed = None, [], False
+
+    def store(self) -> None:
+        if self.changed:
+            self.state.put([(key, chunk) for key, chunks in self.known.items() for chunk, in chunks] + self.new)
+        elif self.new:
+            self.state.appendList(self.new)
+
+    def get(self) -> list[tuple]:
+        if self.known is None:
+            self.known = {}
+            for key, chunk in self.state.get():
+                self.known.setdefault(key, []).append((chunk,))
+        return self.known.get(self.key, [])
+
+    def put(self, chunks: list[tuple]) -> None:
+        self.known[self.key], self.changed = chunks, True
+
+    def appendValue(self, chunk: tuple) -> None:
+        self.new.append((self.key, *chunk))
+
+
+class _Groups:
+    """The same for a map of state, whose entries are read and written one by one."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str) -> None:
+        self.state = handle.getMapState(name, "key string, group long", "totals binary")
+
+    def getValue(self, group: tuple) -> tuple:
+        return self.state.getValue((self.key, *group))
+
+    def updateValue(self, group: tuple, value: tuple) -> None:
+        self.state.updateValue((self.key, *group), value)
+
+
+def _by_key(names: Iterable[str], rows: Iterable) -> dict[str, list]:
+    found: dict[str, list] = {}
+    for name, row in zip(names, rows):
+        found.setdefault(name, []).append(row)
+    return found
+
+
+class BlockSlices(PackedSlices):
+    """Key: kind, block, slice. What ``PackedSlices`` does, for all keys of the block."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = _Values(handle, "totals", "n long, cents long, at long, id long, few binary")
+        self.chunks = _Chunks(handle, "rows")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kind, block, slice_ = key
+        rows = list(rows)
+        self.totals.load(), self.chunks.load()
+        for name, some in _by_key((r.key for r in rows), rows).items():
+            self.totals.key = self.chunks.key = name
+            for row in super().handleInputRows((kind, name, slice_), some, timerValues):
+                yield Row(block=block, **row.asDict())
+        self.totals.store(), self.chunks.store()
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.totals.load(), self.chunks.load()
+        for name, some in _by_key(initialState.names, zip(initialState.times, initialState.ids, initialState.amounts)).items():
+            self.totals.key = self.chunks.key = name
+            super().handleInitialState(key, Row(**dict(zip(("times", "ids", "amounts"), zip(*some)))), timerValues)
+        self.totals.store(), self.chunks.store()
+
+
+#: Columns of a slice's totals in the first state.
+_TOTAL = ["slice", "n", "sum_cents", "last_at", "latest_at", "latest_id"]
+
+
+class BlockTotals(PackedTotals):
+    """Key: kind, block. What ``PackedTotals`` does, for all keys of the block."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = _Values(handle, "head", "totals binary, at long, id long, few binary")
+        self.slices = _Groups(handle, "slices")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        self.head.load()
+        for name, some in _by_key((r.key for r in rows), rows).items():
+            self.head.key = self.slices.key = name
+            yield from super().handleInputRows((key[0], name), some, timerValues)
+        self.head.store()
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.head.load()
+        for name, *total in zip(initialState.names, *(initialState[c] for c in _TOTAL)):
+            self.head.key = self.slices.key = name
+            super().handleInitialState(key, Row(**dict(zip(_TOTAL, total))), timerValues)
+        self.head.store()
+
+
 def _places(have: np.ndarray, new: np.ndarray) -> np.ndarray:
     """How many rows of ``have`` are before each of ``new``, both in their order."""
     both = np.concatenate([have, new])
@@ -302,27 +435,32 @@ def _placed(to_kind: str, to_key: str, row: Row, n: int, cents: int, last: int,
 
 def first_states(history: DataFrame) -> dict[str, DataFrame]:
     """What the three steps begin with, from stored transactions (one row per id). Each row is bounded: a block's ids, FIRST_ROWS rows
-    of a slice, a slice's totals."""
+    of a block's slice, or totals of as many slices."""
     fresh = fresh_columns(history)
     block = F.floor(F.col("transactionid") / BLOCK_IDS)
     place = (F.col("transactionid") - block * BLOCK_IDS).cast("int")
     seen = fresh.groupBy(block.alias("block")).agg(F.collect_set(place).alias("places"))
-    keyed = keyed_rows(fresh)
-    keys = ["kind", "key", "slice"]
-    totals = keyed.groupBy(*keys).agg(
+    keyed = block_rows(fresh)
+    totals = keyed.groupBy("kind", "block", "key", "slice").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("cents").alias("sum_cents"),
         F.max(F.struct("at", "id")).alias("latest"),
     )
     totals = totals.select(
-        F.col("kind").alias("to_kind"), F.col("key").alias("to_key"), "slice", "n", "sum_cents",
+        "kind", "block", "key", "slice", "n", "sum_cents",
         F.col("latest.at").alias("last_at"), F.col("latest.at").alias("latest_at"), F.col("latest.id").alias("latest_id"),
     )
-    largest = totals.agg(F.max("n")).first()[0] or 0
-    lot = F.pmod(F.xxhash64("id"), F.lit(1 + 2 * largest // FIRST_ROWS))
-    slices = keyed.groupBy(*keys, lot.alias("lot")).agg(F.collect_list(F.struct("at", "id", "cents")).alias("rows"))
-    parts = {"times": "at", "ids": "id", "amounts": "cents"}
-    slices = slices.select(*keys, *[F.col("rows")[c].alias(name) for name, c in parts.items()])
+
+    def lots(rows: DataFrame, by: list[str], *columns: str) -> DataFrame:
+        largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        lot = F.pmod(F.xxhash64(*columns), F.lit(1 + 2 * largest // FIRST_ROWS))
+        return rows.groupBy(*by, lot.alias("lot")).agg(F.collect_list(F.struct(*columns)).alias("rows")).drop("lot")
+
+    slices = lots(keyed, ["kind", "block", "slice"], "key", "at", "id", "cents")
+    parts = {"names": "key", "times": "at", "ids": "id", "amounts": "cents"}
+    slices = slices.select("kind", "block", "slice", *[F.col("rows")[c].alias(name) for name, c in parts.items()])
+    totals = lots(totals, ["kind", "block"], "key", *_TOTAL)
+    totals = totals.select("kind", "block", *[F.col("rows")[c].alias(name) for c, name in zip(["key", *_TOTAL], ["names", *_TOTAL])])
     return {"seen": seen, "slices": slices, "totals": totals}
 
 
@@ -335,15 +473,14 @@ def placed(arrivals: DataFrame, first: dict[str, DataFrame] | None) -> DataFrame
     rows = fresh_columns(arrivals, "place").withColumn("block", F.floor(F.col("transactionid") / BLOCK_IDS))
     texts = rows.select("block", "place", "transactionid", F.to_json(F.struct(*FRESH.names)).alias("whole"))
 
-    def step(rows: DataFrame, by: list[str], processor: StatefulProcessor, schema: T.StructType, name: str, first_by: list[str]) -> DataFrame:
-        state = None if first is None else first[name].groupBy(*first_by)
+    def step(rows: DataFrame, by: list[str], processor: StatefulProcessor, schema: T.StructType, name: str) -> DataFrame:
+        state = None if first is None else first[name].groupBy(*by)
         return rows.groupBy(*by).transformWithState(processor, schema, outputMode="append", timeMode="none", initialState=state)
 
-    fresh = step(texts, ["block"], Seen(), _UNSEEN, "seen", ["block"])
+    fresh = step(texts, ["block"], Seen(), _UNSEEN, "seen")
     fresh = fresh.select(F.from_json("whole", FRESH).alias("row"), "whole").select("row.*", "whole")
-    keys = ["kind", "key", "slice"]
-    sliced = step(keyed_rows(fresh, F.col("whole")), keys, PackedSlices(), _SLICE, "slices", keys)
-    based = step(sliced, ["kind", "key"], PackedTotals(), _BASED, "totals", ["to_kind", "to_key"])
+    sliced = step(block_rows(fresh, F.col("whole")), ["kind", "block", "slice"], BlockSlices(), _SLICE, "slices")
+    based = step(sliced, ["kind", "block"], BlockTotals(), _BASED, "totals")
     each = based.select("*", F.explode(F.from_json("arrivals", _ARRIVALS)).alias("a"))
     return each.select(
         "kind", "a.id", "a.at", (F.col("a.n") + F.col("base_n")).alias("n"), (F.col("a.sum_cents") + F.col("base_cents")).alias("cents"),

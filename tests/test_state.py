@@ -232,3 +232,110 @@ def test_a_busy_domain_meets_in_many_small_groups(spark):
     n = rows.count()
     assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] > 0.4 * n
     assert keyed.groupBy("key", "slice").count().agg(F.max("count")).first()[0] < 0.01 * n
+
+
+class _Appended(_List):
+    def appendList(self, chunks):
+        self.store.lists[self.at()] += list(chunks)
+
+
+class BlockStore(Store):
+    """As the engine's store, counting calls by kind."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = []
+
+    def getValueState(self, name, schema):
+        return _Counted(super().getValueState(name, schema), self.calls)
+
+    def getListState(self, name, schema):
+        return _Counted(_Appended(self, name), self.calls)
+
+    def getMapState(self, name, key, value):
+        return _Counted(super().getMapState(name, key, value), self.calls)
+
+
+class BlockStep(Step):
+    def __init__(self, processor, by):
+        self.processor, self.by, self.store = processor, by, BlockStore()
+        processor.init(self.store)
+
+
+def in_block(row, block=3):
+    return Row(**(row.asDict() | {"whole": f'{{"x": "{row.id}"}}', "block": block}))
+
+
+def block_steps():
+    return BlockStep(S.BlockSlices(), ["kind", "block", "slice"]), BlockStep(S.BlockTotals(), ["kind", "block"])
+
+
+def unpacked(outs):
+    found = {}
+    for out in outs:
+        newest = (out.latest_at, out.latest_id) if out.latest_at is not None else None
+        for a in json.loads(out.arrivals):
+            assert a["whole"] == f'{{"x": "{a["id"]}"}}'
+            found[a["id"], out.kind] = (a["n"] + out.base_n, a["sum_cents"] + out.base_cents, max(a["last_at"], out.base_last), newest)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_of_a_block_do_not_mix(seed):
+    """Several customers and domains in one block, in time and late, few rows and chunks, few slices and groups, against every key by itself."""
+    draw = random.Random(seed)
+    plain = Step(S.Slices(), ["kind", "key", "slice"]), Step(S.Totals(), ["to_kind", "to_key"])
+    slices, totals = block_steps()
+    for batch in range(6):
+        rows = []
+        for n in range(draw.choice([5, 400])):
+            kind = draw.choice(list(SL.SLICE_SECONDS))
+            width = SL.SLICE_SECONDS[kind]
+            at = draw.choice([draw.randrange(3 * width), draw.randrange(-width, 90 * width), SL.NO_TIME])
+            rows.append(arrival(kind, draw.choice(["", "=", "=a", "=b"]), at, 1000 * batch + n, draw.randrange(-50, 1000)))
+        expected = placed(rows, *plain, draw)
+        assert unpacked(totals.run(slices.run([in_block(r) for r in rows], draw), draw)) == expected
+
+
+def test_customers_of_a_block_share_their_calls():
+    """Forty customers of one block: one read and one write of state in each step, not one per customer."""
+    draw = random.Random(5)
+    steps = block_steps()
+    for n in range(3):
+        rows = [in_block(arrival("uid", f"=k{k}", n * 40 * 86400 + k, 100 * n + k, 1)) for k in range(40)]
+        for step in steps:
+            step.store.calls.clear()
+        found = unpacked(steps[1].run(steps[0].run(rows, draw), draw))
+        assert [step.store.calls for step in steps] == [["get", "update"]] * 2
+        assert {v[0] for v in found.values()} == {n}
+
+
+def test_first_state_of_a_block():
+    """A block's first state, in two lots, is what its rows would have left."""
+    draw = random.Random(6)
+    rows = [arrival("uid", draw.choice(["", "=k", "=l"]), draw.randrange(10**8), n, n) for n in range(400)]
+    fed, begun = block_steps(), block_steps()
+    fed[1].run(fed[0].run([in_block(r) for r in rows], draw), draw)
+    of_slice, of_key = defaultdict(list), defaultdict(list)
+    for r in rows:
+        of_slice[r.slice].append(r)
+        of_key[r.key, r.slice].append(r)
+    for slice_, some in of_slice.items():
+        begun[0].store.key = ("uid", 3, slice_)
+        for part in (some[::2], some[1::2]):
+            columns = [[r[c] for r in part] for c in ("key", "at", "id", "cents")]
+            if part:
+                state = Row(**dict(zip(("names", "times", "ids", "amounts"), columns)))
+                begun[0].processor.handleInitialState(begun[0].store.key, state, None)
+    sums = []
+    for (key, slice_), some in of_key.items():
+        at, id_ = max((r.at, r.id) for r in some)
+        cents = sum(r.cents for r in some)
+        sums.append(Row(key=key, slice=slice_, n=len(some), sum_cents=cents, last_at=at, latest_at=at, latest_id=id_))
+    begun[1].store.key = ("uid", 3)
+    for part in (sums[::2], sums[1::2]):
+        columns = {c: [r[c] for r in part] for c in part[0].__fields__}
+        begun[1].processor.handleInitialState(("uid", 3), Row(names=columns.pop("key"), **columns), None)
+    more = [in_block(arrival("uid", draw.choice(["", "=k", "=l"]), draw.randrange(10**8), 1000 + n, n)) for n in range(100)]
+    found = [unpacked(steps[1].run(steps[0].run(more, draw), draw)) for steps in (fed, begun)]
+    assert found[0] == found[1] and len(found[0]) == 100
