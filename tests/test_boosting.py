@@ -66,6 +66,22 @@ def test_a_pass_takes_as_many_tasks_as_its_rows_need(spark):
     assert tasks[1] - tasks[0] < 4 * 64  # not one per partition and tree; storing and loading the model takes some
 
 
+def test_pairs_of_inputs_count_as_each_of_them(monkeypatch):
+    """An odd number of inputs, rows in leaves, the first tree and a later one."""
+    draw = np.random.default_rng(3)
+    splits = [4, 1, 6]
+    bins = np.stack([draw.integers(0, n + 1, 300).astype(np.uint8) for n in splits])
+    signs, tree = draw.choice(np.array([-1, 1], np.int8), 300), boosting.Tree(splits={1: (0, 2, 1.0), 3: (2, 3, 1.0)})
+    for scores in (None, draw.normal(size=300)):
+        found = []
+        for enough in (1, 1000):
+            monkeypatch.setattr(boosting, "PAIRED_ROWS", enough)
+            found.append(boosting.counted([(bins, signs, scores)] * 2, tree, [6, 7], splits))
+        assert found[0].shape == (2, 3, 7, 3) and np.allclose(*found, rtol=0, atol=1e-9)
+        inside = (bins[0] > 2) & (bins[2] > 3) & (bins[1] == 1)
+        assert found[0][1, 1, 1, 0] == 2 * inside.sum()
+
+
 def test_candidates():
     assert boosting.split_points(np.array([3.0, 1.0, 1.0]), 5).tolist() == [2.0]
     assert boosting.split_points(np.ones(4), 5).tolist() == []
