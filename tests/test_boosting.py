@@ -86,7 +86,7 @@ def test_candidates():
     assert boosting.split_points(np.array([3.0, 1.0, 1.0]), 5).tolist() == [2.0]
     assert boosting.split_points(np.ones(4), 5).tolist() == []
     assert boosting.split_points(np.arange(8.0), 3).tolist() == [1.5, 3.5, 5.5]
-    assert boosting.split_points(np.array([0.0] * 50 + [*range(1, 51)]), 3).tolist() == [0.5, 25.5]
+    assert boosting.split_points(np.array([0.0] * 50 + [*range(1, 51)]), 3).tolist() == [0.5, 1.5, 25.5]
 
 
 def test_other_labels_and_no_rows_are_errors(spark):
