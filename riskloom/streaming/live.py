@@ -1,7 +1,7 @@
 """Live scoring of arriving transactions with Structured Streaming.
 
 Every arrival is stored, computed, scored and logged once: of an id that comes several times the first row
-counts, as it does in a load. What happened before an arrival comes from keyed state (``state.py``), which starts from a stored history and lives in the engine's
+counts, as it does in a load. What happened before an arrival comes from keyed state (``columns.py``), which starts from a stored history and lives in the engine's
 state store with the query's checkpoint. What is left for a micro-batch is to put an arrival's two places, its
 customer's and its domain's, together with the totals of earlier slices, and to derive the features from them
 as the batch job does.
@@ -28,7 +28,8 @@ from riskloom.operators.lookup import one_per_id
 from riskloom.operators.slices import NO_TIME
 from riskloom.schemas import PROBABILITY
 from riskloom.session import materialise, temporary
-from riskloom.streaming.state import ARRIVING, first_states, placed
+from riskloom.streaming.columns import placed
+from riskloom.streaming.state import ARRIVING, first_states
 
 # Columns that need the past.
 PAST = [
@@ -65,13 +66,7 @@ def seed(history: DataFrame, tables: LiveTables) -> None:
 
 def _before(parts: DataFrame, kind: str, names: dict[str, str]) -> DataFrame:
     """An arrival's totals for one kind of key."""
-    newest = F.struct(F.col("latest_at"), F.col("latest_id"))
-    values = {
-        "n": F.col("n"),
-        "cents": F.col("cents"),
-        "last": F.when(F.col("last") > NO_TIME, F.col("last")),
-        "late": F.coalesce(F.struct("at", "id") < newest, F.lit(False)),
-    }
+    values = {"n": F.col("n"), "cents": F.col("cents"), "last": F.when(F.col("last") > NO_TIME, F.col("last")), "late": F.col("late")}
     return parts.filter(F.col("kind") == kind).select("id", "whole", *[values[v].alias(name) for v, name in names.items()])
 
 

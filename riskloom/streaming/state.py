@@ -1,4 +1,4 @@
-"""Keyed state of the live job, in the engine's state store.
+"""Keyed state of the live job row by row: what the steps of ``columns.py``, which the job runs, do with whole blocks.
 
 Three stateful steps stand one behind the other:
 
@@ -69,10 +69,6 @@ _PAST = _fields(_LONG, "n", "sum_cents", "last_at", "latest_at", "latest_id")
 PLACED = T.StructType([*_fields(_TEXT, "to_kind", "to_key"), *_KEYED, *_PAST])
 #: An arrival's place in its slice, and what a slice's arrivals travel as.
 _ARRIVAL = ["at", "id", "n", "sum_cents", "last_at", "whole"]
-_ARRIVALS = T.ArrayType(T.StructType([*_fields(_LONG, *_ARRIVAL[:-1]), *_fields(_TEXT, "whole")]))
-_UNSEEN = T.StructType([*_fields(_LONG, "transactionid"), *_fields(_TEXT, "whole")])
-_SLICE = T.StructType([*_fields(_LONG, "block"), *_fields(_TEXT, "kind", "key"), *_fields(_LONG, "slice", "at", "id", "n", "sum_cents", "last_at"), *_fields(_TEXT, "arrivals")])
-_BASED = T.StructType([*_fields(_TEXT, "kind"), *_fields(_LONG, "base_n", "base_cents", "base_last", "latest_at", "latest_id"), *_fields(_TEXT, "arrivals")])
 
 
 # --- rows for the steps --------------------------------------------------------
@@ -430,7 +426,7 @@ def _placed(to_kind: str, to_key: str, row: Row, n: int, cents: int, last: int,
     )
 
 
-# --- the chain ---------------------------------------------------------------------
+# --- the first state ---------------------------------------------------------------------
 
 
 def first_states(history: DataFrame) -> dict[str, DataFrame]:
@@ -462,27 +458,3 @@ def first_states(history: DataFrame) -> dict[str, DataFrame]:
     totals = lots(totals, ["kind", "block"], "key", *_TOTAL)
     totals = totals.select("kind", "block", *[F.col("rows")[c].alias(name) for c, name in zip(["key", *_TOTAL], ["names", *_TOTAL])])
     return {"seen": seen, "slices": slices, "totals": totals}
-
-
-def placed(arrivals: DataFrame, first: dict[str, DataFrame] | None) -> DataFrame:
-    """The stream of arrivals (with ``place``, their order in a micro-batch) through the three steps, which begin with ``first``.
-
-    Two rows per arrival, for its customer and for its domain: kind, id, at; n, cents, last of the rows before it; the newest row of earlier
-    micro-batches; with the customer's the arrival itself.
-    """
-    rows = fresh_columns(arrivals, "place").withColumn("block", F.floor(F.col("transactionid") / BLOCK_IDS))
-    texts = rows.select("block", "place", "transactionid", F.to_json(F.struct(*FRESH.names)).alias("whole"))
-
-    def step(rows: DataFrame, by: list[str], processor: StatefulProcessor, schema: T.StructType, name: str) -> DataFrame:
-        state = None if first is None else first[name].groupBy(*by)
-        return rows.groupBy(*by).transformWithState(processor, schema, outputMode="append", timeMode="none", initialState=state)
-
-    fresh = step(texts, ["block"], Seen(), _UNSEEN, "seen")
-    fresh = fresh.select(F.from_json("whole", FRESH).alias("row"), "whole").select("row.*", "whole")
-    sliced = step(block_rows(fresh, F.col("whole")), ["kind", "block", "slice"], BlockSlices(), _SLICE, "slices")
-    based = step(sliced, ["kind", "block"], BlockTotals(), _BASED, "totals")
-    each = based.select("*", F.explode(F.from_json("arrivals", _ARRIVALS)).alias("a"))
-    return each.select(
-        "kind", "a.id", "a.at", (F.col("a.n") + F.col("base_n")).alias("n"), (F.col("a.sum_cents") + F.col("base_cents")).alias("cents"),
-        F.greatest("a.last_at", "base_last").alias("last"), "latest_at", "latest_id", F.from_json("a.whole", ARRIVING).alias("whole"),
-    )
