@@ -82,6 +82,34 @@ def test_pairs_of_inputs_count_as_each_of_them(monkeypatch):
         assert found[0][1, 1, 1, 0] == 2 * inside.sum()
 
 
+def test_of_siblings_in_a_large_table_the_smaller_is_counted(spark, monkeypatch):
+    """And the trees are still MLlib's."""
+    rows, passes, counting = table(spark, 3000, 8), [], boosting._pass
+
+    def noted(chunks, tree, nodes, splits):
+        passes.append((tree, nodes))
+        return counting(chunks, tree, nodes, splits)
+
+    monkeypatch.setattr(boosting, "PAIRED_ROWS", 1000)
+    monkeypatch.setattr(boosting, "_pass", noted)
+    a, b = nodes(spark, mllib(rows, 6, 4)), nodes(spark, model.train_model(rows, trees=6, depth=4))
+    exact = ("tree", "id", "weight", "cover", "left", "right", "feature", "threshold")
+    assert [[n[k] for k in exact] for n in a] == [[n[k] for k in exact] for n in b]
+    assert np.allclose([n["value"] for n in a], [n["value"] for n in b], rtol=0, atol=1e-11)
+    for tree, some in passes:
+        assert not any(n ^ 1 in some for n in some)
+        assert sum(tree.stats[n][0] for n in some if n > 1) <= 3000 / 2 or some == [1]
+
+
+def test_groups_of_inputs():
+    """Every input in one group, of no more cells than allowed but for one input alone."""
+    for splits in ([31] * 7 + [23, 6, 4, 1, 0], [3000, 31, 31, 2], [0]):
+        groups = boosting.input_groups(splits)
+        assert sorted(sum(groups, [])) == list(range(len(splits)))
+        assert all(len(g) == 1 or np.prod([splits[i] + 1 for i in g]) <= boosting.GROUP_CELLS for g in groups)
+    assert len(boosting.input_groups([31] * 7 + [23, 6, 4, 1, 0])) < 6
+
+
 def test_candidates():
     assert boosting.split_points(np.array([3.0, 1.0, 1.0]), 5).tolist() == [2.0]
     assert boosting.split_points(np.ones(4), 5).tolist() == []
